@@ -170,7 +170,12 @@ def _grow(x: dict[str, np.ndarray], y: np.ndarray) -> list[Condition]:
         best, found = 1e-9, None
         for name in sorted(x):
             v, t = x[name][live], y[live]
-            cuts = np.unique(np.quantile(v, np.linspace(0, 1, MAX_THRESHOLDS + 2)[1:-1], method="lower"))
+            u = np.unique(v)
+            if len(u) < 2:
+                continue
+            at = np.searchsorted(u, np.quantile(v, np.linspace(0, 1, MAX_THRESHOLDS + 2)[1:-1], method="lower"))
+            at = np.unique(np.minimum(at, len(u) - 2))
+            cuts = (u[at] + u[at + 1]) / 2
             order = np.argsort(v, kind="stable")
             upto = np.searchsorted(v[order], cuts, side="right")
             right = np.concatenate([[0], np.cumsum(t[order])])[upto]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and ORACLE.
-MODULES = ("packing", "quality")
+MODULES = ("packing", "quality", "urls")
 
 
 def _parts() -> list:
