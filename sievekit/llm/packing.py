@@ -80,7 +80,7 @@ class Encoder:
     the memory is bounded.
     """
 
-    REMEMBER = 600_000
+    REMEMBER = 1_000_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -143,6 +143,16 @@ class Encoder:
         return np.split(ids, cuts[:-1])
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """This process's encoder for a tokenizer; a reused worker keeps what it remembers."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
@@ -166,9 +176,8 @@ def pack(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer_path)
+            encoder = encoder_of(tokenizer_path)
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             begin = size = 0
             for k, text in enumerate(texts):
