@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and ORACLE.
-MODULES = ("packing", "quality", "urls")
+MODULES = ("packing", "quality", "urls", "secrets")
 
 
 def _parts() -> list:
