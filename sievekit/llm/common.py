@@ -94,6 +94,15 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A uint64 hash of data[start:end] for each span."""
+    up, down = _power(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[data] * up[: len(data)], out=total[1:])
+    length = (end - start).astype(np.uint64)
+    return mix((total[end] - total[start]) * down[start] + length * np.uint64(_BASE))
+
+
 class Words:
     """The words of some texts: their hashes, places, and the text that each is in.
 
@@ -111,11 +120,7 @@ class Words:
         if not white[0]:
             change = np.concatenate([[0], change])
         self.start, self.end = change[0::2], change[1::2]
-        up, down = _power(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTES[self.data] * up[: len(self.data)], out=total[1:])
-        length = (self.end - self.start).astype(np.uint64)
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + length * np.uint64(_BASE))
+        self.hash = span_hash(self.data, self.start, self.end)
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
         self.bounds = np.concatenate([[0], np.cumsum(sizes)])
         self.first = np.searchsorted(self.start, self.bounds)

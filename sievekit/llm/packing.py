@@ -15,13 +15,15 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievekit.llm.common import slices, span_hash
+
 
 #: Tokens of the longest piece.
 MAX_LENGTH = 2048
@@ -94,26 +96,29 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[int, int] = {}
         self.pool = np.zeros(0, dtype=np.uint32)
         self.ends = np.zeros(1, dtype=np.int64)
 
-    @staticmethod
-    def _chunks(text: str, plain: bool) -> list[str]:
-        if "<|" in text:  # a special token's text may hold a cut
-            return [text]
-        if plain:
-            for old, new in ((" ", "\0 "), (",", "\0,"), (".", "\0."), ("\n", "\0\n\0")):
-                text = text.replace(old, new)
-            return text.split("\0")
-        parts = _SAFE.split(text)
-        return [parts[0], *[f" {p}" for p in parts[1:]]]
-
-    def _learn(self, new: list[str]) -> None:
+    def _cuts(self, data: np.ndarray, texts: list[bytes], at: np.ndarray) -> np.ndarray:
+        """Where chunks begin, in the joined texts; at: where the texts begin."""
+        plain = _plain(texts) & ~np.array([b"<|" in t for t in texts], dtype=bool)
+        cut = (data == 0x20) | (data == 0x2E) | (data == 0x2C) | (data == 0x0A)
+        cut[1:] |= data[:-1] == 0x0A
+        for k in np.flatnonzero(~plain).tolist():
+            cut[at[k] : at[k + 1]] = False
+            if b"<|" not in texts[k]:  # a special token's text may hold a cut
+                parts = _SAFE.split(texts[k].decode())
+                cut[at[k] - 1 + np.cumsum([len(p.encode()) + 1 for p in parts[:-1]], dtype=np.int64)] = True
+        cut[at[:-1][at[:-1] < at[1:]]] = True
+        return np.flatnonzero(cut)
+
+    def _learn(self, new: list[str], keys: list[int]) -> None:
         """Encode chunks: those that begin with a space in one text, others one by one."""
         fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        after = [c for c in new if c[:1] == " " and "<|" not in c]
-        alone = [c for c in new if c[:1] != " " or "<|" in c]
+        joins = [c[:1] == " " and "<|" not in c for c in new]
+        after = [c for c, j in zip(new, joins, strict=True) if j]
+        alone = [c for c, j in zip(new, joins, strict=True) if not j]
         ids = [np.asarray(e.ids, dtype=np.uint32) for e in fast(alone, add_special_tokens=False)] if alone else []
         sizes = [len(i) for i in ids]
         if after:
@@ -122,25 +127,35 @@ class Encoder:
             upto = np.searchsorted(np.cumsum(self.bytes[joined]), ends) + 1
             ids.append(joined)
             sizes += np.diff(upto, prepend=0).tolist()
-        self.known.update(zip(alone + after, range(len(self.known), len(self.known) + len(new)), strict=True))
+        order = [k for k, j in zip(keys, joins, strict=True) if not j] + [k for k, j in zip(keys, joins, strict=True) if j]
+        self.known.update(zip(order, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.pool = np.concatenate([self.pool, *ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, without the end token."""
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text, without the end token. Chunks are told apart by 64-bit hashes."""
         if len(self.known) > self.REMEMBER:
             self._forget()
-        plain = _plain([t.encode() for t in texts])
-        chunks = [self._chunks(t, p) for t, p in zip(texts, plain.tolist(), strict=True)]
-        flat = list(chain.from_iterable(chunks))
-        if new := set(flat).difference(self.known):
-            self._learn(list(new))
-        at = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
-        sizes = self.ends[at + 1] - self.ends[at]
+        joined = b"".join(texts)
+        if not joined:
+            return [np.zeros(0, dtype=np.uint32) for _ in texts]
+        data = np.frombuffer(joined, dtype=np.uint8)
+        at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        start = self._cuts(data, texts, at)
+        end = np.append(start[1:], len(data))
+        place, found = pd.factorize(span_hash(data, start, end))
+        some = np.empty(len(found), dtype=np.int64)
+        some[place] = np.arange(len(start))  # any chunk of each kind
+        keys = found.tolist()
+        new = [k for k, key in enumerate(keys) if key not in self.known]
+        if new:
+            spans = zip(start[some[new]].tolist(), end[some[new]].tolist(), strict=True)
+            self._learn([joined[a:b].decode() for a, b in spans], [keys[k] for k in new])
+        number = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))[place]
+        sizes = self.ends[number + 1] - self.ends[number]
         upto = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.pool[np.arange(upto[-1]) + np.repeat(self.ends[at] - upto[:-1], sizes)]
-        cuts = upto[np.cumsum([len(c) for c in chunks])]
-        return np.split(ids, cuts[:-1])
+        ids = self.pool[np.arange(upto[-1]) + np.repeat(self.ends[number] - upto[:-1], sizes)]
+        return np.split(ids, upto[np.searchsorted(start, at[1:-1])])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -176,18 +191,11 @@ def pack(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        for batch in batches:
-            encoder = encoder_of(tokenizer_path)
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            begin = size = 0
-            for k, text in enumerate(texts):
-                size += len(text or "") + 1
-                if size < 1 << 20 and k + 1 < len(texts):
-                    continue
-                yield _rows(encoder, keys.slice(begin, k + 1 - begin), [t or "" for t in texts[begin : k + 1]])
-                begin, size = k + 1, 0
-
-    def _rows(encoder: Encoder, keys: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        encoder = encoder_of(tokenizer_path)
+        for part, texts in slices(batches, "text", 2 << 20):
+            yield _rows(encoder, part.column(0), texts)
+
+    def _rows(encoder: Encoder, keys: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
         of, start, length, crc, total, ids = [], [], [], [], [], []
         for k, found in enumerate(encoder.encode(texts)):
             found = np.append(found, np.uint32(end_token)).astype("<u4")
