@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHARS_PER_ERROR = 16
+CHARS_PER_ERROR = 12
 SLICE_CHARS = 8_000_000
 
 
