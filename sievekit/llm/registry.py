@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and ORACLE.
-MODULES = ("packing", "quality", "urls", "secrets", "language", "decontaminate")
+MODULES = ("packing", "quality", "urls", "secrets", "language", "decontaminate", "jaccard")
 
 
 def _parts() -> list:
