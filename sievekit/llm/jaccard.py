@@ -36,7 +36,7 @@ from sievekit.llm.common import Words, materialize, mix, output, slices
 
 SHINGLE, PERCENT = 4, 85
 #: Slots of the count sketch, and blocks that it is summed in.
-SKETCH_BITS, BLOCK_BITS = 22, 6
+SKETCH_BITS, BLOCK_BITS = 22, 4
 #: Steps of rarity for each doubling of a count.
 STEPS = 4
 #: Runs up to this size make all their pairs at once; longer ones are held against a leader.
@@ -224,14 +224,14 @@ _RUN_SCHEMA = pa.schema(
 )
 
 
-def _run_batch(kind: int, n: int, **columns) -> pa.RecordBatch:
+def _run_batch(kind: int, size: int, **columns) -> pa.RecordBatch:
     """Rows of one kind; what is not given is null."""
-    found = {"kind": pa.array(np.full(n, kind, dtype=np.int32))}
+    found = {"kind": pa.array(np.full(size, kind, dtype=np.int32))}
     for field in _RUN_SCHEMA:
         if field.name != "kind":
             c = columns.get(field.name)
             if c is None:
-                found[field.name] = pa.nulls(n, field.type)
+                found[field.name] = pa.nulls(size, field.type)
             else:
                 found[field.name] = _binary(c) if field.type == pa.binary() else pa.array(c, type=field.type)
     return output(_RUN_SCHEMA, **found)
