@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+import corpus_pipeline
+
 #: Modules with QUERIES and ORACLE.
 MODULES = ("packing", "quality", "urls", "secrets", "language", "decontaminate", "jaccard")
 
@@ -14,9 +16,10 @@ def _parts() -> list:
 
 def queries() -> dict:
     """All queries by name."""
-    return {k: f for m in _parts() for k, f in m.QUERIES.items()}
+    return {k: f for m in _parts() for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     """The SQL of those that SQL can express."""
-    return {k: s for m in _parts() for k, s in m.ORACLE.items()}
+    found = {k: s for m in _parts() for k, s in m.ORACLE.items()}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
