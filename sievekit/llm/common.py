@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -48,6 +49,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Most bytes of a batch that a task hands to its Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python workers by bytes: texts can be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or int(re.sub(r"\D", "", now) or 0) != BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

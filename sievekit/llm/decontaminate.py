@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievekit.llm.common import small_batches
+
 CHARS_PER_ERROR = 12
 SLICE_CHARS = 8_000_000
 
@@ -161,6 +163,7 @@ def matches(
 ) -> DataFrame:
     """doc_id, item_id, distance, budget, end: the best hit of each item in each document that has one."""
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     fields = f"doc_id {kind}, item_id bigint, distance int, budget int, end bigint"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import Words, output, slices
+from sievekit.llm.common import output, slices, small_batches, Words
 
 #: Most labelled documents and languages that the model is fitted on.
 MAX_TRAIN, MAX_LANGUAGES = 20_000, 64
@@ -266,6 +266,7 @@ def _count(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, most: int = MAX_TRAIN) -> Model:
     """Learn from the documents with a text and a lang: most of them at most."""
+    small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = known.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
@@ -295,6 +296,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
 
     The model has a bounded size (MAX_LANGUAGES x SLOTS x n-gram sizes) and is broadcast.
     """
+    small_batches(docs.sparkSession)
     keep = keep or ["doc_id"]
     sent = docs.sparkSession.sparkContext.broadcast(model)
     fields = docs.select(*keep).schema

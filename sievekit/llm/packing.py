@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import slices, span_hash
+from sievekit.llm.common import slices, small_batches, span_hash
 
 
 #: Tokens of the longest piece.
@@ -183,6 +183,7 @@ def pack(
     sequence_id (unique), offset (always 0: a piece fills its sequence) and, with
     with_ids, the ids. No shuffle: each task packs the documents that it reads.
     """
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     extra = ", ids array<int>" if with_ids else ""
     fields = f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint{extra}"

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievekit.llm.common import WHITE, Words, mix, output, slices
+from sievekit.llm.common import mix, output, slices, small_batches, WHITE, Words
 
 #: Most labelled rows that a list is fitted on, and the share kept aside for pruning.
 MAX_TRAIN = 20_000
@@ -123,6 +123,7 @@ def count_texts(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the COUNTS of each row's whole text."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     fields = f"doc_id {kind.simpleString()}, " + ", ".join(f"{c} bigint" for c in COUNTS)
 
