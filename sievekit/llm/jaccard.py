@@ -26,13 +26,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import Words, materialize, mix, output, slices
+from sievekit.llm.common import materialize, mix, output, slices, small_batches, Words
 
 SHINGLE, PERCENT = 4, 85
 #: Slots of the count sketch, and blocks that it is summed in.
@@ -108,7 +109,7 @@ def _first_pass(rows: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         schema = None
-        for part, texts in slices(batches, "_text", 2 << 20):
+        for part, texts in slices(batches, "_text", 1 << 20):
             sets = text_sets(texts, size)
             every = np.concatenate(sets)
             sketch += np.bincount(_slot(every), minlength=len(sketch)).astype(np.uint32) if len(every) > 1 << 18 else 0
@@ -177,7 +178,7 @@ def _prefixes(rows: DataFrame, rarity: np.ndarray, size: int, percent: int, run_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = sent.value
         seen: set[bytes] = set()
-        for _, texts in slices(batches, "_text", 2 << 20):
+        for _, texts in slices(batches, "_text", 1 << 20):
             toks, sigs, ns, poss, salts = [], [], [], [], []
             for s in text_sets(texts, size):
                 n = len(s)
@@ -211,8 +212,8 @@ def _need(n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _passes(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, percent: int) -> np.ndarray:
-    """Length filter, and positional filter for the first shared shingle; n1 <= n2."""
-    return (100 * n1.astype(np.int64) >= percent * n2.astype(np.int64)) & (
+    """Length filter, and positional filter for the first shared shingle."""
+    return (100 * np.minimum(n1, n2).astype(np.int64) >= percent * np.maximum(n1, n2).astype(np.int64)) & (
         1 + np.minimum(n1 - p1, n2 - p2) >= _need(n1, n2, percent)
     )
 
@@ -256,15 +257,18 @@ def _work_runs(tok, salt, sig, n, pos, percent: int, sizes: tuple[int, int], fir
             right.append(a + j)
         if not small or salted:
             pending.append(np.arange(a, b))
-        while (not small or salted) and a < b:
-            # Sorted by n: each leader takes what the length filter leaves it.
-            upto = a + int(np.searchsorted(percent * n[a:b].astype(np.int64), 100 * int(n[a]), side="right"))
+        rest = np.arange(a, b) if not small or salted else np.zeros(0, dtype=np.int64)
+        # The class with fewest rarer shingles leads: of variants of a text, the one with least of its own.
+        rest = rest[np.lexsort((n[rest], pos[rest]))]
+        while len(rest):
+            lead, others = rest[0], rest[1:]
+            near = 100 * np.minimum(n[others], n[lead]).astype(np.int64) >= percent * np.maximum(n[others], n[lead]).astype(np.int64)
             if not small:
-                left.append(np.full(upto - a - 1, a))
-                right.append(np.arange(a + 1, upto))
+                left.append(np.full(near.sum(), lead))
+                right.append(others[near])
             if salted:
-                leaders.append(a)
-            a = upto
+                leaders.append(lead)
+            rest = others[~near]
     i, j = np.concatenate(left), np.concatenate(right)
     ok = _passes(n[i], pos[i], n[j], pos[j], percent)
     i, j = i[ok], j[ok]
@@ -340,7 +344,7 @@ def _blobs(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = set(picked.value.tolist()) if picked is not None else None
         seen: set[bytes] = set()
-        for _, texts in slices(batches, "_text", 2 << 20):
+        for _, texts in slices(batches, "_text", 1 << 20):
             sigs, blobs = [], []
             for text, s in zip(texts, text_sets(texts, size), strict=True):
                 sig = signature(s)
@@ -376,12 +380,10 @@ def _verified(pairs: DataFrame, blobs: DataFrame, size: int, percent: int) -> Da
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def _links(pairs: DataFrame, rows: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, blobs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Verify candidate pairs; written to the shared folder."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(_suffix_filtered(pairs, classes, percent), "pairs")
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-    blobs = materialize(_blobs(rows, wanted, size), "blobs")
     return materialize(_verified(pairs, blobs, size, percent), "links")
 
 
@@ -433,6 +435,7 @@ def link(
 
     sizes: of runs that make all their pairs, and of salted runs; they don't change the result.
     """
+    small_batches(docs.sparkSession)
     columns = list(dict.fromkeys([id_col, *(keep or [])]))
     rows = docs.select(*columns, F.col(text_col).alias("_text"))
     first = materialize(_first_pass(rows, size), "first")
@@ -451,10 +454,12 @@ def link(
         leaders = found[-1].where(F.col("kind") == _LEADER).select("tok", "salt", F.col("a").alias("sig"), "n", "pos")
         found.append(materialize(_runs(leaders, percent, sizes, first_level=False), "runs"))
         salts //= sizes[1]
-    pairs = found[0].where(F.col("kind") == _PAIR).select("a", "b")
-    for more in found[1:]:
-        pairs = pairs.union(more.where(F.col("kind") == _PAIR).select("a", "b"))
-    links = _links(pairs, rows, classes, size, percent)
+    every = reduce(DataFrame.unionByName, found).select("kind", "a", "b")
+    pairs = every.where(F.col("kind") == _PAIR).select("a", "b")
+    tried = every.where(F.col("kind") != _LEADER).select(F.explode(F.array("a", "b")).alias("sig"))
+    wanted = materialize(tried.where("sig IS NOT NULL").distinct(), "wanted")
+    blobs = materialize(_blobs(rows, wanted, size), "blobs")
+    links = _links(pairs, blobs, classes, size, percent)
     comps = materialize(components(links), "components")
     # Long runs: all pairs of different components.
     own = comps.withColumnRenamed("sig", "a")
@@ -475,7 +480,7 @@ def link(
     ).select("a", F.col("a2").alias("b"))
     across = materialize(across.distinct(), "across")
     if not across.isEmpty():
-        more = _links(across, rows, classes, size, percent)
+        more = _links(across, blobs, classes, size, percent)
         comps = materialize(components(links.union(more)), "components")
     # Only classes of several rows or with a link can have another id than their own.
     joined = classes.join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
