@@ -7,7 +7,7 @@ import importlib
 import corpus_pipeline
 
 #: Modules with QUERIES and ORACLE.
-MODULES = ("packing", "quality", "urls", "secrets", "language", "decontaminate", "jaccard", "lm", "html")
+MODULES = ("packing", "quality", "urls", "secrets", "language", "decontaminate", "jaccard", "lm", "html", "warc")
 
 
 def _parts() -> list:
