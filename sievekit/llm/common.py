@@ -99,7 +99,7 @@ _powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.ui
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, n of each at least."""
     if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]))
+        size = ((n >> 19) + 1) << 19  # kept as small as the largest slice allows
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1

@@ -82,7 +82,7 @@ class Encoder:
     the memory is bounded.
     """
 
-    REMEMBER = 1_000_000
+    REMEMBER = 350_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -193,7 +193,7 @@ def pack(
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = encoder_of(tokenizer_path)
-        for part, texts in slices(batches, "text", 2 << 20):
+        for part, texts in slices(batches, "text", 1 << 20):
             yield _rows(encoder, part.column(0), texts)
 
     def _rows(encoder: Encoder, keys: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
