@@ -82,7 +82,7 @@ class Encoder:
     the memory is bounded.
     """
 
-    REMEMBER = 350_000
+    REMEMBER, RECENT = 2_000_000, 100_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -96,10 +96,37 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        # Hashes of known chunks in two sorted arrays, old and recent, with their numbers.
+        self.size = 0
+        self.old = self.recent = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32))
         self.pool = np.zeros(0, dtype=np.uint32)
         self.ends = np.zeros(1, dtype=np.int64)
 
+    def _numbers(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each chunk, -1 for new ones."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        for known, number in (self.old, self.recent):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                out[hit] = number[at[hit]]
+        return out
+
+    def _remember(self, keys: np.ndarray) -> None:
+        """Number new chunks in the order given."""
+        number = np.arange(self.size, self.size + len(keys), dtype=np.int32)
+        self.size += len(keys)
+        parts = [self.recent, (keys, number)]
+        if len(self.recent[0]) > self.RECENT:
+            parts.insert(0, self.old)
+        keys, number = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys)
+        joined = (keys[order], number[order])
+        if len(parts) == 3:
+            self.old, self.recent = joined, (keys[:0], number[:0])
+        else:
+            self.recent = joined
+
     def _cuts(self, data: np.ndarray, texts: list[bytes], at: np.ndarray) -> np.ndarray:
         """Where chunks begin, in the joined texts; at: where the texts begin."""
         plain = _plain(texts) & ~np.array([b"<|" in t for t in texts], dtype=bool)
@@ -113,7 +140,7 @@ class Encoder:
         cut[at[:-1][at[:-1] < at[1:]]] = True
         return np.flatnonzero(cut)
 
-    def _learn(self, new: list[str], keys: list[int]) -> None:
+    def _learn(self, new: list[str], keys: np.ndarray) -> None:
         """Encode chunks: those that begin with a space in one text, others one by one."""
         fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         joins = [c[:1] == " " and "<|" not in c for c in new]
@@ -127,14 +154,13 @@ class Encoder:
             upto = np.searchsorted(np.cumsum(self.bytes[joined]), ends) + 1
             ids.append(joined)
             sizes += np.diff(upto, prepend=0).tolist()
-        order = [k for k, j in zip(keys, joins, strict=True) if not j] + [k for k, j in zip(keys, joins, strict=True) if j]
-        self.known.update(zip(order, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self._remember(keys[np.argsort(joins, kind="stable")])
         self.pool = np.concatenate([self.pool, *ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, without the end token. Chunks are told apart by 64-bit hashes."""
-        if len(self.known) > self.REMEMBER:
+        if self.size > self.REMEMBER:
             self._forget()
         joined = b"".join(texts)
         if not joined:
@@ -146,12 +172,13 @@ class Encoder:
         place, found = pd.factorize(span_hash(data, start, end))
         some = np.empty(len(found), dtype=np.int64)
         some[place] = np.arange(len(start))  # any chunk of each kind
-        keys = found.tolist()
-        new = [k for k, key in enumerate(keys) if key not in self.known]
-        if new:
+        number = self._numbers(found)
+        new = np.flatnonzero(number < 0)
+        if len(new):
             spans = zip(start[some[new]].tolist(), end[some[new]].tolist(), strict=True)
-            self._learn([joined[a:b].decode() for a, b in spans], [keys[k] for k in new])
-        number = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))[place]
+            self._learn([joined[a:b].decode() for a, b in spans], found[new])
+            number[new] = self._numbers(found[new])
+        number = number[place]
         sizes = self.ends[number + 1] - self.ends[number]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.pool[np.arange(upto[-1]) + np.repeat(self.ends[number] - upto[:-1], sizes)]
@@ -193,7 +220,7 @@ def pack(
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = encoder_of(tokenizer_path)
-        for part, texts in slices(batches, "text", 1 << 20):
+        for part, texts in slices(batches, "text", 2 << 20):
             yield _rows(encoder, part.column(0), texts)
 
     def _rows(encoder: Encoder, keys: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
