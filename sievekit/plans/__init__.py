@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("evaluation",)
+MODULES = ("evaluation", "curation")
 
 
 def collect() -> tuple[dict, dict]:
