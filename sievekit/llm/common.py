@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give the system back what this worker has freed: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 #: Most bytes of a batch that a task hands to its Python worker.
 BATCH_BYTES = 4 << 20
 
@@ -68,6 +79,7 @@ def slices(
 
     A single longer text makes a part of its own.
     """
+    parts = 0
     for batch in batches:
         at = batch.schema.get_field_index(column)
         texts = batch.column(at).cast(pa.large_binary()).to_pylist()
@@ -76,7 +88,10 @@ def slices(
             size += len(text or b"") + 1
             if size >= max_bytes or k + 1 == len(texts):
                 yield batch.slice(begin, k + 1 - begin), [t or b"" for t in texts[begin : k + 1]]
-                begin, size = k + 1, 0
+                begin, size, parts = k + 1, 0, parts + 1
+                if parts % 8 == 0:
+                    release()
+    release()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
