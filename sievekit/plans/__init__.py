@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("evaluation", "curation")
+MODULES = ("evaluation", "curation", "judging")
 
 
 def collect() -> tuple[dict, dict]:
