@@ -1,0 +1,112 @@
+"""Sequence similarity as difflib defines it: order matters, so arguments keep theirs."""
+
+from __future__ import annotations
+
+import math
+from difflib import SequenceMatcher, unified_diff
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sievekit.operators.curation import normalised
+
+
+@F.pandas_udf(T.DoubleType())
+def ratio(one: pd.Series, two: pd.Series) -> pd.Series:
+    """SequenceMatcher's ratio of two texts; null texts are empty."""
+    return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(one, two, strict=True)])
+
+
+@F.pandas_udf(T.DoubleType())
+def diff_similarity(base: pd.Series, one: pd.Series, two: pd.Series) -> pd.Series:
+    """Similarity of what two texts add to a base."""
+
+    def added(base: str, text: str) -> str:
+        lines = unified_diff((base or "").splitlines(), (text or "").splitlines(), lineterm="", n=0)
+        return "\n".join(x[1:] for x in lines if x.startswith("+") and not x.startswith("+++"))
+
+    return pd.Series(
+        [SequenceMatcher(None, added(b, x), added(b, y)).ratio() for b, x, y in zip(base, one, two, strict=True)]
+    )
+
+
+@F.pandas_udf(T.StringType())
+def diff_text(one: pd.Series, two: pd.Series) -> pd.Series:
+    """Unified diff of two texts with three lines of context."""
+    return pd.Series(
+        ["\n".join(unified_diff((a or "").splitlines(), (b or "").splitlines(), "secure", "mutant", lineterm="", n=3)) for a, b in zip(one, two, strict=True)]
+    )
+
+
+def near_duplicates(samples: DataFrame, threshold: float = 0.90, block: str = "cwe") -> DataFrame:
+    """Pairs id1 < id2 of one block with a ratio over the threshold.
+
+    Blocked by key and length band: a ratio r needs lengths within r / (2 - r), so only
+    texts of the same or the next band can be similar. Equal texts are paired with the
+    first of them only; the others follow from it.
+    """
+    least = threshold / (2 - threshold)
+    code = F.col("code")
+    first = samples.groupBy(block, "code").agg(F.min("id").alias("id"))
+    band = F.floor(F.log(F.greatest(F.length(code), F.lit(1)).cast("double")) / F.lit(-math.log(least))).cast("int")
+    rows = first.withColumn("band", band)
+    other = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    a = rows.select(F.col(block), "band", F.col("id").alias("id1"), F.col("code").alias("c1"))
+    b = other.select(F.col(block), "band", F.col("id").alias("id2"), F.col("code").alias("c2"))
+    lengths = F.least(F.length("c1"), F.length("c2")) >= F.greatest(F.length("c1"), F.length("c2")) * least
+    pairs = a.join(b, [block, "band"]).where((F.col("id1") != F.col("id2")) & lengths)
+    pairs = pairs.select(
+        F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"),
+        F.when(F.col("id1") < F.col("id2"), F.col("c1")).otherwise(F.col("c2")).alias("c1"),
+        F.when(F.col("id1") < F.col("id2"), F.col("c2")).otherwise(F.col("c1")).alias("c2"),
+    ).dropDuplicates(["id1", "id2"])
+    return pairs.withColumn("ratio", ratio("c1", "c2")).where(F.col("ratio") > threshold).select("id1", "id2", "ratio")
+
+
+def greedy_dedup(samples: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """Rows that are similar to no row kept before them in their cwe, in order of ord.
+
+    Sequential by definition, so a cwe is one group; equal texts are dropped before, so
+    that copies don't make it large.
+    """
+    kept = samples.withColumn("_n", F.row_number().over(W.partitionBy("cwe", "code").orderBy("ord"))).where("_n = 1").drop("_n")
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        chosen: list[str] = []
+        keep = []
+        for k, code in zip(group.sort_values("ord").index, group.sort_values("ord")["code"], strict=True):
+            close = False
+            for old in chosen:
+                if min(len(old), len(code)) * 2 <= threshold * (len(old) + len(code)):
+                    continue
+                m = SequenceMatcher(None, code, old)
+                if m.real_quick_ratio() > threshold and m.quick_ratio() > threshold and m.ratio() > threshold:
+                    close = True
+                    break
+            if not close:
+                chosen.append(code)
+                keep.append(k)
+        return group.loc[keep]
+
+    return kept.groupBy("cwe").applyInPandas(one, kept.schema)
+
+
+def test_duplicates(bodies: Column, threshold: float = 0.85) -> Column:
+    """Number of pairs of similar texts within an array."""
+
+    @F.udf("int")
+    def count(texts: list[str] | None) -> int:
+        texts = texts or []
+        return sum(
+            SequenceMatcher(None, texts[i], texts[j]).ratio() > threshold for i in range(len(texts)) for j in range(i + 1, len(texts))
+        )
+
+    return count(bodies)
+
+
+def whitespace_equal(one: Column, two: Column) -> Column:
+    """Whether two texts differ in white space at most."""
+    return normalised(one) == normalised(two)
