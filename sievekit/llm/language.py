@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievekit.llm.common import output, slices, small_batches, Words
 
@@ -299,8 +300,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     small_batches(docs.sparkSession)
     keep = keep or ["doc_id"]
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    fields = docs.select(*keep).schema
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double, n_spans bigint"])
+    own = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_spans", T.LongType())]
+    out = T.StructType(docs.select(*keep).schema.fields + own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "_text", 1 << 20):
@@ -313,15 +314,15 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
             schema = pa.schema(
                 [*list(part.schema)[:-1], ("lang_pred", pa.string()), ("score", pa.float64()), ("n_spans", pa.int64())]
             )
-            own = dict(zip(part.schema.names[:-1], part.columns[:-1], strict=True))
-            yield output(schema, **own, lang_pred=found, score=score, n_spans=spans)
+            kept = dict(zip(part.schema.names[:-1], part.columns[:-1], strict=True))
+            yield output(schema, **kept, lang_pred=found, score=score, n_spans=spans)
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, out)
 
 
 def held_out() -> Column:
     """The documents that nothing is learned from."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
