@@ -19,6 +19,8 @@ find(). Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,15 +58,18 @@ _SPAN = "array<struct<s:int,e:int>>"
 _SPAN_TEXT = "array<struct<s:int,e:int,v:string>>"
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once however often then names it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def _spans(text: Column, pattern: str, value: bool = False, keep: bool = False) -> Column:
     """Places of a pattern's leftmost non-overlapping matches, as (s, e) and with keep their text.
 
     value: only matches whose second group has LEAST_VALUE characters or more.
     """
     marked = F.regexp_replace(text, pattern, f"{_A}$0{_B}" + (f"$2{_C}" if value else ""))
-    parts = F.split(marked, _A)
     kind = _SPAN_TEXT if keep else _SPAN
-    begin = F.struct(F.length(F.get(parts, 0)).alias("at"), F.array().cast(kind).alias("found"))
 
     def step(acc: Column, part: Column) -> Column:
         match = F.substring_index(part, _B, 1)
@@ -79,8 +84,11 @@ def _spans(text: Column, pattern: str, value: bool = False, keep: bool = False)
             found = F.when(F.length(second) >= LEAST_VALUE, found).otherwise(acc["found"])
         return F.struct((acc["at"] + size + rest).alias("at"), found.alias("found"))
 
-    found = F.aggregate(F.slice(parts, 2, F.size(parts)), begin, step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(kind))
+    def places(parts: Column) -> Column:
+        begin = F.struct(F.length(F.get(parts, 0)).alias("at"), F.array().cast(kind).alias("found"))
+        return F.aggregate(F.slice(parts, 2, F.size(parts)), begin, step, lambda acc: acc["found"])
+
+    return F.when(text.rlike(pattern), once(F.split(marked, _A), places)).otherwise(F.array().cast(kind))
 
 
 def _normal_tail(z: Column) -> Column:
@@ -96,26 +104,38 @@ def battery(token: Column) -> Column:
 
     score is -log10 of the chance that an ordinary word of that length is as uniform.
     """
-    n = F.length(token)
-    alphabet = (
-        F.when(token.rlike("^[0-9a-f]+$") | token.rlike("^[0-9A-F]+$"), F.lit(_HEX))
-        .when(token.rlike("^[A-Z2-7]+=*$"), F.lit(_B32))
-        .when(token.rlike("^[0-9A-Za-z]+$"), F.lit(_B62))
-        .otherwise(F.lit(_B64))
-    )
-    read = F.when(alphabet == _HEX, F.lower(token)).otherwise(token)
-    chars = F.split(read, "")
-    k = F.when(alphabet == _B64, F.lit(64)).otherwise(F.length(alphabet)).cast("double")
-
     def total(values: Column) -> Column:
         return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
+    def with_alphabet(token: Column) -> Column:
+        return (
+            F.when(token.rlike("^[0-9a-f]+$") | token.rlike("^[0-9A-F]+$"), F.lit(_HEX))
+            .when(token.rlike("^[A-Z2-7]+=*$"), F.lit(_B32))
+            .when(token.rlike("^[0-9A-Za-z]+$"), F.lit(_B62))
+            .otherwise(F.lit(_B64))
+        )
+
+    def with_places(x: Column) -> Column:
+        alphabet = x["alphabet"]
+        read = F.when(alphabet == _HEX, F.lower(x["token"])).otherwise(x["token"])
+        k = F.when(alphabet == _B64, F.lit(64)).otherwise(F.length(alphabet)).cast("double")
+        chars = F.split(x["token"], "")
+        lower = alphabet == _HEX
+        at = F.transform(chars, lambda c: F.instr(alphabet, F.when(lower, F.lower(c)).otherwise(c)).cast("double"))
+        return F.struct(
+            F.length(x["token"]).alias("n"), k.alias("k"), read.alias("read"), F.split(read, "").alias("chars"), at.alias("at")
+        )
+
+    def with_middle(x: Column) -> Column:
+        return F.struct(*(x[f].alias(f) for f in ("n", "k", "read", "chars", "at")), (total(x["at"]) / x["n"]).alias("middle"))
+
     def finish(x: Column) -> Column:
-        n, k, at = x["n"], x["k"], x["at"]
+        size, k, at = x["n"], x["k"], x["at"]
+        n = size.cast("double")
         squares = total(
             F.transform(
                 F.array_distinct(x["chars"]),
-                lambda c: F.pow((n - F.length(F.replace(x["read"], c))).cast("double"), F.lit(2.0)),
+                lambda c: F.pow((size - F.length(F.replace(x["read"], c))).cast("double"), F.lit(2.0)),
             )
         )
         chi = k / n * squares - n
@@ -123,35 +143,32 @@ def battery(token: Column) -> Column:
         high = F.transform(at, lambda i: (i * 2 > k).cast("double"))
         ups = total(high)
         downs = n - ups
-        tail = F.slice(high, 2, n)
-        changes = total(F.zip_with(F.slice(high, 1, n - 1), tail, lambda a, b: F.abs(a - b)))
+        tail = F.slice(high, 2, size)
+        changes = total(F.zip_with(F.slice(high, 1, size - 1), tail, lambda a, b: F.abs(a - b)))
         mean = 2 * ups * downs / n
         spread = F.sqrt(F.greatest(mean * (2 * ups * downs - n) / (n * (n - 1)), F.lit(0.0)))
         z_runs = F.when((ups == 0) | (downs == 0), (n - 1) / F.sqrt(n - 1.0)).otherwise(
             (changes - mean) / F.greatest(spread, F.lit(1e-9))
         )
-        middle = total(at) / n
-        off = F.transform(at, lambda i: i - middle)
+        off = F.transform(at, lambda i: i - x["middle"])
         energy = total(F.transform(off, lambda i: i * i))
-        lag = total(F.zip_with(F.slice(off, 1, n - 1), F.slice(off, 2, n), lambda a, b: a * b))
+        lag = total(F.zip_with(F.slice(off, 1, size - 1), F.slice(off, 2, size), lambda a, b: a * b))
         z_serial = F.when(energy == 0, F.sqrt(n * 1.0)).otherwise((lag / F.greatest(energy, F.lit(1e-9)) + 1 / n) * F.sqrt(n * 1.0))
         # For a word, the pairs of equal characters number n(n-1) times the coincidence rate.
         pairs = squares - n
-        every = (n * (n - 1)).cast("double")
+        every = n * (n - 1)
         expect = every * COINCIDENCE
         sd = F.sqrt(
             2 * every * (COINCIDENCE - COINCIDENCE**2) + 4 * every * (n - 2) * (TRIPLE - COINCIDENCE**2)
         )
         return F.struct(
-            n.alias("n"), k.alias("k"), z_chi.alias("z_chi"), z_runs.alias("z_runs"), z_serial.alias("z_serial"),
+            size.alias("n"), k.alias("k"), z_chi.alias("z_chi"), z_runs.alias("z_runs"), z_serial.alias("z_serial"),
             _normal_tail((pairs - expect) / sd).alias("score"),
         )
 
-    bundle = F.struct(
-        n.alias("n"), k.alias("k"), read.alias("read"), chars.alias("chars"),
-        F.transform(chars, lambda c: F.instr(alphabet, c).cast("double")).alias("at"),
-    )
-    return F.get(F.transform(F.array(bundle), finish), 0)
+    # Each step's values are worked out once: what a lambda names again would be worked out again.
+    named = once(token, lambda t: F.struct(t.alias("token"), with_alphabet(t).alias("alphabet")))
+    return once(once(once(named, with_places), with_middle), finish)
 
 
 def looks_random(b: Column) -> Column:
@@ -269,27 +286,23 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "<SECRET>") -> DataFrame:
     """docs with every span's text replaced by mask; overlapping spans by one. Null texts stay null."""
-    rows = docs.withColumn("_row", F.col(text_col))
-    limited = limits(scan(rows.select(F.col("_row")), "_row"))
-    found = spans_of(scan(rows, "_row"), limited)
+    # The row goes along as one column, so that none of its names can clash.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(text_col).alias("_text"))
+    found = spans_of(scan(rows, "_text"), limits(scan(rows.select("_text"), "_text")))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["s"] >= acc["at"]
-        out = F.concat(
-            acc["out"],
-            F.when(
-                fresh, F.concat(F.substring(F.col(text_col), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mask))
-            ).otherwise(F.lit("")),
-        )
+        before = F.substring(F.col("_text"), acc["at"] + 1, x["s"] - acc["at"])
+        out = F.concat(acc["out"], F.when(fresh, F.concat(before, F.lit(mask))).otherwise(F.lit("")))
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
 
     cut = F.aggregate(
         "spans", begin, step,
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))),
+        lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))),
     )
-    masked = F.when(F.size("spans") > 0, cut).otherwise(F.col(text_col))
-    return found.withColumn(text_col, masked).drop("_row", "base_spans", "spans")
+    masked = F.when(F.size("spans") > 0, cut).otherwise(F.col("_text"))
+    return found.select(F.col("_doc").withField(f"`{text_col}`", masked).alias("_doc")).select("_doc.*")
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
