@@ -19,7 +19,7 @@ LEAST_SCORE = 0.5
 #: Most row numbers that are broadcast to drop rows; beyond, a shuffled join does.
 MAX_BROADCAST = 1_000_000
 
-ROW = "_row"
+ROW = "__sievekit_row"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -38,9 +38,11 @@ def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters and those that no language has most of."""
     model = language.fit(docs.where(~language.held_out()))
-    found = language.identify(docs, model, keep=docs.columns)
+    # The row goes along as one column, so that none of its names can clash.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), "text")
+    found = language.identify(rows, model, keep=["_doc"])
     kept = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return found.where(kept).select(*docs.columns)
+    return found.where(kept).select("_doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +70,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     out = secrets.redact(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
