@@ -48,12 +48,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of linked documents the one with the least id."""
     rows = _numbered(docs)
-    found = materialize(jaccard.link(rows, id_col=ROW, keep=["doc_id"]), "linked")
-    groups = found.groupBy("component_id").agg(
-        F.min_by(ROW, F.struct("doc_id", ROW)).alias("kept"), F.count("*").alias("n")
-    )
-    groups = groups.where("n > 1").select("component_id", "kept")
-    dropped = found.join(groups, "component_id").where(F.col(ROW) != F.col("kept")).select(ROW)
+    # The least of these is a group's id: no null, then the least doc_id, then the first row.
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(ROW).alias("row"))
+    found = jaccard.link(rows.select(own.alias("_id"), "text"), id_col="_id")
+    dropped = found.where(F.col("component_id.row") != F.col("_id.row")).select(F.col("_id.row").alias(ROW))
     return _without(rows, dropped)
 
 
