@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("evaluation", "curation", "judging", "checks")
+MODULES = ("evaluation", "curation", "judging", "checks", "joins")
 
 
 def collect() -> tuple[dict, dict]:

@@ -15,10 +15,10 @@ _NGRAMS = f"""
 tok AS (SELECT doc_id AS id, {_TOK} AS w FROM documents), sg AS (SELECT id, {_GRAMS} AS g FROM tok),
 itok AS (SELECT item_id, {_TOK} AS w FROM benchmark), ig AS (SELECT item_id, {_GRAMS} AS g FROM itok),
 sr AS (SELECT id, len(g) AS n_grams, unnest(g) AS gram FROM sg), ir AS (SELECT item_id, len(g) AS n_item, unnest(g) AS gram FROM ig)"""
-_PAIRS = f"""{_NGRAMS},
+PAIRS = f"""{_NGRAMS},
 pairs AS (SELECT id, item_id, count(*) AS shared, count(*) * 1.0E0 / (any_value(n_grams) + any_value(n_item) - count(*)) AS overlap
   FROM sr JOIN ir USING (gram) GROUP BY 1, 2)"""
-_AUDIT = f"""{_PAIRS}, best AS (SELECT id, max(overlap) AS overlap FROM pairs GROUP BY 1),
+_AUDIT = f"""{PAIRS}, best AS (SELECT id, max(overlap) AS overlap FROM pairs GROUP BY 1),
 audited AS (SELECT doc_id AS id, coalesce(overlap, 0.0) AS overlap, coalesce(overlap, 0.0) >= 0.3 AS flagged
   FROM documents LEFT JOIN best ON id = doc_id)"""
 
@@ -135,7 +135,7 @@ ORACLE = {
     "x03_char_ngrams": r"""WITH t AS (SELECT item_id, regexp_replace(lower(text), '\s+', ' ', 'g') AS t FROM benchmark)
       SELECT item_id, unnest(list_distinct(list_transform(range(1, greatest(length(t) - 3, 1)), lambda i: substring(t, i, 5)))) AS gram FROM t""",
     "x04_token_ngrams": f"WITH {_NGRAMS} SELECT item_id, n_item AS n_grams, gram FROM ir",
-    "u03_ngram_jaccard": f"WITH {_PAIRS} SELECT * FROM pairs",
+    "u03_ngram_jaccard": f"WITH {PAIRS} SELECT * FROM pairs",
     "j21_audit": f"WITH {_AUDIT} SELECT * FROM audited",
     "a22_audit_summary": f"""WITH {_AUDIT} SELECT count(*) AS total, count(*) FILTER (WHERE flagged) AS flagged,
       avg(CAST(flagged AS INT)) AS rate, avg(overlap) AS avg_overlap FROM audited""",

@@ -177,7 +177,7 @@ QUERIES = {
 }
 
 _LONG = " || ".join(["'Write pytest tests for this code.' || chr(10)", "'Weakness: ' || lang || chr(10)", "'Function: ' || source || chr(10)", "'```python' || chr(10) || text || chr(10) || '```' || chr(10)"])
-_COMBINE = f"""{v.judge_sql('user', 'sec')}, {v.judge_sql('assistant', 'qual')},
+COMBINE = f"""{v.judge_sql('user', 'sec')}, {v.judge_sql('assistant', 'qual')},
   comb AS (SELECT coalesce(sec.sample_id, qual.sample_id) AS sample_id, sec.raw / 100.0 AS security, qual.raw / 100.0 AS quality,
     coalesce(sec.raw / 100.0, 0) * 0.6 + coalesce(qual.raw / 100.0, 0) * 0.4 AS composite FROM sec FULL JOIN qual ON sec.sample_id = qual.sample_id)"""
 
@@ -193,8 +193,8 @@ ORACLE = {
     "n01_json_blob": "SELECT item_id, CASE WHEN item_id % 5 <> 0 THEN CAST(length(text) % 101 AS INT) END AS score FROM benchmark",
     "n02_scaled": "SELECT item_id, coalesce(CASE WHEN item_id % 5 <> 0 THEN length(text) % 101 END, 0) / 100.0 AS score FROM benchmark",
     "n03_repaired": "SELECT item_id, CAST(item_id AS INT) AS n FROM benchmark",
-    "j04_composite": f"WITH {_COMBINE} SELECT * FROM comb",
-    "a32_judge_summary": f"""WITH {_COMBINE}, b AS (SELECT *, CASE WHEN security IS NOT NULL AND quality IS NOT NULL THEN composite END AS c FROM comb)
+    "j04_composite": f"WITH {COMBINE} SELECT * FROM comb",
+    "a32_judge_summary": f"""WITH {COMBINE}, b AS (SELECT *, CASE WHEN security IS NOT NULL AND quality IS NOT NULL THEN composite END AS c FROM comb)
       SELECT count(security) AS n_security, count(quality) AS n_quality, count(c) AS n_both, avg(security) AS avg_security, avg(quality) AS avg_quality,
       avg(c) AS avg_composite, min(c) AS min_composite, max(c) AS max_composite FROM b""",
     "m02_composite": f"WITH {v.RESULT} SELECT sample_id, coalesce(mutation_score, 0) * 0.5 + 0.5 * 0.2 + coalesce(line_coverage, 0) * 0.15 AS composite FROM v_result",
