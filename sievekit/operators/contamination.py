@@ -46,7 +46,8 @@ def jaccard(one: Column, two: Column) -> Column:
 def ngram_rows(rows: DataFrame, id_col: str, text_col: str, n: int = 5) -> DataFrame:
     """A row for each distinct token n-gram of each text, with their number."""
     grams = rows.select(id_col, token_ngrams(F.col(text_col), n).alias("grams"))
-    return grams.select(id_col, F.size("grams").alias("n_grams"), F.explode("grams").alias("gram"))
+    # explode() would make Catalyst add a filter that works the n-grams out a second time.
+    return grams.select(id_col, F.size("grams").alias("n_grams"), F.explode_outer("grams").alias("gram")).where("gram IS NOT NULL")
 
 
 def overlaps(samples: DataFrame, corpus: DataFrame, n: int = 5) -> DataFrame:
