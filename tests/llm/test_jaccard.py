@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from sievekit.llm import jaccard
 from sievekit.llm.jaccard import components, link, op3_ngram_jaccard_join
 
 
@@ -61,6 +62,13 @@ def test_equals_brute_force(spark, sizes):
     assert got == brute(rows)
 
 
+def test_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MAX_BROADCAST", 0)
+    rows = corpus()
+    got = link(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows)
+
+
 def test_odd_rows(spark):
     rows = [(7, "a b c d e", 1), (7, "a b c d e", 2), (None, "a b c d e", 3), (9, None, 4), (None, None, 5)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, sig int")

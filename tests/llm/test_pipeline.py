@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from sievekit.llm import registry
 
@@ -24,7 +26,9 @@ def corpus():
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-def test_stages(spark, tmp_path):
+@pytest.mark.parametrize("most", [corpus_pipeline.MAX_BROADCAST, 0])
+def test_stages(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(corpus_pipeline, "MAX_BROADCAST", most)
     docs, items = corpus()
     extra = [(*d, "a", 1, "b", 2) for d in docs]
     spark.createDataFrame(extra, SCHEMA + ", lang_pred string, _row int, spans string, sig int").write.parquet(f"{tmp_path}/documents.parquet")
