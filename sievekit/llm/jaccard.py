@@ -373,10 +373,8 @@ def _verified(pairs: DataFrame, blobs: DataFrame, size: int, percent: int) -> Da
                     keep.append((100 + percent) * both >= percent * (len(one) + len(two)))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    # Each task sent a class's text once; more tasks may have.
-    texts = blobs.dropDuplicates(["sig"])
-    one = texts.select(F.col("sig").alias("a"), F.col("blob").alias("x"))
-    two = texts.select(F.col("sig").alias("b"), F.col("blob").alias("y"))
+    one = blobs.select(F.col("sig").alias("a"), F.col("blob").alias("x"))
+    two = blobs.select(F.col("sig").alias("b"), F.col("blob").alias("y"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
@@ -458,7 +456,8 @@ def link(
     pairs = every.where(F.col("kind") == _PAIR).select("a", "b")
     tried = every.where(F.col("kind") != _LEADER).select(F.explode(F.array("a", "b")).alias("sig"))
     wanted = materialize(tried.where("sig IS NOT NULL").distinct(), "wanted")
-    blobs = materialize(_blobs(rows, wanted, size), "blobs")
+    # Each task sends a class's text once; written before the joins, so that these can split a leader's pairs.
+    blobs = materialize(_blobs(rows, wanted, size).dropDuplicates(["sig"]), "blobs")
     links = _links(pairs, blobs, classes, size, percent)
     comps = materialize(components(links), "components")
     # Long runs: all pairs of different components.
