@@ -5,8 +5,11 @@ from the highest bit. For each order of ORDERS a predictor keeps, in hashed slot
 often a decision went either way after the last bytes and the bits so far; these counts
 are gathered from all training texts. A mixer adds the predictors' log-odds with weights
 that are gated by the bit's place and the longest context seen before, and that are
-learned online, decision by decision in small blocks, on training texts kept out of the
-counts. For each text the mixer's answer is refined adaptively: sharper and flatter
+learned online, decision by decision in small blocks, on one of TUNE_SHARE training texts.
+While the mixer learns, these texts are kept out of the counts, so that they are new to the
+predictors; after that their counts are added. They are dealt into shares of some
+TUNE_BYTES that learn beside each other, and the shares' weights are averaged by their
+bytes. For each text the mixer's answer is refined adaptively: sharper and flatter
 versions of it are weighted by how well they did on the text so far (Bayes' rule). The
 sum of the decisions' costs is the text's total; over its bytes it gives bits per byte.
 
@@ -48,9 +51,11 @@ BLOCK = 1 << 17
 ADDED = 0.4
 #: The end of a text, and what is before its beginning; never a byte of UTF-8.
 END = 0xFF
-#: Training texts kept out of the counts (one of so many) and most of them, for the mixer.
-TUNE_SHARE, MAX_TUNE, MAX_TUNE_CHARS = 20, 300, 20_000
+#: Training texts that the mixer learns from (one of so many), bytes of a share of them.
+TUNE_SHARE, TUNE_BYTES = 20, 1 << 19
 TUNE_BLOCK, RATE, EPOCHS = 1024, 0.02, 2
+#: Decisions of so many bytes are made ready at once for the mixer.
+TUNE_CODES = 1 << 17
 #: Factors of the log-odds among which each text's weights choose.
 FACTORS = (0.7, 1.0, 1.3)
 MAX_LOGIT = 14.0
@@ -95,8 +100,8 @@ def _decisions(code: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         yield k, node, (byte >> np.uint64(7 - k) & np.uint64(1)).astype(np.int64)
 
 
-def _count(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds and (in quarters of a doubling) count of each slot, from all texts."""
+def _count(docs: DataFrame, aside: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Log-odds and (in quarters of a doubling) count of each slot, from docs, and from docs and aside."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(N_SLOTS * 2, dtype=np.uint32)
@@ -121,37 +126,45 @@ def _count(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for block, late, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 raw = np.frombuffer(zlib.decompress(blob), dtype=np.uint32)
                 at, n = raw[: len(raw) // 2], raw[len(raw) // 2 :]
-                total.setdefault(block, np.zeros(BLOCK, dtype=np.uint64))[at] += n
-        for block, sums in total.items():
-            # Log-odds and the logarithm of the count are all that predictors use.
-            two = sums.reshape(-1, 2).astype(np.float64)
-            odds = np.log((two[:, 1] + ADDED) / (two[:, 0] + ADDED)).astype(np.float16)
-            seen = np.minimum(np.log2(1 + two.sum(axis=1)) * 4, 255).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block], pa.int32()),
-                    pa.array([zlib.compress(odds.tobytes(), 1)], pa.binary()),
-                    pa.array([zlib.compress(seen.tobytes(), 1)], pa.binary()),
-                ],
-                names=["block", "odds", "seen"],
-            )
-
-    parts = docs.select("text").mapInArrow(run, "block int, blob binary").repartition(64, "block")
-    odds = np.zeros(N_SLOTS, dtype=np.float16)
-    seen = np.zeros(N_SLOTS, dtype=np.uint8)
+                if block not in total:
+                    total[block] = [np.zeros(BLOCK, dtype=np.uint64) for _ in range(2)]
+                total[block][int(late)][at] += n
+        for block, (first, rest) in total.items():
+            for whole, sums in ((False, first), (True, first + rest)):
+                # Log-odds and the logarithm of the count are all that predictors use.
+                two = sums.reshape(-1, 2).astype(np.float64)
+                odds = np.log((two[:, 1] + ADDED) / (two[:, 0] + ADDED)).astype(np.float16)
+                seen = np.minimum(np.log2(1 + two.sum(axis=1)) * 4, 255).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([block], pa.int32()),
+                        pa.array([whole], pa.bool_()),
+                        pa.array([zlib.compress(odds.tobytes(), 1)], pa.binary()),
+                        pa.array([zlib.compress(seen.tobytes(), 1)], pa.binary()),
+                    ],
+                    names=["block", "whole", "odds", "seen"],
+                )
+
+    parts = [
+        d.select("text").mapInArrow(run, "block int, blob binary").select("block", F.lit(late).alias("late"), "blob")
+        for late, d in ((False, docs), (True, aside))
+    ]
+    parts = parts[0].unionByName(parts[1]).repartition(64, "block")
+    tables = [(np.zeros(N_SLOTS, dtype=np.float16), np.zeros(N_SLOTS, dtype=np.uint8)) for _ in range(2)]
     half = BLOCK // 2
-    for row in parts.mapInArrow(add, "block int, odds binary, seen binary").collect():
+    for row in parts.mapInArrow(add, "block int, whole boolean, odds binary, seen binary").collect():
         at = row["block"] * half
+        odds, seen = tables[int(row["whole"])]
         o = np.frombuffer(zlib.decompress(bytes(row["odds"])), dtype=np.float16)
         s = np.frombuffer(zlib.decompress(bytes(row["seen"])), dtype=np.uint8)
         odds[at : at + half] = o[: len(odds) - at]
         seen[at : at + half] = s[: len(seen) - at]
-    return odds, seen
+    return tables[0], tables[1]
 
 
 @dataclass
@@ -203,14 +216,16 @@ def tune(odds: np.ndarray, seen: np.ndarray, texts: list[bytes]) -> Model:
     gates = (len(ORDERS) + 1) * 8
     model = Model(odds, seen, np.full((gates, len(ORDERS) + 1), 0.35, dtype=np.float32))
     past = np.full(model.weights.shape, 1e-3)
-    for _ in range(EPOCHS):
-        for text in texts:
-            code = _codes([text])[0]
+    codes = _codes(texts)[0] if texts else np.zeros(0, dtype=np.uint64)
+    for first in range(0, len(codes), TUNE_CODES):
+        code = codes[first : first + TUNE_CODES]
+        contexts = _slots(code)
+        # The inputs don't depend on the weights.
+        ready = [(*model.inputs(contexts, k, node), bit) for k, node, bit in _decisions(code)]
+        for _ in range(EPOCHS):
             for begin in range(0, len(code), TUNE_BLOCK):
-                part = code[begin : begin + TUNE_BLOCK]
-                contexts = _slots(part)
-                for k, node, bit in _decisions(part):
-                    x, gate = model.inputs(contexts, k, node)
+                for xs, gate_of, bits in ready:
+                    x, gate, bit = (a[..., begin : begin + TUNE_BLOCK] for a in (xs, gate_of, bits))
                     logit = (model.weights[gate].T * x).sum(axis=0)
                     off = bit - 1 / (1 + np.exp(-np.clip(logit, -MAX_LOGIT, MAX_LOGIT)))
                     step = np.zeros_like(past)
@@ -221,16 +236,35 @@ def tune(odds: np.ndarray, seen: np.ndarray, texts: list[bytes]) -> Model:
     return model
 
 
+def _tune_shares(aside: DataFrame, odds: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The mixer's weights from all texts of aside (doc_id, text)."""
+    sent = aside.sparkSession.sparkContext.broadcast((odds, seen))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [t for _, part in slices(batches, "text", SLICE) for t in part]
+        if texts:
+            weights = tune(*sent.value, texts).weights
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([sum(len(t) + 1 for t in texts)]), pa.array([weights.tobytes()], pa.binary())], names=["n", "weights"]
+            )
+
+    size = aside.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+    dealt = aside.repartition(-(-size // TUNE_BYTES) or 1, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = dealt.mapInArrow(run, "n bigint, weights binary").collect()
+    sent.unpersist()
+    if not rows:
+        return tune(odds, seen, []).weights
+    found = [np.frombuffer(bytes(r["weights"]), dtype=np.float32).reshape(-1, len(ORDERS) + 1) for r in rows]
+    return np.average(found, axis=0, weights=[r["n"] for r in rows]).astype(np.float32)
+
+
 def fit(docs: DataFrame) -> Model:
-    """Counts of all texts but the tuning ones, and a mixer learned on a bounded sample of those."""
+    """Counts of all texts, and a mixer learned on a share of them while their counts were left out."""
     small_batches(docs.sparkSession)
-    aside = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(TUNE_SHARE)) == 0, F.lit(False))
-    odds, seen = _count(docs.where(~aside))
-    sample = (
-        docs.where(aside & (F.length("text") <= MAX_TUNE_CHARS)).select("doc_id", "text")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(MAX_TUNE).collect()
-    )
-    return tune(odds, seen, [r["text"].encode() for r in sample])
+    chosen = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(TUNE_SHARE)) == 0, F.lit(False))
+    aside = materialize(docs.where(chosen).select("doc_id", "text"), "aside")
+    first, whole = _count(docs.where(~chosen), aside)
+    return Model(*whole, _tune_shares(aside, *first))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:

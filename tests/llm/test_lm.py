@@ -82,6 +82,23 @@ def test_memory_of_runs_changes_nothing():
     assert model.bits([b"the cat runs of the dog "])[0] < model.bits([b"qxj vwk zzpl qq jjx bnm "])[0]
 
 
+def test_every_training_text_is_learned_from(spark):
+    texts = {k: f"the cat {k} runs of the dog" for k in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    chosen = [r.doc_id for r in docs.where(f"pmod(xxhash64(doc_id), {lm.TUNE_SHARE}) = 0").collect()]
+    assert 0 < len(chosen) < 60
+    for k in chosen:
+        texts[k] = f"qx{k}zv " * 4_000
+    model = lm.fit(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3))
+    for k, text in texts.items():
+        code = lm._codes([text.encode()])[0]
+        contexts = lm._slots(code)
+        for _, node, _ in lm._decisions(code):
+            assert all((model.seen[lm._place(contexts[o], o, node)] > 0).all() for o in lm.ORDERS), k
+    # Texts that are long are the mixer's too.
+    assert min(len(texts[k]) for k in chosen) > 20_000 and not np.allclose(model.weights, 0.35)
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert lm.op9_lm_scoring(spark, str(tmp_path)).count() == 0
