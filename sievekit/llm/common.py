@@ -111,7 +111,7 @@ _IS_WHITE[list(WHITE)] = True
 _powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, n of each at least."""
     if len(_powers[0]) < n:
         size = ((n >> 19) + 1) << 19  # kept as small as the largest slice allows
@@ -124,7 +124,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A uint64 hash of data[start:end] for each span."""
-    up, down = _power(len(data) + 1)
+    up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTES[data] * up[: len(data)], out=total[1:])
     length = (end - start).astype(np.uint64)

@@ -3,7 +3,11 @@
 A page is cut into blocks of visible text, and these into tokens (sentences). The token
 streams of a host's pages are put one after another, in shards of some SHARD pages; a
 suffix array gives the runs of tokens that are repeated on MIN_PAGES distinct pages of
-the shard and have MIN_WORDS words. A block that such runs cover for the most part is
+the shard and have MIN_WORDS words. On hosts of several shards the same is found over all
+of them: a token lies in a repeated run exactly if it lies in a repeated one that can't be
+shortened at its end, or at its beginning, without losing MIN_WORDS; there are at most two
+such windows a token, and the host's distinct pages are counted for each. So the shards
+don't change what is repeated. A block that such runs cover for the most part is
 boilerplate; what remains are the page's unique runs.
 
 Markup goes before repetition where it speaks: what navigation, footers, forms, adverts,
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import materialize, small_batches, span_hash
+from sievekit.llm.common import materialize, mix, powers, small_batches, span_hash
 
 #: Pages that are searched for repetition together, and what makes a run boilerplate.
 SHARD, MIN_PAGES, MIN_WORDS = 96, 3, 4
@@ -36,6 +40,8 @@ SHARD, MIN_PAGES, MIN_WORDS = 96, 3, 4
 COVERED = 0.5
 #: Most hosts of several shards that are broadcast; beyond, they are joined.
 MAX_BROADCAST = 100_000
+#: Most windows repeated over several shards that are broadcast, 8 bytes each; beyond, they are joined.
+MAX_REPEATED = 2_000_000
 
 # Elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -257,6 +263,26 @@ def repeated_runs(streams: list[np.ndarray], words: list[np.ndarray]) -> list[np
     return [by_page[k] for k in alike]
 
 
+def windows(stream: np.ndarray, words: np.ndarray, site: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and end token and hash (with site's) of the shortest runs of MIN_WORDS words from and up to each token."""
+    n = len(stream)
+    total = np.concatenate([[0], np.cumsum(words)])
+    own = np.arange(n)
+    end = np.searchsorted(total, total[:-1] + MIN_WORDS, side="left")
+    begin = np.searchsorted(total, total[1:] - MIN_WORDS, side="right") - 1
+    a = np.concatenate([own[end <= n], begin[begin >= 0]])
+    b = np.concatenate([end[end <= n], own[begin >= 0] + 1])
+    return a, b, mix(_run_hash(stream, a, b) ^ np.uint64(site & (1 << 64) - 1))
+
+
+def _run_hash(stream: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the tokens stream[begin:end] for each run."""
+    up, down = powers(len(stream) + 1)
+    total = np.zeros(len(stream) + 1, dtype=np.uint64)
+    np.cumsum(stream * up[: len(stream)], out=total[1:])
+    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
+
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes of text in order, and how many first tokens each shares with the one before it."""
     n = len(text)
@@ -302,12 +328,23 @@ def _hashes(texts: list[str]) -> np.ndarray:
     return span_hash(joined, end - [len(d) for d in data], end)
 
 
-def choose(pages: list[list[tuple[str, str]]]) -> tuple[list[str], list[int]]:
-    """The main text of each page of a shard, and how many of its tokens repeated runs cover."""
+def choose(pages: list[list[tuple[str, str]]], site: int = 0, repeated: np.ndarray | None = None) -> tuple[list[str], list[int]]:
+    """The main text of each page of a shard, and how many of its tokens repeated runs cover.
+
+    repeated: sorted hashes of the windows that the host's other shards help to repeat.
+    """
     cut = [[tokens(t) for _, t in page] for page in pages]
-    flat = [[t for c in page for t in c] for page in cut]
-    words = [np.array([len(t.split()) for t in f], dtype=np.int64) for f in flat]
-    covered = repeated_runs([_hashes(f) if f else np.zeros(0, dtype=np.uint64) for f in flat], words)
+    streams, words = map(list, zip(*map(_stream, cut), strict=True)) if cut else ([], [])
+    covered = repeated_runs(streams, words)
+    if repeated is not None and len(repeated):
+        for stream, w, c in zip(streams, words, covered, strict=True):
+            a, b, h = windows(stream, w, site)
+            at = np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)
+            found = repeated[at] == h
+            change = np.zeros(len(stream) + 1, dtype=np.int64)
+            np.add.at(change, a[found], 1)
+            np.add.at(change, b[found], -1)
+            c |= np.cumsum(change)[:-1] > 0
     texts = []
     for page, parts, c, w in zip(pages, cut, covered, words, strict=True):
         own = decided(page)
@@ -322,6 +359,36 @@ def choose(pages: list[list[tuple[str, str]]]) -> tuple[list[str], list[int]]:
     return texts, [int(c.sum()) for c in covered]
 
 
+def _stream(parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a page's tokens, and their numbers of words."""
+    flat = [t for part in parts for t in part]
+    words = np.array([len(t.split()) for t in flat], dtype=np.int64)
+    return _hashes(flat) if flat else np.zeros(0, dtype=np.uint64), words
+
+
+def _windows(dealt: DataFrame) -> DataFrame:
+    """h, stream, site, shard: the windows of each page on hosts of several shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for k, (site, page) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                stream, words = _stream([tokens(t) for _, t in blocks(page or "")])
+                h = np.unique(windows(stream, words, site)[2])
+                whole = _run_hash(stream, np.array([0]), np.array([len(stream)]))
+                found.append((h, np.repeat(whole, len(h)), np.full(len(h), k)))
+            if found:
+                h, whole, k = (np.concatenate(c) for c in zip(*found, strict=True))
+                at = pa.array(k.astype(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)],
+                    names=["h", "stream", "site", "shard"],
+                )
+
+    rows = dealt.where("many").select("site", "shard", "html")
+    return rows.mapInArrow(run, "h bigint, stream bigint, site bigint, shard bigint")
+
+
 def _shards(rows: DataFrame) -> DataFrame:
     """Deal the pages of each host (column host) to shards of some SHARD pages: column shard."""
     large = rows.groupBy("host").count().where(F.col("count") > SHARD)
@@ -329,7 +396,11 @@ def _shards(rows: DataFrame) -> DataFrame:
     if large.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         large = F.broadcast(large)
     dealt = rows.join(large, "host", "left")
-    return dealt.withColumn("shard", F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("shards", F.lit(1)))).drop("shards")
+    shards = F.coalesce("shards", F.lit(1))
+    return dealt.select(
+        "page_id", "url", "html", F.xxhash64("host").alias("site"), (shards > 1).alias("many"),
+        F.pmod(F.xxhash64("page_id", "url", "html"), shards).alias("shard"),
+    )
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -350,15 +421,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     pa.array([[p for p, _ in f] for f in found], type=pa.list_(pa.string())),
                     pa.array([[t for _, t in f] for f in found], type=pa.list_(pa.string())),
                 ],
-                names=["page_id", "url", "host", "shard", "places", "blocks"],
+                names=["page_id", "url", "site", "shard", "places", "blocks"],
             )
 
-    def finish(shard: pa.Table) -> pa.Table:
+    def finish(shard: pa.Table, repeated: np.ndarray) -> pa.Table:
         found = [
             list(zip(p, b, strict=True))
             for p, b in zip(shard.column("places").to_pylist(), shard.column("blocks").to_pylist(), strict=True)
         ]
-        texts, covered = choose(found)
+        texts, covered = choose(found, shard.column("site")[0].as_py() if found else 0, repeated)
         return pa.table(
             {
                 "page_id": shard.column("page_id"), "url": shard.column("url"), "text": pa.array(texts, type=pa.string()),
@@ -366,12 +437,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             }
         )
 
-    parsed = _shards(rows).select("page_id", "url", "host", "shard", "html").mapInArrow(
-        parse, f"page_id {kind}, url string, host string, shard bigint, places array<string>, blocks array<string>"
-    )
-    return parsed.groupBy("host", "shard").applyInArrow(
-        finish, f"page_id {kind}, url string, text string, n_chars bigint, n_repeated bigint"
-    )
+    def finish_both(shard: pa.Table, hits: pa.Table) -> pa.Table:
+        return finish(shard, np.sort(hits.column("h").to_numpy().view(np.uint64)))
+
+    dealt = _shards(rows)
+    seen = _windows(dealt)
+    often = seen.groupBy("h").agg(F.count_distinct("stream").alias("n")).where(F.col("n") >= MIN_PAGES).select("h")
+    often = materialize(often, "windows")
+    parsed = dealt.select("page_id", "url", "site", "shard", "html").mapInArrow(
+        parse, f"page_id {kind}, url string, site bigint, shard bigint, places array<string>, blocks array<string>"
+    ).groupBy("site", "shard")
+    out = f"page_id {kind}, url string, text string, n_chars bigint, n_repeated bigint"
+    if often.count() <= MAX_REPEATED:
+        sent = pages.sparkSession.sparkContext.broadcast(np.sort(often.toArrow().column("h").to_numpy().view(np.uint64)))
+        return parsed.applyInArrow(lambda shard: finish(shard, sent.value), out)
+    hits = seen.select("h", "site", "shard").distinct().join(often, "h", "left_semi")
+    return parsed.cogroup(hits.groupBy("site", "shard")).applyInArrow(finish_both, out)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,43 @@ def test_boilerplate_by_repetition(spark, monkeypatch, most):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_windows_cover_what_runs_cover():
+    rng = random.Random(4)
+    for _ in range(200):
+        pages = [np.array([rng.randrange(5) for _ in range(rng.randint(0, 9))], dtype=np.uint64) for _ in range(rng.randint(1, 7))]
+        words = [np.array([int(t) % 3 for t in p], dtype=np.int64) for p in pages]
+        on = {}
+        for p, w in zip(pages, words, strict=True):
+            for h in html.windows(p, w, 7)[2].tolist():
+                on.setdefault(h, set()).add(p.tobytes())
+        for p, w, want in zip(pages, words, repeated_runs(pages, words), strict=True):
+            got = np.zeros(len(p), dtype=bool)
+            for a, b, h in zip(*html.windows(p, w, 7), strict=True):
+                got[a:b] |= len(on[int(h)]) >= html.MIN_PAGES
+            assert got.tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("most", [html.MAX_REPEATED, 0])
+def test_shards_change_nothing(spark, monkeypatch, most):
+    """Notices on few pages of a large host, which no shard holds often enough."""
+    monkeypatch.setattr(html, "MAX_REPEATED", most)
+    rows = []
+    for k in range(400):
+        own = "".join(f"<div>Page {k} says sentence {j} of its own.</div>" for j in range(3))
+        note = f"<div>Notice {k % 100} is on four pages here.</div>" if k < 390 else ""
+        rows.append((k, f"http://big.org/{k}", own + note))
+    rows += [(1000 + k, f"http://big.org/copy{k}", "<div>Equal pages count as one page only.</div>") for k in range(9)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+
+    def run():
+        return sorted(tuple(r) for r in extract(table).collect())
+
+    dealt = run()
+    monkeypatch.setattr(html, "SHARD", 1000)
+    assert dealt == run()
+    assert not any("Notice" in r[2] for r in dealt) and all(r[2] for r in dealt)
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert op1_html_extraction(spark, str(tmp_path)).count() == 0
