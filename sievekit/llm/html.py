@@ -10,10 +10,11 @@ such windows a token, and the host's distinct pages are counted for each. So the
 don't change what is repeated. A block that such runs cover for the most part is
 boilerplate; what remains are the page's unique runs.
 
-Markup goes before repetition where it speaks: what navigation, footers, forms, adverts,
-comments and the like hold is dropped, and what an article (or, without one, main)
-element holds is kept whole even if other pages repeat it, as copies of articles and
-shared passages do. Repetition decides on all blocks of pages without such an element.
+Markup is a check besides: what navigation, footers, forms, adverts, comments and the like
+hold is dropped, and where a page has an article (or, without one, a main) element only
+its blocks are looked at. Repetition decides on all blocks that are left. An article or
+main element that repeated runs cover for the most part is not boilerplate but a copy of
+an article, and is kept whole.
 
 Defined results: a null or empty html gives an empty text; a null url has an empty host;
 repeated rows give a row each and count as one page for repetition, as do all pages with
@@ -188,13 +189,16 @@ def tokens(text: str) -> list[str]:
     return _SENTENCE.split(text)
 
 
+def place_of_text(found: list[tuple[str, str]]) -> str | None:
+    """Where a page's text is: its article, else main, else loose blocks, None if it has none of them."""
+    places = {p for p, _ in found}
+    return next((kind for kind in ("article", "main", "loose") if kind in places), None)
+
+
 def decided(found: list[tuple[str, str]]) -> list[str] | None:
-    """The blocks that markup gives a page, None if repetition must decide."""
-    for kind in ("article", "main"):
-        own = [t for p, t in found if p == kind]
-        if own:
-            return own
-    return None if any(p == "loose" for p, _ in found) else []
+    """The blocks that markup gives a page, None if it says nothing."""
+    kind = place_of_text(found)
+    return None if kind == "loose" else [t for p, t in found if p == kind]
 
 
 def repeated_runs(streams: list[np.ndarray], words: list[np.ndarray]) -> list[np.ndarray]:
@@ -347,15 +351,15 @@ def choose(pages: list[list[tuple[str, str]]], site: int = 0, repeated: np.ndarr
             c |= np.cumsum(change)[:-1] > 0
     texts = []
     for page, parts, c, w in zip(pages, cut, covered, words, strict=True):
-        own = decided(page)
-        if own is None:
-            own, at = [], 0
-            for (place, text), part in zip(page, parts, strict=True):
-                upto = at + len(part)
-                if place == "loose" and w[at:upto][c[at:upto]].sum() < COVERED * max(1, w[at:upto].sum()):
-                    own.append(text)
-                at = upto
-        texts.append("\n".join(own))
+        kind, at, own = place_of_text(page), 0, []
+        for (place, text), part in zip(page, parts, strict=True):
+            upto = at + len(part)
+            if place == kind:
+                own.append((text, w[at:upto][c[at:upto]].sum(), w[at:upto].sum()))
+            at = upto
+        copied = sum(n for _, n, _ in own) >= COVERED * max(1, sum(n for _, _, n in own))
+        whole = kind != "loose" and copied
+        texts.append("\n".join(text for text, n, most in own if whole or n < COVERED * max(1, most)))
     return texts, [int(c.sum()) for c in covered]
 
 

@@ -121,6 +121,21 @@ def test_shards_change_nothing(spark, monkeypatch, most):
     assert not any("Notice" in r[2] for r in dealt) and all(r[2] for r in dealt)
 
 
+@pytest.mark.parametrize("kind", ["article", "main"])
+def test_repetition_decides_within_articles(spark, kind):
+    copy = "".join(f"<p>This is sentence {j} of an article with copies.</p>" for j in range(6))
+    rows, want = [], {}
+    for k in range(130):
+        own = [f"Page {k} says sentence {j} of its own." for j in range(3)]
+        body = "".join(f"<p>{x}</p>" for x in own)
+        rows.append((k, f"http://h.org/{k}", f"<{kind}>{body}<p>Read more of this in our paper.</p></{kind}>"))
+        want[k] = "\n".join(own)
+    rows += [(1000 + k, f"http://h.org/c{k}", f"<{kind}>{copy}<p>Seen by reader {k}.</p></{kind}>") for k in range(4)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert {k: got[k] for k in want} == want
+    assert all(got[1000 + k].count("\n") == 6 for k in range(4))
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert op1_html_extraction(spark, str(tmp_path)).count() == 0
