@@ -3,11 +3,12 @@
 A model holds, for each language, the log-probabilities of hashed character n-grams and
 the scripts that it is written in. A word's script leaves the languages that use it; the
 word's n-grams score these. Over the words of a text the Viterbi path, with a penalty
-for each switch, labels spans; the text's language is the one with most letters.
+for each switch, labels spans; the text's language is the one with most letters. Letters
+are those of Unicode; scripts without a range of their own go together as one.
 
 The model is fitted on MAX_TRAIN documents at most, those of the smallest hash of their
-id among the labelled ones that the fold allows. Predictions use whole texts and nothing
-but the text.
+id among the labelled ones that the fold allows, and knows every language of theirs.
+Predictions use whole texts and nothing but the text.
 
 Defined results: a null text or one without letters is "und" with score 0; ties go to
 the language that sorts first; repeated rows are predicted once each; without labelled
@@ -18,6 +19,8 @@ that of the undivided text.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,13 +32,16 @@ from pyspark.sql import types as T
 
 from sievekit.llm.common import output, slices, small_batches, Words
 
-#: Most labelled documents and languages that the model is fitted on.
-MAX_TRAIN, MAX_LANGUAGES = 20_000, 64
+#: Most labelled documents that the model is fitted on.
+MAX_TRAIN = 20_000
 #: Slots of hashed n-grams; sizes of n-grams; added to each count.
 SLOTS, SIZES, ADDED = 1 << 17, (1, 2, 3, 4), 0.5
 #: Log-odds that a single word can give, those lost by a switch, and a script's least share.
 MOST_PER_WORD, SWITCH, LEAST_SHARE = 6.0, 14.0, 0.01
-SEGMENT = 256
+#: Words of a segment, and most languages for which texts are cut into segments: these cost
+#: the square of the languages. Beyond, texts go undivided, and slices are smaller.
+SEGMENT, MAX_SEGMENTED = 256, 64
+SLICE = 1 << 20
 UNKNOWN = "und"
 
 #: First and last code points of letters by script: fixed values.
@@ -56,23 +62,25 @@ SCRIPTS = (
     ("han", ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FA1F))),
 )
 
-_EDGES = sorted((a, b, k + 1) for k, (_, ranges) in enumerate(SCRIPTS) for a, b in ranges)
-_FROM = np.array([a for a, _, _ in _EDGES], dtype=np.uint32)
-_TO = np.array([b for _, b, _ in _EDGES], dtype=np.uint32)
-_SCRIPT = np.array([k for _, _, k in _EDGES], dtype=np.uint8)
-_LOW = np.zeros(0x3000, dtype=np.uint8)
-for _a, _b, _k in _EDGES:
-    _LOW[_a : _b + 1] = _k
+#: Letters of all other scripts.
+OTHER = len(SCRIPTS) + 1
+
+
+def _script_table() -> np.ndarray:
+    table = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+    table[[k for k in range(len(table)) if unicodedata.category(chr(k))[0] == "L"]] = OTHER
+    for k, (_, ranges) in enumerate(SCRIPTS):
+        for a, b in ranges:
+            table[a : b + 1] = k + 1
+    return table
+
+
+_SCRIPT_OF = _script_table()
 
 
 def script_of(points: np.ndarray) -> np.ndarray:
-    """The script of each code point, counted from 1; 0 for what is no letter of these."""
-    out = _LOW[np.minimum(points, len(_LOW) - 1)]
-    high = np.flatnonzero(points >= len(_LOW))
-    if len(high):
-        at = np.searchsorted(_FROM, points[high], side="right") - 1
-        out[high] = np.where(points[high] <= _TO[at], _SCRIPT[at], 0)
-    return out
+    """The script of each code point, counted from 1; OTHER for letters of none of these, 0 for what is no letter."""
+    return _SCRIPT_OF[points]
 
 
 class Vocabulary:
@@ -148,10 +156,11 @@ def viterbi(e: np.ndarray, first: np.ndarray, penalty: float = SWITCH, segment:
     """
     sizes = np.diff(first)
     labels = e.shape[1]
+    kind = np.uint8 if labels <= 256 else np.uint16
     parts = -(-sizes // segment)
     n = int(parts.sum())
     if n == 0:
-        return np.zeros(0, dtype=np.uint8)
+        return np.zeros(0, dtype=kind)
     text = np.repeat(np.arange(len(sizes)), parts)
     base = np.cumsum(parts) - parts
     nth = np.arange(n) - base[text]
@@ -163,20 +172,23 @@ def viterbi(e: np.ndarray, first: np.ndarray, penalty: float = SWITCH, segment:
     rank[order] = np.arange(n)
     longest = int(length[0])
     alive = np.searchsorted(-length, -np.arange(1, longest + 1), side="right")
-    own = np.arange(labels, dtype=np.uint8)
-    enter = np.where(np.eye(labels, dtype=bool), 0.0, -penalty).astype(np.float32)
-    v = np.where((nth_o == 0)[:, None, None], np.float32(0), enter[None]) + e[start][:, None, :]
+    own = np.arange(labels, dtype=kind)
+    if n == (parts > 0).sum():  # no text is divided: nothing is before a segment
+        v = e[start][:, None, :].copy()
+    else:
+        enter = np.where(np.eye(labels, dtype=bool), 0.0, -penalty).astype(np.float32)
+        v = np.where((nth_o == 0)[:, None, None], np.float32(0), enter[None]) + e[start][:, None, :]
     back = []
     for t in range(1, longest):
         k = alive[t]
         now = v[:k]
         top = now.max(axis=2, keepdims=True)
-        arg = now.argmax(axis=2).astype(np.uint8)[:, :, None]
+        arg = now.argmax(axis=2).astype(kind)[:, :, None]
         switch = top - penalty > now
         back.append(np.where(switch, arg, own))
         v[:k] = np.where(switch, top - penalty, now) + e[start[:k] + t][:, None, :]
     # Join the segments of each text.
-    before = np.zeros(n, dtype=np.uint8)
+    before = np.zeros(n, dtype=kind)
     by_parts = np.argsort(-parts, kind="stable")
     by_parts = by_parts[: np.searchsorted(-parts[by_parts], 0, side="left")]
     most = parts[by_parts]
@@ -185,10 +197,10 @@ def viterbi(e: np.ndarray, first: np.ndarray, penalty: float = SWITCH, segment:
     for k in range(1, int(most[0])):
         m = np.searchsorted(-most, -(k + 1), side="right")
         way = best[:m, :, None] + v[rank[base[by_parts[:m]] + k]]
-        args.append(way.argmax(axis=1).astype(np.uint8))
+        args.append(way.argmax(axis=1).astype(kind))
         best[:m] = way.max(axis=1)
-    cur = best.argmax(axis=1).astype(np.uint8)
-    last = np.zeros(n, dtype=np.uint8)
+    cur = best.argmax(axis=1).astype(kind)
+    last = np.zeros(n, dtype=kind)
     for k in range(int(most[0]) - 1, -1, -1):
         m = np.searchsorted(-most, -(k + 1), side="right")
         seg = rank[base[by_parts[:m]] + k]
@@ -197,7 +209,7 @@ def viterbi(e: np.ndarray, first: np.ndarray, penalty: float = SWITCH, segment:
             cur[:m] = args[k - 1][np.arange(m), cur[:m]]
             before[seg] = cur[:m]
     # Follow the segments back.
-    out = np.zeros(int(first[-1]), dtype=np.uint8)
+    out = np.zeros(int(first[-1]), dtype=kind)
     cur = last.copy()
     rows = np.arange(n)
     for t in range(longest - 1, -1, -1):
@@ -214,9 +226,11 @@ def label(texts: list[bytes], model: Model) -> tuple[list[str], np.ndarray, Voca
     n, names = len(texts), model.languages
     if not names:
         return [UNKNOWN] * n, np.zeros(n), v, np.zeros(len(v.of), dtype=np.uint8)
-    path = viterbi(model.scores(v)[v.of], v.words.first)
+    most = int(np.diff(v.words.first).max(initial=1))
+    segment = SEGMENT if len(names) <= MAX_SEGMENTED else max(1, most)
+    path = viterbi(model.scores(v)[v.of], v.words.first, segment=segment)
     of = v.words.text_of_word()
-    letters = np.bincount(of * len(names) + path, weights=v.letters[v.of], minlength=n * len(names)).reshape(n, -1)
+    letters = np.bincount(of * len(names) + path.astype(np.int64), weights=v.letters[v.of], minlength=n * len(names)).reshape(n, -1)
     every = letters.sum(axis=1)
     best = letters.argmax(axis=1)
     score = letters.max(axis=1) / np.maximum(every, 1)
@@ -239,7 +253,7 @@ def _count(docs: DataFrame) -> DataFrame:
                 own = Vocabulary([t for t, k in zip(texts, langs, strict=True) if k == lang])
                 times = np.bincount(own.of, minlength=own.n)
                 table = found.setdefault(lang, np.zeros((len(SIZES), SLOTS)))
-                seen = scripts.setdefault(lang, np.zeros(len(SCRIPTS) + 1))
+                seen = scripts.setdefault(lang, np.zeros(OTHER + 1))
                 seen += np.bincount(own.script, weights=times * own.letters, minlength=len(seen))
                 for k, size in enumerate(SIZES):
                     slot, begin, end = own.slots(size)
@@ -273,9 +287,9 @@ def fit(docs: DataFrame, most: int = MAX_TRAIN) -> Model:
     chosen = known.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
     rows = _count(chosen).toPandas()
     size = rows[rows.k == -1].groupby("lang").n.sum()
-    names = sorted(size.nlargest(MAX_LANGUAGES).index)
+    names = sorted(size.index)
     table = np.zeros((len(SIZES), SLOTS, len(names)), dtype=np.float32)
-    uses = np.zeros((len(SCRIPTS) + 1, len(names)), dtype=bool)
+    uses = np.zeros((OTHER + 1, len(names)), dtype=bool)
     for j, lang in enumerate(names):
         own = rows[rows.lang == lang]
         for k in range(len(SIZES)):
@@ -283,7 +297,7 @@ def fit(docs: DataFrame, most: int = MAX_TRAIN) -> Model:
             part = own[own.k == k]
             counts[part.slot] = part.n
             table[k, :, j] = np.log((counts + ADDED) / (counts.sum() + ADDED * SLOTS))
-        seen = np.zeros(len(SCRIPTS) + 1)
+        seen = np.zeros(OTHER + 1)
         part = own[own.k == -1]
         seen[part.slot] = part.n
         uses[:, j] = seen > LEAST_SHARE * seen.sum()
@@ -295,16 +309,17 @@ def fit(docs: DataFrame, most: int = MAX_TRAIN) -> Model:
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """keep's columns (default doc_id) of docs, with lang_pred, score and n_spans.
 
-    The model has a bounded size (MAX_LANGUAGES x SLOTS x n-gram sizes) and is broadcast.
+    The model has SLOTS x n-gram sizes numbers a language (2 MB) and is broadcast.
     """
     small_batches(docs.sparkSession)
     keep = keep or ["doc_id"]
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    most = SLICE * MAX_SEGMENTED // max(MAX_SEGMENTED, len(model.languages))
     own = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_spans", T.LongType())]
     out = T.StructType(docs.select(*keep).schema.fields + own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "_text", 1 << 20):
+        for part, texts in slices(batches, "_text", most):
             found, score, v, path = label(texts, sent.value)
             # A span ends where the label changes or the text does.
             of = v.words.text_of_word()

@@ -56,6 +56,39 @@ def test_spans_of_mixed_text(spark):
     assert row.lang_pred == "aa" and row.n_spans == 2 and 0.5 < row.score < 0.8
 
 
+def test_letters_of_all_scripts(spark):
+    parts = {
+        "te": ["తెలుగు", "భాష", "మంచి"], "kn": ["ಕನ್ನಡ", "ಭಾಷೆ", "ಒಳ್ಳೆಯ"], "gu": ["ગુજરાતી", "ભાષા"], "lo": ["ພາສາ", "ລາວ"],
+        "my": ["မြန်မာ", "ဘာသာ"], "am": ["አማርኛ", "ቋንቋ"], "km": ["ភាសា", "ខ្មែរ"], "aa": ["katomi", "réto"],
+    }
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choices(parts[lang], k=12)), lang) for k, lang in enumerate(sorted(parts) * 12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = fit(docs)
+    assert model.languages == tuple(sorted(parts))
+    got = {r.doc_id: r for r in identify(docs, model).collect()}
+    assert all(got[k].lang_pred == lang and got[k].score > 0.9 for k, _, lang in rows)
+
+
+def test_more_languages_than_labels_of_a_byte(spark):
+    rows = []
+    for k in range(300):
+        word = "".join(chr(0x4E00 + 60 * k + j) for j in range(5))
+        rows.append((k, f"{word} {word} {word}", f"l{k:03}"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = fit(docs)
+    assert len(model.languages) == 300
+    got = {r.doc_id: r.lang_pred for r in identify(docs, model).collect()}
+    assert got == {k: lang for k, _, lang in rows}
+
+
+def test_undivided_path_equals_segments():
+    rng = np.random.default_rng(2)
+    first = np.concatenate([[0], np.cumsum(rng.integers(0, 40, size=20))])
+    e = rng.normal(size=(first[-1], 5)).astype(np.float32) * 3
+    assert (viterbi(e, first, 4.0, segment=1000) == viterbi(e, first, 4.0, segment=7)).all()
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert op2_language_id(spark, str(tmp_path)).count() == 0
