@@ -8,27 +8,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievekit.llm import decontaminate, jaccard, language, packing, secrets
-from sievekit.llm.common import materialize
+from sievekit.llm.common import drop_path, materialize, scratch
 
 #: A document stays if one language has this share of its letters.
 LEAST_SCORE = 0.5
-#: Most row numbers that are broadcast to drop rows; beyond, a shuffled join does.
-MAX_BROADCAST = 1_000_000
+#: Most row keys (a file name and a number each) that are broadcast to drop rows; beyond, a shuffled join does.
+MAX_BROADCAST = 200_000
 
 ROW = "__sievekit_row"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row; the same at each scan of the same files."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    """docs with a key for each row: its file's name and its place there.
+
+    Both are the file's own, so they stay however a scan is split and whichever executors
+    it runs on. What is not read from files is written first.
+    """
+    try:
+        return docs.withColumn(ROW, _place(docs))
+    except AnalysisException:
+        docs = materialize(docs, "rows")
+        return docs.withColumn(ROW, _place(docs))
+
+
+def _place(docs: DataFrame) -> Column:
+    """The key of a file's row, as one text."""
+    meta = docs.metadataColumn("_metadata")
+    return F.concat_ws(":", meta["file_path"], meta["row_index"].cast("string"))
 
 
 def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """rows without those numbered in dropped."""
+    """rows without those whose key is in dropped."""
     dropped = materialize(dropped, "dropped")
     if dropped.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         dropped = F.broadcast(dropped)
@@ -91,6 +106,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch() as made:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # What the stage wrote on its way, and the one before left, is done with.
+        for path in [*before, *made[:-1]]:
+            drop_path(spark, path)
+        before = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
