@@ -6,10 +6,12 @@ import ctypes
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are runs of anything but these bytes (space, tab, LF, VT, FF, CR).
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
@@ -18,19 +20,42 @@ _MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where it is unset."""
+    """The folder that driver and executors share; set here only where it is unset.
+
+    Without the setting it is made beside the warehouse; on a cluster that must not be a
+    machine's own folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
         found = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+        if not spark.sparkContext.master.startswith("local") and found.startswith(("file:", "/")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The paths that new_path() gives meanwhile, so that the caller can delete them when they are done with."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/sievekit/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sievekit/{name}-{uuid.uuid4().hex}"
+    for made in _scopes:
+        made.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -50,6 +75,23 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Shares that a hot key's rows are dealt into where a lookup table is too large to broadcast.
+SALTS = 32
+
+
+def looked_up(rows: DataFrame, lookup: DataFrame, key: str, most: int, spread: list[str]) -> DataFrame:
+    """rows left-joined with lookup, a table of one row a key.
+
+    Up to most rows it is broadcast. Beyond, both sides are dealt by key and a salt (the hash
+    of the columns spread), so that a key that many rows share makes SALTS tasks, not one.
+    """
+    if lookup.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(lookup), key, "left")
+    salted = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, [key, "__salt"], "left").drop("__salt")
+
+
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 

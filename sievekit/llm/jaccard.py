@@ -5,12 +5,14 @@ all further work is on classes. A count sketch of bounded size over all document
 each shingle a rarity, and each set is ordered rare-first. Two sets of the wanted
 similarity share a shingle in their prefixes, so the classes are joined on these; pairs
 must pass the length and positional filters, then the suffix filter (a bound from the
-sizes of hash ranges), and each remaining pair is verified once, exactly, on the texts.
+sizes of hash ranges), and each remaining pair is verified once, on the whole sets of
+both texts.
 
 Where many classes share a prefix shingle, they are first held against a leader only,
 in salted runs of bounded size and then leader against leader; components are made of
 the links found, and then all pairs of such runs that lie in different components are
-tried. So no link between components is lost, and no group makes all its pairs.
+tried. So no link between components is lost, and no group makes all its pairs. links()
+gives every link between classes instead; there the pairs inside components are tried too.
 
 Components come from alternating large-star and small-star steps, each written to the
 shared folder.
@@ -78,7 +80,7 @@ def signature(s: np.ndarray) -> bytes:
 
 def _ranges(s: np.ndarray) -> bytes:
     """Sizes of the set's hash ranges: the low bits deal them."""
-    return np.bincount((s & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES).astype("<u2").clip(0, 65535).tobytes()
+    return np.bincount((s & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES).clip(0, 65535).astype("<u2").tobytes()
 
 
 def _slot(s: np.ndarray) -> np.ndarray:
@@ -420,22 +422,13 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def link(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    size: int = SHINGLE,
-    percent: int = PERCENT,
-    keep: list[str] | None = None,
-    sizes: tuple[int, int] = (SMALL_RUN, RUN),
-) -> DataFrame:
-    """id_col and keep's columns of docs, with n_shingles and component_id.
+def _linked(
+    rows: DataFrame, id_col: str, size: int, percent: int, sizes: tuple[int, int], inside: bool
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Members, classes, the classes' components, and links (columns a, b).
 
-    sizes: of runs that make all their pairs, and of salted runs; they don't change the result.
+    inside: all links, also those between classes whose component is known without them.
     """
-    small_batches(docs.sparkSession)
-    columns = list(dict.fromkeys([id_col, *(keep or [])]))
-    rows = docs.select(*columns, F.col(text_col).alias("_text"))
     first = materialize(_first_pass(rows, size), "first")
     members = first.where(F.col("_block").isNull())
     rarity = _rarity(first)
@@ -460,27 +453,49 @@ def link(
     blobs = materialize(_blobs(rows, wanted, size).dropDuplicates(["sig"]), "blobs")
     links = _links(pairs, blobs, classes, size, percent)
     comps = materialize(components(links), "components")
-    # Long runs: all pairs of different components.
+    # Long runs: all pairs of different components, or all pairs at all.
     own = comps.withColumnRenamed("sig", "a")
     pending = (
         level.where(F.col("kind") == _PENDING).select("a", "tok", "n", "pos").join(own, "a", "left")
         .withColumn("comp", F.coalesce("comp", "a"))
     )
-    mixed = pending.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tok")
-    pending = materialize(pending.join(mixed, "tok", "left_semi"), "pending")
+    if not inside:
+        mixed = pending.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tok")
+        pending = pending.join(mixed, "tok", "left_semi")
+    pending = materialize(pending, "pending")
     other = pending.select("tok", *(F.col(c).alias(f"{c}2") for c in ("a", "n", "pos", "comp")))
     need = F.ceil(F.lit(percent) * (F.col("n").cast("bigint") + F.col("n2")) / F.lit(100 + percent))
     across = pending.join(
         other,
-        (pending["tok"] == other["tok"]) & (F.col("comp") != F.col("comp2"))
+        (pending["tok"] == other["tok"]) & (F.lit(inside) | (F.col("comp") != F.col("comp2")))
         & ((F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("a") < F.col("a2"))))
         & (F.col("n") * F.lit(100) >= F.col("n2") * F.lit(percent))
         & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) + 1 >= need),
     ).select("a", F.col("a2").alias("b"))
     across = materialize(across.distinct(), "across")
     if not across.isEmpty():
-        more = _links(across, blobs, classes, size, percent)
-        comps = materialize(components(links.union(more)), "components")
+        links = links.union(_links(across, blobs, classes, size, percent)).distinct()
+        comps = materialize(components(links), "components")
+    return members, classes, comps, links
+
+
+def link(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = SHINGLE,
+    percent: int = PERCENT,
+    keep: list[str] | None = None,
+    sizes: tuple[int, int] = (SMALL_RUN, RUN),
+) -> DataFrame:
+    """id_col and keep's columns of docs, with n_shingles and component_id.
+
+    sizes: of runs that make all their pairs, and of salted runs; they don't change the result.
+    """
+    small_batches(docs.sparkSession)
+    columns = list(dict.fromkeys([id_col, *(keep or [])]))
+    rows = docs.select(*columns, F.col(text_col).alias("_text"))
+    members, classes, comps, _ = _linked(rows, id_col, size, percent, sizes, inside=False)
     # Only classes of several rows or with a link can have another id than their own.
     joined = classes.join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     ids = joined.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1")
@@ -491,6 +506,29 @@ def link(
     )
 
 
+def links(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = SHINGLE,
+    percent: int = PERCENT,
+    sizes: tuple[int, int] = (SMALL_RUN, RUN),
+) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets, and the membership that belongs to it.
+
+    The first table has id1 and id2, the least ids of two linked classes, and their copies;
+    the second id_col and class_id (that least id; the row's own id without any shingle).
+    The number of links of variants of one text is their square: that is the output's size.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(id_col, F.col(text_col).alias("_text"))
+    members, classes, _, found = _linked(rows, id_col, size, percent, sizes, inside=True)
+    sides = [classes.select(F.col("sig").alias(c), F.col("least_id").alias(f"id{k}"), F.col("copies").alias(f"copies{k}")) for k, c in ((1, "a"), (2, "b"))]
+    pairs = found.join(sides[0], "a").join(sides[1], "b").select("id1", "id2", "copies1", "copies2")
+    own = classes.where("copies > 1").select(F.col("sig").alias("_sig"), F.col("least_id"))
+    return pairs, members.join(own, "_sig", "left").select(id_col, F.coalesce("least_id", F.col(id_col)).alias("class_id"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document."""
     return link(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -12,11 +12,14 @@ true chain enters each split; magic inside a payload is never on that chain. A s
 pass walks the chain from the entries and gives the records, put together where a
 payload holds the magic.
 
+A split's size grows with the archive, so that there are MAX_SPLITS splits at most and the
+entries, one number a split, have a bounded size where they are broadcast.
+
 Archives are uncompressed and their payloads UTF-8. A broken header ends its file's chain.
 
 Defined results: null html is an empty payload; repeated ids with equal payloads are all
-responses if theirs is the largest id; null ids are smaller than all others; a null url
-is left out of the record; an empty table makes an empty result; further columns are
+responses if theirs is the largest id; null ids are smaller than all others, and their
+records have an id without a number; a null url is left out of the record; an empty table makes an empty result; further columns are
 ignored. Payloads of any length are kept whole.
 """
 
@@ -24,18 +27,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import materialize, new_path
+from sievekit.llm.common import looked_up, materialize, new_path
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 #: Payloads of fewer bytes are never made revisits.
 LEAST_BYTES = 0
-#: Bytes of a split, and most groups of equal payloads that are broadcast; beyond, they are joined.
-SPLIT_BYTES, MAX_BROADCAST = 16 << 20, 200_000
-PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Least bytes of a split, and most splits of an archive.
+SPLIT_BYTES, MAX_SPLITS = 16 << 20, 1 << 18
+#: Most groups of equal payloads that are broadcast; beyond, they are joined in salted shares.
+MAX_BROADCAST = 200_000
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -65,18 +71,21 @@ def with_types(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
         .agg(F.max("page_id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("digest", "leader")
     )
     groups = materialize(groups, "payloads")
-    if groups.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        groups = F.broadcast(groups)
     own = F.when((F.col("size") >= least_bytes) & ~F.col("leader").eqNullSafe(F.col("page_id")), F.col("leader"))
-    return rows.join(groups, "digest", "left").withColumn("refers_to", own).drop("leader")
+    return looked_up(rows, groups, "digest", MAX_BROADCAST, ["page_id", "url"]).withColumn("refers_to", own).drop("leader")
 
 
 def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
 
 
-def records(typed: DataFrame) -> DataFrame:
-    """One column, the record without the empty line that ends it."""
+def _record_id(number: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(number.cast("string"), F.lit("null")), F.lit(">"))
+
+
+def records(typed: DataFrame, date: Column | None = None) -> DataFrame:
+    """One column, the record without the empty line that ends it; date: a timestamp, else that of the writing."""
+    moment = F.current_timestamp() if date is None else date
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
@@ -86,11 +95,12 @@ def records(typed: DataFrame) -> DataFrame:
     head = F.concat(
         F.lit(MAGIC),
         _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        _line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">"))),
+        _line("WARC-Record-ID", _record_id(F.col("page_id"))),
+        _line("WARC-Date", F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         _line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " ")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         _line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
-        _line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
+        _line("WARC-Refers-To", F.when(revisit, _record_id(F.col("refers_to")))),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(END),
     )
@@ -119,6 +129,13 @@ def header(text: str) -> tuple[dict[str, str], int, int] | None:
     return fields, len(text[:end].encode()) + len(END), int(length)
 
 
+def split_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a split, so that the files under path make MAX_SPLITS splits at most (and one a file)."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    held = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return max(SPLIT_BYTES, -(-held // MAX_SPLITS))
+
+
 def _chunks(spark: SparkSession, path: str):
     """RDD of (offset after a magic or 0, text up to the next magic)."""
     return spark.sparkContext.newAPIHadoopFile(
@@ -128,7 +145,7 @@ def _chunks(spark: SparkSession, path: str):
         "org.apache.hadoop.io.Text",
         conf={
             "textinputformat.record.delimiter": MAGIC,
-            "mapreduce.input.fileinputformat.split.maxsize": str(SPLIT_BYTES),
+            "mapreduce.input.fileinputformat.split.maxsize": str(split_bytes(spark, path)),
         },
     )
 
@@ -152,10 +169,10 @@ def _candidates(part: int, chunks: Iterator[tuple[int, str]]) -> Iterator[tuple]
         yield part, offset, after, exits[offset]
 
 
-def entries(candidates: DataFrame) -> dict[int, int]:
-    """For each part the offset where its file's chain enters it, by pointer jumping.
+def entries(candidates: DataFrame) -> np.ndarray:
+    """For each part the offset where its file's chain enters it, by pointer jumping; -1 where it doesn't.
 
-    candidates: part, file, offset, exit. A row a split comes to the driver.
+    candidates: part, file, offset, exit. A number a split comes to the driver: see MAX_SPLITS.
     """
     targets = candidates.select("file", F.col("exit").alias("offset")).distinct()
     first = candidates.select("file").distinct().select("file", F.lit(0).cast("bigint").alias("offset"))
@@ -168,18 +185,22 @@ def entries(candidates: DataFrame) -> dict[int, int]:
         later = jump.select("file", F.col("offset").alias("exit"), F.col("exit").alias("then"))
         jump = materialize(jump.join(later, ["file", "exit"]).select("file", "offset", F.col("then").alias("exit")), "jump")
     own = candidates.join(reached, ["file", "offset"], "left_semi").groupBy("part").agg(F.min("offset").alias("offset"))
-    return {r["part"]: r["offset"] for r in own.collect()}
+    found = own.toArrow()
+    part = found.column("part").to_numpy()
+    out = np.full(int(part.max(initial=-1)) + 1, -1, dtype=np.int64)
+    out[part] = found.column("offset").to_numpy()
+    return out
 
 
 _RECORD = "offset bigint, after bigint, owner bigint, text string"
 
 
-def _walk(part: int, chunks: Iterator[tuple[int, str]], entry: dict[int, int]) -> Iterator[tuple]:
+def _walk(part: int, chunks: Iterator[tuple[int, str]], entry: np.ndarray) -> Iterator[tuple]:
     """offset, after, owner, text: whole records (owner null) and pieces of those that hold the magic.
 
     A piece's owner is the offset of its record, or -1 if that began in a split before.
     """
-    expected = entry.get(part)
+    expected = int(entry[part]) if part < len(entry) else -1
     current = -1
     for at, text in chunks:
         if at == 0:
@@ -265,17 +286,19 @@ def round_trip(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     found = materialize(
         parse(read(spark, path)).select(
             "page_id", F.octet_length("payload").cast("bigint").alias("payload_bytes"),
-            F.when(payload.isNotNull(), base32_sha1(payload)).alias("payload_digest"), "record_type", "refers_to",
+            F.when(payload.isNotNull(), base32_sha1(payload)).alias("digest"), "record_type", "refers_to",
+            F.concat_ws(":", "refers_to", "payload_digest").alias("to"),
         ), "records",
     )
+    # A response is found by its id and the digest that the revisit declares: ids may repeat.
+    wanted = found.where("refers_to IS NOT NULL").select("to").distinct()
     responses = (
-        found.where("record_type = 'response'").select(
-            F.col("page_id").alias("to"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d")
-        ).where(F.col("to").isNotNull()).dropDuplicates(["to"])
+        found.where("record_type = 'response'").withColumn("to", F.concat_ws(":", "page_id", "digest")).join(wanted, "to", "left_semi")
+        .groupBy("to").agg(F.min("payload_bytes").alias("b"), F.min("digest").alias("d"))
     )
-    return found.join(responses, F.col("refers_to") == F.col("to"), "left").select(
+    return looked_up(found, responses, "to", MAX_BROADCAST, ["page_id"]).select(
         "page_id", F.coalesce("payload_bytes", "b").alias("payload_bytes"),
-        F.coalesce("payload_digest", "d").alias("payload_digest"), "record_type", "refers_to",
+        F.coalesce("digest", "d").alias("payload_digest"), "record_type", "refers_to",
     )
 
 

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from sievekit.llm import jaccard
@@ -81,6 +82,45 @@ def test_empty_table(spark, tmp_path):
     assert op3_ngram_jaccard_join(spark, str(tmp_path)).count() == 0
 
 
+def test_links_equal_brute_force(spark):
+    """Every linked pair of different sets is there; every pair that is not is under the threshold."""
+    rows, rng = corpus(), random.Random(2)
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    for k in range(40):
+        own = list(base)
+        for _ in range(1 + k % 3):
+            own[rng.randrange(150)] = f"v{k}"
+        rows.append((1000 + k, " ".join(own)))
+    pairs, membership = jaccard.links(spark.createDataFrame(rows, "doc_id bigint, text string"), sizes=(3, 8))
+    sets, least = {}, {}
+    for i, text in rows:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        sets[i] = frozenset(tuple(w[k : k + 4]) for k in range(len(w) - 3)) or frozenset([tuple(w)] if w else [])
+    for i in sorted(sets):
+        least.setdefault(sets[i] or i, i)
+    ids = sorted(k for k in least.values() if sets[k])
+    want = set()
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                want.add((i, j))
+    got = [(min(r.id1, r.id2), max(r.id1, r.id2)) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    assert {r.doc_id: r.class_id for r in membership.collect()} == {i: least[sets[i] or i] for i in sets}
+
+
+def test_ranges_of_very_large_sets():
+    """Ranges of 65,535 and more don't wrap, so that the bound never refuses a similar pair."""
+    rng = np.random.default_rng(1)
+    one = np.unique(rng.integers(0, 1 << 62, 4_600_000, dtype=np.uint64))
+    two = one[1000:]
+    a, b = (np.frombuffer(jaccard._ranges(x), dtype="<u2").astype(np.int64) for x in (one, two))
+    assert (a == 65535).all() and (b == 65535).all()
+    small = one[:1000]
+    assert np.frombuffer(jaccard._ranges(small), dtype="<u2").sum() == 1000
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(20)] + [(30, 31), (31, 32), (40, 40)]
     rows = [(bytes([a]), bytes([b])) for a, b in edges]

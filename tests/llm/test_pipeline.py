@@ -51,6 +51,28 @@ def test_stages(spark, tmp_path, monkeypatch, most):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == rows.count()
 
 
+def test_row_keys_stay_when_splits_change(spark, tmp_path):
+    """As after an executor was lost: other splits, the same documents dropped."""
+    docs, items = corpus()
+    many = [(k, *d[1:]) for k, d in enumerate(docs * 40)]
+    spark.createDataFrame(many, SCHEMA).repartition(3).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    numbered = corpus_pipeline._numbered(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    kept = []
+    try:
+        for size in ("128m", "7000", "30000"):
+            spark.conf.set(key, size)
+            rows = corpus_pipeline._numbered(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+            out = corpus_pipeline.decontamination(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+            spark.conf.set(key, "11000")  # between building and reading
+            kept.append(([tuple(r) for r in rows.orderBy("doc_id").collect()], sorted(r.doc_id for r in out.collect())))
+    finally:
+        spark.conf.set(key, before)
+    assert kept[0] == kept[1] == kept[2] and numbered.select(corpus_pipeline.ROW).distinct().count() == len(many)
+    assert len(kept[0][1]) == len(many) - 40
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

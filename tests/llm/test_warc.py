@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import re
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -62,3 +63,29 @@ def test_odd_rows(spark, tmp_path):
 def test_digest(spark):
     row = spark.createDataFrame([("é",)], "t string").select(warc.base32_sha1(F.col("t").cast("binary")).alias("d")).first()
     assert row.d == base64.b32encode(hashlib.sha1("é".encode()).digest()).decode()
+
+
+def test_headers_are_whole(spark):
+    row = warc.records(warc.with_types(spark.createDataFrame([(None, "u", "a"), (7, "u", "b")], "page_id bigint, url string, html string"))).collect()
+    for r in row:
+        fields, _, _ = warc.header(r.value.removeprefix(warc.MAGIC) + warc.END)
+        assert {"warc-record-id", "warc-date", "warc-type", "content-length"} <= set(fields)
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["warc-date"])
+
+
+def test_ids_that_repeat_with_other_payloads(spark, monkeypatch):
+    rows = [(5, "u", "first"), (5, "u", "second"), (1, "u", "first"), (2, "u", "second!"), (3, "u", "second")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for most in (warc.MAX_BROADCAST, 0):
+        monkeypatch.setattr(warc, "MAX_BROADCAST", most)
+        found = {(r.page_id, r.payload_bytes): r.refers_to for r in warc.round_trip(df).collect()}
+        assert found == {(5, 5): None, (5, 6): None, (1, 5): 5, (2, 7): None, (3, 6): 5}
+
+
+def test_number_of_splits_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SPLIT_BYTES", 100)
+    monkeypatch.setattr(warc, "MAX_SPLITS", 4)
+    path = warc.new_path(spark, "test")
+    warc.write(spark.createDataFrame(pages(), "page_id bigint, url string, html string").coalesce(1), path)
+    assert warc.split_bytes(spark, path) > 100 and warc._chunks(spark, path).getNumPartitions() <= 5
+    assert warc.read(spark, path).count() == 90
