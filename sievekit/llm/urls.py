@@ -7,19 +7,23 @@ keys the parity of the first level that misses is exact membership, and the test
 page is an expression of built-in functions, without a join.
 
 A key is a host or one of its parent domains; a url is blocked when any of its keys is
-listed. The cascade is carried in the plan as literals; it is used for lists of
-MAX_KEYS keys at most, beyond that the keys are looked up by a join.
+listed. Level 0's rate of false positives follows from the two counts, so that it hits some
+sqrt(2) times as many other keys as there are listed ones, however large the corpus: all
+levels are in proportion to the list, and grow with the logarithm of the corpus only. A
+list of more than MAX_KEYS keys is split by hash, and the pages go through one share's
+cascade after the other, so that no plan carries more than one share's literals.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no
 rule and is allowed; repeated rows are judged once each; an empty list allows all that
-no rule blocks; further columns are ignored.
+no rule blocks; null keys of the list are left out; columns host, path, rule and verdict of
+the pages are replaced by the results', further ones are kept as they are.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,11 +45,10 @@ BLOCKED = tuple(
     for name in ("spam-farm", "cheap-pills", "casino-bonus", "link-wheel")
     for top in ("com", "net", "org")
 )
-#: Most listed keys for which the cascade is built; its literals stay under some 4 MB.
+#: Most listed keys of one cascade; its literals stay under some 8 MB.
 MAX_KEYS = 1 << 20
-#: Share of false positives of the levels.
-RATE = 0.5
-FIRST_RATE = 1 / 64
+#: Share of false positives of the levels but the first, and the least of that.
+RATE, LEAST_RATE = 1 / 8, 2.0**-40
 
 _URL = r"://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -118,23 +121,35 @@ def build_level(keys: DataFrame, n: int, salt: int, rate: float) -> Level:
     return Level(salt, bits, bare.hashes, tuple(words))
 
 
+def first_rate(listed: int, others: int) -> float:
+    """Share of the other keys that level 0 may hit: about sqrt(2) times as many as are listed."""
+    return min(RATE, max(LEAST_RATE, math.sqrt(2) * listed / max(others, 1)))
+
+
 def cascade(universe: DataFrame, listed: DataFrame) -> list[Level]:
     """Levels that give exact membership of listed for all keys of universe.
 
-    Both have one column, key. listed must have MAX_KEYS keys at most.
+    Both have one column, key. listed should have MAX_KEYS keys at most: see shares().
     """
     listed = materialize(listed.where(F.col("key").isNotNull()).distinct(), "listed")
     others = universe.join(listed, "key", "left_anti")
-    sides = [listed, others]
+    sides, sizes = [listed, others], [listed.count(), others.count()]
+    rate = first_rate(*sizes)
     levels: list[Level] = []
     while True:
         side = len(levels) % 2
-        n = sides[side].count()
+        n = sizes[side]
         if n == 0:
             return levels
-        level = build_level(sides[side], n, len(levels), RATE if levels else FIRST_RATE)
+        level = build_level(sides[side], n, len(levels), RATE if levels else rate)
         levels.append(level)
         sides[1 - side] = materialize(sides[1 - side].where(level.hits(F.col("key"))), "hit")
+        sizes[1 - side] = sides[1 - side].count()
+
+
+def share_of(key: Column, n: int) -> Column:
+    """The share that a key is dealt to."""
+    return F.pmod(F.xxhash64(key, F.lit("share")), F.lit(n))
 
 
 def is_listed(levels: Sequence[Level], key: Column) -> Column:
@@ -151,6 +166,14 @@ def universe_of(pages: DataFrame, url_col: str = "url") -> DataFrame:
     return hosts.select(F.explode(keys_of(F.col("host"))).alias("key")).distinct()
 
 
+def _any_listed(levels: Sequence[Level], keys: Column) -> Column:
+    return F.exists(keys, lambda key: is_listed(levels, key))
+
+
+def _in_share(k: int, n: int) -> Callable[[Column], Column]:
+    return lambda key: share_of(key, n) == k
+
+
 def judge(
     pages: DataFrame,
     listed: DataFrame,
@@ -159,25 +182,27 @@ def judge(
     max_keys: int = MAX_KEYS,
 ) -> DataFrame:
     """Add host, path, rule, verdict to each page. listed: column key."""
-    host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    out = pages.withColumns({"host": host, "path": path})
+    listed = listed.select("key").where(F.col("key").isNotNull())
+    listed = materialize(listed.distinct(), "listed")
+    shares = max(1, -(-listed.count() // max_keys))
+    universe = materialize(universe_of(pages, url_col), "universe")
+    url = F.col(f"`{url_col}`")
+    kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict") or c == url_col]
+    hit = "__listed"
+    out = pages.select(*kept, host_of(url).alias("host"), path_of(url).alias("path"), F.lit(False).alias(hit))
+    for k in range(shares):
+        if shares == 1:
+            found = _any_listed(cascade(universe, listed), keys_of(F.col("host")))
+        else:
+            own = share_of(F.col("key"), shares) == k
+            keys = F.filter(keys_of(F.col("host")), _in_share(k, shares))
+            found = _any_listed(cascade(universe.where(own), listed.where(own)), keys)
+        out = out.withColumn(hit, F.col(hit) | found)
+        if k + 1 < shares:
+            out = materialize(out, "judged")
     rule, said = matching_rule(F.col("host"), F.col("path"), rules)
-    small = listed.limit(max_keys + 1).count() <= max_keys
-    if small:
-        universe = materialize(universe_of(pages, url_col), "universe")
-        levels = cascade(universe, listed)
-        blocked = F.exists(keys_of(F.col("host")), lambda k: is_listed(levels, k))
-    else:
-        bad = (
-            pages.select(host.alias("host")).distinct()
-            .withColumn("key", F.explode(keys_of(F.col("host"))))
-            .join(listed.select("key").distinct(), "key", "left_semi")
-            .select(F.col("host").alias("bad_host")).distinct()
-        )
-        out = out.join(bad, F.col("host") == F.col("bad_host"), "left")
-        blocked = F.col("bad_host").isNotNull()
-    verdict = F.coalesce(said, F.when(blocked, F.lit("block")).otherwise(F.lit("allow")))
-    return out.withColumns({"rule": rule, "verdict": verdict}).drop("bad_host")
+    verdict = F.coalesce(said, F.when(F.col(hit), F.lit("block")).otherwise(F.lit("allow")))
+    return out.withColumns({"rule": rule, "verdict": verdict}).drop(hit)
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def test_equals_plain_python(spark):
     pages = spark.createDataFrame(rows, "page_id bigint, url string, other string").repartition(3)
     keys = spark.createDataFrame([(k,) for k in [*listed, *sorted(listed)[:3], None]], "key string")
     want = {k: verdict(u, listed) for k, u, _ in rows}
-    for most in (1000, 2):
+    for most in (1000, 40):
         got = judge(pages, keys, max_keys=most)
         assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()} == want
 
@@ -47,6 +47,29 @@ def test_cascade_is_exact(spark):
     assert wrong.count() == 0
 
 
+def test_levels_follow_the_list_not_the_corpus(spark):
+    universe = spark.range(300_000).select(F.format_string("key%d", "id").alias("key"))
+    listed = spark.range(0, 300_000, 3000).select(F.format_string("key%d", "id").alias("key"))
+    levels = cascade(universe, listed)
+    assert sum(v.bits for v in levels) < 100 * 50 and len(levels) > 2
+    assert universe.where(is_listed(levels, F.col("key"))).count() == 100
+
+
+def test_a_hundred_thousand_keys_in_two_shares(spark):
+    hosts = spark.range(250_000).select(F.col("id").alias("page_id"), F.format_string("http://www.h%d.org/x", "id").alias("url"))
+    hosts = hosts.withColumns({"host": F.lit("clash"), "rule": F.lit(1)})
+    listed = spark.range(0, 500_000, 5).select(F.format_string("h%d.org", "id").alias("key"))
+    got = judge(hosts, listed, max_keys=60_000)
+    assert got.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+    wrong = got.where((F.col("verdict") == "block") != (F.col("page_id") % 5 == 0))
+    assert wrong.count() == 0 and got.where("verdict = 'block'").count() == 50_000
+
+
+def test_null_list(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/")], "page_id bigint, url string")
+    assert judge(pages, spark.createDataFrame([(None,)], "key string")).first().verdict == "allow"
+
+
 def test_empty(spark, tmp_path):
     assert cascade(spark.createDataFrame([], "key string"), spark.createDataFrame([], "key string")) == []
     spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
