@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import materialize, mix, powers, small_batches, span_hash
+from sievekit.llm.common import looked_up, materialize, mix, powers, small_batches, span_hash
 
 #: Pages that are searched for repetition together, and what makes a run boilerplate.
 SHARD, MIN_PAGES, MIN_WORDS = 96, 3, 4
@@ -65,12 +66,21 @@ CLOSES = {
 }
 #: Words in class, id or role that mark what is no article.
 NOISE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side menu nav "
-    "navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices alert "
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav "
+    "navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices "
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "recommendations comment comments disqus reply replies respond widget widgets toolbar pagination pager skip "
-    "copyright complementary contentinfo search dialog hidden form outbrain taboola".split()
+    "copyright complementary contentinfo dialog outbrain taboola".split()
 )
+#: Those that mark it outside of articles only, and as a name's whole or last word.
+WEAK_WORDS = frozenset("side alert search form hidden".split())
+#: First words of names that speak of a page's state or layout, not of what an element is; last ones alike.
+STATES = frozenset("has no not without with is js can show enable disable allow open toggle".split())
+LAYOUTS = frozenset("left right open closed enabled disabled active none on off allowed layout page wrapper visible".split())
+#: Elements that hold the article: no name makes them noise.
+HOLDERS = frozenset("html body main article".split())
+#: Elements whose content is dropped even if they are never closed; others are then as if they were not there.
+ENDLESS = frozenset("script style textarea title".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S
@@ -81,7 +91,17 @@ _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
-def _marks(attributes: str, in_article: bool) -> tuple[bool, str]:
+def names_noise(name: str, in_article: bool) -> bool:
+    """Whether one class, id or role says that an element is no article: "site-footer" does, "has-sidebar" doesn't."""
+    words = _WORD.findall(name)
+    if not words or words[0] in STATES or len(words) > 1 and words[-1] in LAYOUTS:
+        return False
+    if not NOISE_WORDS.isdisjoint(words):
+        return True
+    return not in_article and (words[-1] in WEAK_WORDS or "header" in words)
+
+
+def _marks(attributes: str, in_article: bool, holder: bool = False) -> tuple[bool, str]:
     """Whether an element's attributes make it noise; and "article" or "main" where they make it that."""
     noise, kind = False, ""
     for name, value in _ATTRIBUTE.findall(attributes):
@@ -89,8 +109,7 @@ def _marks(attributes: str, in_article: bool) -> tuple[bool, str]:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDES.search(value):
             noise = True
         elif name in ("class", "id", "role"):
-            words = set(_WORD.findall(value))
-            noise |= not words.isdisjoint(NOISE_WORDS) or "header" in words and not in_article
+            noise |= not holder and any(names_noise(x, in_article) for x in value.split())
             if name == "role" and value in ("main", "article"):
                 kind = value
         elif name == "itemprop" and value == "articlebody":
@@ -103,7 +122,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
     found: list[tuple[str, str]] = []
     stack: list[tuple[str, str, bool]] = []  # element, place, heading kept in a header
     place, pieces = "loose", []
-    at = 0
+    at, unclosed = 0, set()
 
     def flush() -> None:
         if pieces:
@@ -135,8 +154,10 @@ def blocks(page: str) -> list[tuple[str, str]]:
         name, attributes, ends = name.lower(), m[3] if m[2] else m[6], bool(m[1] or m[4])
         if name in RAW:
             if not ends and not attributes.endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
+                end = None if name in unclosed else re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                if end is None:
+                    unclosed.add(name)
+                at = end.end() if end else size if name in ENDLESS else at
             pieces.append(" ")
             continue
         block = name in BLOCK
@@ -149,7 +170,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
                     close({name}, BLOCK)
                     place = stack[-1][1] if stack else "loose"
             elif attributes and name not in VOID:
-                noise, kind = _marks(attributes, place == "article")
+                noise, kind = _marks(attributes, place in ("article", "main"))
                 if noise and place != "noise":
                     flush()
                     place = "noise"
@@ -165,7 +186,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
                     close(*CLOSES[name])
                 inner = stack[-1][1] if stack else "loose"
                 headed = stack[-1][2] if stack else False
-                noise, kind = _marks(attributes, inner == "article") if attributes else (False, "")
+                noise, kind = _marks(attributes, inner in ("article", "main"), name in HOLDERS) if attributes else (False, "")
                 if inner == "noise":
                     now = "article" if headed and name in HEADINGS else "noise"
                 elif noise or name in NOISE:
@@ -234,27 +255,7 @@ def repeated_runs(streams: list[np.ndarray], words: list[np.ndarray]) -> list[np
         length[spots] = np.concatenate([words[k] for k in pages])[place]
         order, common = suffix_array(text)
         deep = np.zeros(n, dtype=np.int64)
-        begin, low, count, inside = 0, 0, np.zeros(len(pages), dtype=np.int64), 0
-        # Windows of the sorted suffixes that hold MIN_PAGES distinct pages: their common prefix is repeated.
-        by = page[order].tolist()
-        shared = common.tolist()
-        for end, p in enumerate(by):
-            if p < 0:
-                begin, low, inside = end + 1, end + 1, 0
-                count[:] = 0
-                continue
-            inside += count[p] == 0
-            count[p] += 1
-            if inside < MIN_PAGES and begin > low:
-                # With the suffix before, the window has enough pages: it holds one of these twice.
-                deep[order[end]] = min(shared[begin : end + 1])
-            while inside >= MIN_PAGES:
-                least = min(shared[begin + 1 : end + 1])
-                for k in range(begin, end + 1):
-                    deep[order[k]] = max(deep[order[k]], least)
-                count[by[begin]] -= 1
-                inside -= count[by[begin]] == 0
-                begin += 1
+        deep[order] = _shared_by_pages(page[order], common, len(pages))
         total = np.concatenate([[0], np.cumsum(length)])
         at = np.flatnonzero(deep)
         at = at[total[at + deep[at]] - total[at] >= MIN_WORDS]
@@ -267,6 +268,43 @@ def repeated_runs(streams: list[np.ndarray], words: list[np.ndarray]) -> list[np
     return [by_page[k] for k in alike]
 
 
+def _shared_by_pages(page: np.ndarray, common: np.ndarray, n_pages: int) -> list[int]:
+    """For each suffix in order how many first tokens it shares with MIN_PAGES distinct pages, itself one.
+
+    page: that of each suffix, -1 for what parts runs; common: tokens shared with the suffix
+    before. The shortest windows that hold enough pages give their least common prefix; from
+    there it spreads both ways, each step cut to what neighbours share.
+    """
+    found = [0] * len(page)
+    count, inside, begin = [0] * n_pages, 0, 0
+    by, shared = page.tolist(), common.tolist()
+    least: deque[int] = deque()  # places of rising prefixes within the window
+    for end, p in enumerate(by):
+        while least and shared[least[-1]] >= shared[end]:
+            least.pop()
+        least.append(end)
+        if p < 0:
+            for q in by[begin:end]:
+                count[q] = 0
+            inside, begin = 0, end + 1
+            least.clear()
+            continue
+        inside += count[p] == 0
+        count[p] += 1
+        while inside >= MIN_PAGES:
+            while least[0] <= begin:
+                least.popleft()
+            found[end] = max(found[end], shared[least[0]])
+            count[by[begin]] -= 1
+            inside -= count[by[begin]] == 0
+            begin += 1
+    for k in range(1, len(found)):
+        found[k] = max(found[k], min(found[k - 1], shared[k]))
+    for k in range(len(found) - 2, -1, -1):
+        found[k] = max(found[k], min(found[k + 1], shared[k + 1]))
+    return found
+
+
 def windows(stream: np.ndarray, words: np.ndarray, site: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and end token and hash (with site's) of the shortest runs of MIN_WORDS words from and up to each token."""
     n = len(stream)
@@ -397,9 +435,7 @@ def _shards(rows: DataFrame) -> DataFrame:
     """Deal the pages of each host (column host) to shards of some SHARD pages: column shard."""
     large = rows.groupBy("host").count().where(F.col("count") > SHARD)
     large = materialize(large.select("host", F.ceil(F.col("count") / SHARD).alias("shards")), "hosts")
-    if large.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        large = F.broadcast(large)
-    dealt = rows.join(large, "host", "left")
+    dealt = looked_up(rows, large, "host", MAX_BROADCAST, ["page_id", "url"])
     shards = F.coalesce("shards", F.lit(1))
     return dealt.select(
         "page_id", "url", "html", F.xxhash64("host").alias("site"), (shards > 1).alias("many"),

@@ -1,6 +1,7 @@
 """HTML extraction: markup cases, the suffix array, and boilerplate by repetition."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -34,6 +35,53 @@ def test_markup():
         assert main_text(page) == want, page[:80]
 
 
+NAMES = [
+    ("<body class='has-sidebar'><article><p>x</p></article>", "x"), ("<html class='no-js js-form'><article><p>x</p></article>", "x"),
+    ("<body class='no-sidebar'><article><p>x</p></article>", "x"), ("<article class='post comments-open'><p>x</p></article>", "x"),
+    ("<article><div class='side-by-side'><p>x</p></div><p class=alert>y</p><div class='search form'>z</div></article>", "x\ny\nz"),
+    ("<main id=menu><div class='with-sidebar'><p>x</p></div><div class='site-footer'>f</div><div id='cookie-banner'>c</div></main>", "x"),
+    ("<article><select><p>x</p></article>", "x"), ("<article><object><p>x<template><p>y</article>", "x\ny"), ("<article><p>x<script>y</article>", "x"),
+]
+
+
+def test_names_and_unclosed_elements():
+    for page, want in NAMES:
+        assert main_text(page) == want, page
+
+
+def test_long_page_of_equal_sentences():
+    """Work on repetition is in proportion to the tokens, ties or not."""
+    long = np.full(40_000, 7, dtype=np.uint64)
+    streams = [long, long[:500], np.arange(9, dtype=np.uint64), long[:300]]
+    began = time.time()
+    got = repeated_runs(streams, [np.full(len(s), 3, dtype=np.int64) for s in streams])
+    assert time.time() - began < 20 and got[0].all() and got[1].all() and got[3].all() and not got[2][:7].any()
+
+
+def test_repetition_decides(monkeypatch):
+    """Without the suffix array the texts are others."""
+    own = [[("article", f"Own sentence {j} of page {k} is here.") for j in range(3)] for k in range(5)]
+    pages = [[*page, ("article", "Read more of this in our paper.")] for page in own]
+    texts = html.choose(pages)[0]
+    monkeypatch.setattr(html, "repeated_runs", lambda streams, words: [np.zeros(len(s), dtype=bool) for s in streams])
+    without = html.choose(pages)[0]
+    assert all("Read more" not in t for t in texts) and all("Read more" in t for t in without)
+
+
+def test_counts_over_a_host_equal_brute_force(spark):
+    """A host of 500 pages in shards: every sentence on three distinct pages and more goes, no other."""
+    rng = random.Random(6)
+    pages = [[f"Sentence {rng.randrange(900)} is one of many here." for _ in range(rng.randint(2, 5))] for _ in range(500)]
+    on = {}
+    for page in {tuple(p) for p in pages}:
+        for sentence in set(page):
+            on[sentence] = on.get(sentence, 0) + 1
+    rows = [(k, "http://one.org/x", "".join(f"<div>{x}</div>" for x in p)) for k, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)).collect()}
+    assert got == {k: "\n".join(x for x in p if on[x] < html.MIN_PAGES) for k, p in enumerate(pages)}
+    assert {n >= 3 for n in on.values()} == {True, False}
+
+
 def test_suffix_array():
     rng = random.Random(0)
     for _ in range(200):
