@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,27 +25,33 @@ def hashed_identifier(name: Column) -> Column:
 
 
 def model_name(name: Column, provider: Column | None = None) -> Column:
-    """A name that is safe in paths, after its provider's."""
-    whole = name if provider is None else F.concat_ws("_", provider, name)
-    return F.regexp_replace(F.translate(whole, "/:. ", "____"), r"[^\w-]", "")
+    """A model's name as a folder: up to the first bracket, colons and slashes as _, no blanks; then its provider if there is one."""
+    bare = F.trim(F.substring_index(name, "[", 1))
+    clean = F.regexp_replace(F.translate(bare, ":/", "__"), " ", "")
+    if provider is None:
+        return clean
+    return F.when(F.coalesce(provider, F.lit("")) == "", clean).otherwise(F.concat(clean, F.lit("_"), provider))
 
 
-def truncate(code: Column, lines: int = 20, chars: int = 1000) -> Column:
-    """The first lines and characters, with dots where something is cut."""
+def truncate(code: Column, lines: int = 30, chars: int = 1500) -> Column:
+    """The first lines and characters, with a note of what is cut."""
     parts = F.split(code, "\n")
-    cut = F.array_join(F.slice(parts, 1, lines), "\n")
-    cut = F.when(F.size(parts) > lines, F.concat(cut, F.lit("\n..."))).otherwise(cut)
-    return F.when(F.length(cut) > chars, F.concat(F.substring(cut, 1, chars), F.lit("..."))).otherwise(cut)
+    more = F.concat(F.lit("\n... ("), (F.size(parts) - lines).cast("string"), F.lit(" more lines)"))
+    cut = F.when(F.size(parts) > lines, F.concat(F.array_join(F.slice(parts, 1, lines), "\n"), more)).otherwise(code)
+    return F.when(F.length(cut) > chars, F.concat(F.substring(cut, 1, chars), F.lit("\n... (truncated)"))).otherwise(cut)
+
+
+#: What a description of a check that is left without effect says: fixed values.
+DEAD = ("pass instead of raise", "dead check", "(dead ")
 
 
 def variant_type(description: Column) -> Column:
-    """The kind of variant that a mutant's description names."""
+    """pass_variant for a check that is left without effect, else removal."""
     low = F.lower(description)
-    return (
-        F.when(low.contains("remov") | low.contains("bypass"), "removal")
-        .when(low.contains("dead"), "pass_variant").when(low.contains("replac") | low.contains("→"), "replacement")
-        .when(low.contains("chang") | low.contains("reduc"), "weakening").otherwise("other")
-    )
+    dead = F.lit(False)
+    for words in DEAD:
+        dead = dead | low.contains(words)
+    return F.when(dead, "pass_variant").otherwise("removal")
 
 
 def difficulty(score: Column) -> Column:
@@ -51,11 +59,23 @@ def difficulty(score: Column) -> Column:
     return F.when(score <= 20, "easy").when(score <= 50, "medium").otherwise("hard")
 
 
-def prompt(code: Column, cwe: Column | None = None, entry_point: Column | None = None) -> Column:
-    """A request for tests of a piece of code; what is not given is left out."""
-    hint = F.lit("") if cwe is None else F.concat(F.lit("Weakness: "), cwe, F.lit("\n"))
-    target = F.lit("") if entry_point is None else F.concat(F.lit("Function: "), entry_point, F.lit("\n"))
-    return F.concat(F.lit("Write pytest tests for this code.\n"), hint, target, F.lit("```python\n"), code, F.lit("\n```\n"))
+#: Prompts by kind, with the slots that each fills; a production text comes as a parameter.
+PROMPTS = {
+    "no_hint": "Write pytest tests for {entry_point}.\n```python\n{code}\n```\nAnswer with test functions only.",
+    "cwe_id": "Write pytest security tests for {entry_point}; its weakness would be {cwe}.\n```python\n{code}\n```\nAnswer with test functions only.",
+    "full": "Write pytest security tests against {cwe} ({cwe_name}).\n{mock_env}\nAttacks to try:\n{attacks}\n```python\n{code}\n```\nAnswer with test functions only.",
+    "no_mocks": "Write pytest security tests against {cwe} ({cwe_name}).\nAttacks to try:\n{attacks}\n```python\n{code}\n```\nAnswer with test functions only.",
+    "judge_security": "Do these tests find {cwe} ({cwe_name})?\n```python\n{code}\n```\n```python\n{tests}\n```\nAttacks to expect:\n{attacks}\nAnswer in JSON.",
+    "judge_quality": "How good are these tests of {entry_point} ({cwe}, {difficulty})?\n```python\n{tests}\n```\n{mock_env}\nAnswer in JSON.",
+}
+#: What a slot without a value says.
+UNSET = {"entry_point": "function", "cwe_name": "vulnerability", "difficulty": "unknown"}
+
+
+def prompt(kind: str, slots: dict[str, Column], templates: dict[str, str] = PROMPTS) -> Column:
+    """A prompt of some kind; a slot that is null or not given takes its value of UNSET, else nothing."""
+    parts = re.split(r"\{(\w+)\}", templates[kind])
+    return F.concat(*(F.lit(x) if k % 2 == 0 else F.coalesce(slots.get(x, F.lit(None).cast("string")), F.lit(UNSET.get(x, ""))) for k, x in enumerate(parts)))
 
 
 def cwe_number(cwe: Column) -> Column:

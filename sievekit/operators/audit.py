@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievekit.operators.curation import normalised, without_comments
+from sievekit.operators.judges import has_real_assertion
+from sievekit.operators.rules import call_arguments, parameters
 
+#: Words in the name of a collection's own sources; further ones are a parameter.
+OWN_SOURCES = ("Template",)
 ISSUE = "array<struct<severity string, category string, message string>>"
 
 
@@ -30,30 +34,39 @@ def py_compiles(code: pd.Series) -> pd.Series:
     return code.map(one)
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("lines", "branches", "calls", "depth")]))
-def ast_counts(code: pd.Series) -> pd.DataFrame:
-    """Lines, branches, calls and depth of code; zeros but for lines if it doesn't parse."""
+#: Nodes that count as branches, and factors by weakness: fixed values.
+BRANCHES = (ast.If, ast.For, ast.While, ast.Try, ast.With, ast.ExceptHandler)
+EASY, MEDIUM, HARD = ("CWE-94", "CWE-95"), ("CWE-287", "CWE-306", "CWE-502", "CWE-611", "CWE-918"), ("CWE-798", "CWE-259", "CWE-327", "CWE-338")
 
-    def depth(node: ast.AST) -> int:
-        inner = [depth(c) for c in ast.iter_child_nodes(node)]
-        return isinstance(node, ast.If | ast.For | ast.While | ast.With | ast.Try | ast.FunctionDef) + max(inner, default=0)
 
+@F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("lines", "branches", "calls", "depth")]))
+def ast_counts(code: pd.Series) -> pd.DataFrame:
+    """Lines, branches, calls and depth of the syntax tree; zeros but for lines if code doesn't parse."""
     rows = []
     for text in code:
         text = text or ""
-        lines = sum(1 for x in text.split("\n") if x.strip() and not x.strip().startswith("#"))
+        lines = text.strip().count("\n") + 1
+        branches = calls = depth = 0
         try:
-            nodes = list(ast.walk(tree := ast.parse(text)))
-            rows.append((lines, sum(isinstance(n, ast.If | ast.For | ast.While | ast.Try | ast.BoolOp) for n in nodes), sum(isinstance(n, ast.Call) for n in nodes), depth(tree)))
+            level = [ast.parse(text)]
         except (SyntaxError, ValueError, RecursionError):
-            rows.append((lines, 0, 0, 0))
+            level = []
+        while level:
+            branches += sum(isinstance(n, BRANCHES) for n in level)
+            calls += sum(isinstance(n, ast.Call) for n in level)
+            level = [c for n in level for c in ast.iter_child_nodes(n)]
+            depth += bool(level)
+        rows.append((lines, branches, calls, depth))
     return pd.DataFrame(rows, columns=["lines", "branches", "calls", "depth"])
 
 
-def difficulty_score(counts: Column, modifier: Column | float = 1.0) -> Column:
-    """Weighted counts of ast_counts()."""
+def difficulty_score(counts: Column, cwe: Column | None = None) -> Column:
+    """Weighted counts of ast_counts(), times the weakness's factor."""
     total = counts["lines"] * 0.3 + counts["branches"] * 2 + counts["calls"] * 0.5 + counts["depth"] * 3
-    return total * (F.lit(modifier) if isinstance(modifier, float) else modifier)
+    if cwe is None:
+        return total
+    factor = F.when(cwe.isin(*EASY), 0.5).when(cwe.isin(*HARD), 1.5).when(cwe.isin(*MEDIUM), 1.2).otherwise(1.0)
+    return total * factor
 
 
 @F.pandas_udf(T.StructType([T.StructField("code", T.StringType()), T.StructField("names", T.MapType(T.StringType(), T.StringType()))]))
@@ -139,9 +152,137 @@ def drop_reason(checks: dict[str, Column]) -> Column:
     return out
 
 
-def review_priority(valid: Column, warnings: Column, detected: Column) -> Column:
-    """high for invalid samples, medium for undetected or much warned ones, else low."""
-    return F.when(~valid, "high").when(~detected | (warnings > 2), "medium").otherwise("low")
+def review(samples: DataFrame, own_sources: tuple[str, ...] = OWN_SOURCES) -> DataFrame:
+    """needs_review, priority and reasons of samples.
+
+    Columns: difficulty, generation_method, generation_quality, source, valid, errors, warnings and
+    runtime_errors (arrays). Errors and warnings make it high; difficulty, method, quality and an
+    external source medium; reasons are those of the level that decides.
+    """
+
+    def told(column: str, label: str, without: Column | None = None) -> Column:
+        found = F.coalesce(F.col(column), F.array().cast("array<string>"))
+        return F.transform(found if without is None else F.array_except(found, without), lambda x: F.concat(F.lit(label), x))
+
+    none = F.array().cast("array<string>")
+    runtime = F.coalesce(F.col("runtime_errors"), none)
+    valid = F.coalesce(F.col("valid"), F.lit(True))
+    high = F.concat(
+        told("runtime_errors", "Runtime: "), F.when(~valid, told("errors", "Validation: ", runtime)).otherwise(none), told("warnings", "Warning: ")
+    )
+    method, quality = (F.coalesce(c, F.lit("unknown")) for c in ("generation_method", "generation_quality"))
+    source = F.coalesce("source", F.lit(""))
+    own = (source == "") | F.exists(F.array(*map(F.lit, own_sources)), lambda x: source.contains(x))
+    medium = F.array_compact(
+        F.array(
+            F.when(F.col("difficulty") == "hard", "Hard difficulty"),
+            F.when(method != "template", F.concat(F.lit("Generation method "), method)),
+            F.when(quality != "verified", F.concat(F.lit("Quality "), quality)),
+            F.when(~own, F.concat(F.lit("External source "), source)),
+        )
+    )
+    reasons = F.when(F.size(high) > 0, high).otherwise(medium)
+    priority = F.when(F.size(high) > 0, "high").when(F.size(medium) > 0, "medium").otherwise("low")
+    passed = F.when((method == "template") & (quality == "verified"), "Template and verified").otherwise("Passed all checks")
+    return samples.withColumns(
+        {"needs_review": priority != "low", "priority": priority, "reasons": F.when(F.size(reasons) > 0, reasons).otherwise(F.array(passed))}
+    )
+
+
+def review_stats(reviewed: DataFrame) -> DataFrame:
+    """One row: how many need review, by priority, with runtime failures and what a static tool can see."""
+    return reviewed.agg(
+        F.count("*").alias("total"), F.count_if("needs_review").alias("needs_review"),
+        *(F.count_if(F.col("priority") == p).alias(f"priority_{p}") for p in ("high", "medium", "low")),
+        F.count_if(F.size(F.coalesce(F.col("runtime_errors"), F.array().cast("array<string>"))) > 0).alias("runtime_failures"),
+        F.count_if("detectable").alias("bandit_detectable"), F.count_if(~F.col("detectable")).alias("bandit_not_detectable"),
+    )
+
+
+def validation_totals(rows: DataFrame) -> DataFrame:
+    """One row: total, valid, invalid and the number of warnings (columns valid, warnings: an array)."""
+    valid = F.coalesce(F.col("valid"), F.lit(False))
+    return rows.agg(
+        F.count("*").alias("total"), F.count_if(valid).alias("valid"), F.count_if(~valid).alias("invalid"),
+        F.coalesce(F.sum(F.greatest(F.size("warnings"), F.lit(0)).cast("bigint")), F.lit(0)).alias("warnings"),
+    )
+
+
+def strict(rows: DataFrame, no_warnings: bool = True) -> DataFrame:
+    """Valid rows, and with no_warnings those without a warning."""
+    kept = rows.where(F.coalesce("valid", F.lit(False)))
+    return kept.where(F.greatest(F.size("warnings"), F.lit(0)) == 0) if no_warnings else kept
+
+
+#: Order of the final checks and the patterns that secure code must not have: fixed values.
+INSECURE = {
+    "CWE-89": [r"\.execute\s*\([^)]*%[sd].*%", r"\.execute\s*\([^)]*\.format\(", r"f[\"'].*\{.*\}.*(?:SELECT|INSERT|UPDATE|DELETE)"],
+    "CWE-77": [r"shell\s*=\s*True"],
+    "CWE-78": [r"\bos\.popen\s*\(", r"\bos\.system\s*\(", r"shell\s*=\s*True"],
+}
+
+
+def final_reason(samples: DataFrame, patterns: dict[str, list[str]] = INSECURE) -> DataFrame:
+    """samples with drop_reason, the first of the final checks that fails; null if none does.
+
+    Columns: cwe, entry_point, secure_code, insecure_code, security_tests, operators_apply and
+    n_mutants (of the sample's operators), secure_passes and insecure_passes (of its tests).
+    """
+    blank = {c: F.trim(F.coalesce(c, F.lit(""))) == "" for c in ("secure_code", "insecure_code")}
+    secure_ok, insecure_ok = F.col("secure_passes"), F.col("insecure_passes")
+    declared = F.size(parameters(F.col("secure_code"), F.col("entry_point")))
+    called = call_arguments(F.col("security_tests"), F.col("entry_point"))
+    checks = {
+        "empty_code": blank["secure_code"] | blank["insecure_code"],
+        "no_operators_fire": ~F.col("operators_apply"),
+        "no_mutants_produced": F.col("n_mutants") == 0,
+        "trivial_diff": without_comments(F.col("secure_code")) == without_comments(F.col("insecure_code")),
+        "signature_mismatch": (called >= 0) & (called != declared),
+        "insecure_secure_code": insecure_pattern(F.col("secure_code"), F.col("cwe"), patterns),
+        "tautological_security_test": ~has_real_assertion(F.col("security_tests")),
+        "vd_both_pass": secure_ok & insecure_ok, "vd_both_fail": ~secure_ok & ~insecure_ok, "vd_inverted": ~secure_ok & insecure_ok,
+    }
+    return samples.withColumn("drop_reason", drop_reason(checks))
+
+
+def drop_counts(judged: DataFrame) -> DataFrame:
+    """drop_reason, n: how many rows each check took, kept ones as null."""
+    return judged.groupBy("drop_reason").agg(F.count("*").alias("n"))
+
+
+def assess(samples: DataFrame, own_source: str = "own") -> DataFrame:
+    """quality_level and notes of samples, from their markers, code and tests; own_source: whose reviewed samples are curated.
+
+    Columns: id, source, generation_method, generation_quality, manually_reviewed, reviewed,
+    entry_point, secure_code, insecure_code, functional_tests, security_tests. Markers come
+    first; then the first failure that ends the check; then what is only noted.
+    """
+    secure, insecure = (F.coalesce(c, F.lit("")) for c in ("secure_code", "insecure_code"))
+    template = (F.col("generation_quality") == "verified") | (F.col("generation_method") == "template")
+    curated = (F.col("source") == own_source) & F.coalesce("manually_reviewed", F.lit(False))
+    ends = (
+        F.when(secure.contains("AUTO-GENERATION FAILED"), "Secure code generation failed")
+        .when(F.trim(secure) == F.trim(insecure), "Secure code identical to insecure")
+        .when(~py_compiles(secure) | ~py_compiles(insecure), "Syntax error")
+    )
+    noted = F.array_compact(
+        F.array(
+            F.when((F.coalesce("entry_point", F.lit("")) != "") & ~secure.contains(F.concat(F.lit("def "), F.col("entry_point"), F.lit("("))), F.concat(F.lit("Entry point '"), F.col("entry_point"), F.lit("' not in secure code"))),
+            *(F.when((F.coalesce(c, F.lit("")) != "") & ~py_compiles(c), F.lit(f"{c} has syntax error")) for c in ("functional_tests", "security_tests")),
+        )
+    )
+    marked = F.coalesce(template, F.lit(False)) | F.coalesce(curated, F.lit(False))
+    notes = F.when(marked, F.array().cast("array<string>")).when(ends.isNotNull(), F.array(ends)).otherwise(noted)
+    level = (
+        F.when(F.coalesce(template, F.lit(False)), "template").when(F.coalesce(curated, F.lit(False)), "curated")
+        .when((F.size("notes") == 0) & F.coalesce("reviewed", F.lit(False)), "reviewed").otherwise("auto")
+    )
+    method = F.coalesce(
+        F.nullif("generation_method", F.lit("")), F.when(secure.contains("AUTO-GENERATION FAILED"), "transform_failed").otherwise("transform")
+    )
+    return samples.withColumn("notes", notes).withColumns(
+        {"quality_level": level, "validation_passed": F.size("notes") == 0, "method": method, "transformation_applied": method.startswith("transform")}
+    )
 
 
 def insecure_pattern(text: Column, cwe: Column, rules: dict[str, list[str]]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -110,15 +111,16 @@ def novelty(samples: DataFrame, novel: list[str], known: dict[str, str], least:
 
 
 def modify_comments(code: Column) -> Column:
-    """Drop comments that a line ends with, unless a quote before them is open; whole comment lines go."""
-    lines = F.split(code, "\n")
+    """Drop comments that a line ends with, unless an odd number of either quote stands before; lines of comment go."""
 
     def cut(line: Column) -> Column:
         head = F.substring_index(line, "#", 1)
-        quotes = F.length(head) - F.length(F.translate(head, "\"'", ""))
-        return F.when(line.contains("#") & (quotes % 2 == 0), F.rtrim(head)).otherwise(line)
+        closed = F.lit(True)
+        for quote in ("\"", "'"):
+            closed = closed & ((F.length(head) - F.length(F.replace(head, F.lit(quote)))) % 2 == 0)
+        return F.when(line.contains("#") & closed, F.regexp_replace(head, r"\s+$", "")).otherwise(line)
 
-    kept = F.filter(lines, lambda x: ~F.startswith(F.ltrim(x), F.lit("#")))
+    kept = F.filter(F.split(code, "\n"), lambda x: ~x.rlike(r"^\s*#"))
     return F.array_join(F.transform(kept, cut), "\n")
 
 
@@ -127,6 +129,16 @@ def swap_quotes(code: Column) -> Column:
     return F.regexp_replace(code, "\"([^\"\\\\']+)\"", "'$1'")
 
 
+def identifiers(code: Column) -> Column:
+    """The distinct identifiers of a text, in order of first use."""
+    return F.array_distinct(F.regexp_extract_all(code, F.lit(r"(?<![\p{L}\p{N}_])([\p{L}_][\p{L}\p{N}_]*)"), F.lit(1)))
+
+
+def new_identifiers(code: Column, known: Column) -> Column:
+    """Those of code that an array of known names lacks."""
+    return F.array_except(identifiers(code), known)
+
+
 def restructure(code: Column) -> Column:
     """Rewrite two forms of conditions to equal ones."""
     negated = F.regexp_replace(code, r"if not (\w+):", "if $1 is None or not $1:")
@@ -134,12 +146,59 @@ def restructure(code: Column) -> Column:
 
 
 def rename(code: Column, names: dict[str, str]) -> Column:
-    """Replace whole words by a fixed map, longest first."""
-    for old in sorted(names, key=lambda k: (-len(k), k)):
-        code = F.regexp_replace(code, rf"(?<![\p{{L}}\p{{N}}_]){old}(?![\p{{L}}\p{{N}}_])", names[old])
+    """Replace whole words by a fixed map, all at once: what one name becomes is not another's old name."""
+    order = sorted(names, key=lambda k: (-len(k), k))
+    for k, old in enumerate(order):
+        code = F.regexp_replace(code, rf"(?<![\p{{L}}\p{{N}}_]){re.escape(old)}(?![\p{{L}}\p{{N}}_])", f"\ue000{k}\ue001")
+    for k, old in enumerate(order):
+        code = F.replace(code, F.lit(f"\ue000{k}\ue001"), F.lit(names[old]))
     return code
 
 
+#: Rewrites of how code does a thing, by weakness and name: patterns and replacements are fixed values.
+STRUCTURES = {
+    "CWE-89": {
+        "sql_direct_execute": [(r"\bdb\.execute\b", "conn.execute")],
+        "sql_cursor_based": [(r"(\s*)(\w+)\s*=\s*db\.execute\((.+?)\)", "$1cursor = db.cursor()\n$1cursor.execute($3)\n$1$2 = cursor.fetchall()")],
+        "sql_context_manager": [(r"(?s)(def \w+\([^)]*\):)\n(\s+)(.+db\.execute.+)", "$1\n$2with db.connection() as conn:\n$2    $3")],
+        "sql_fetchone_variant": [(r"(\w+)\s*=\s*db\.execute\((.+?)\)\.fetchall\(\)", "cursor = db.execute($2)\n$1 = cursor.fetchone()")],
+    },
+    "CWE-78": {
+        "cmd_subprocess_run": [(r"subprocess\.call\((.+?)\)", "subprocess.run($1, capture_output=True)")],
+        "cmd_subprocess_popen": [(r"subprocess\.run\((.+?)\)", "proc = subprocess.Popen($1, stdout=subprocess.PIPE)\noutput, _ = proc.communicate()")],
+        "cmd_check_output": [(r"subprocess\.(?:run|call)\((.+?)\)", "subprocess.check_output($1)")],
+    },
+    "CWE-22": {
+        "path_os_path": [(r"Path\((.+?)\)\s*/\s*(.+)", "os.path.join($1, $2)")],
+        "path_context_manager": [(r"(\w+)\s*=\s*open\((.+?)\)\.read\(\)", "with open($2) as f:\n    $1 = f.read()")],
+        "path_pathlib": [
+            (r"(?s)\A(?=.*os\.path)", "from pathlib import Path\n"), (r"os\.path\.join\((.+?),\s*(.+?)\)", "Path($1) / $2"), (r"os\.path\.exists\((.+?)\)", "Path($1).exists()"),
+        ],
+    },
+    "CWE-502": {"deser_json_loads": [(r"json\.load\(", "json.loads(")]},
+}
+
+
+#: Ways that need a word somewhere in the code: fixed values.
+NEEDS = {"path_os_path": "pathlib", "sql_context_manager": "def "}
+
+
+def restructured(code: Column, cwe: Column, seed: str = "42", structures: dict = STRUCTURES) -> tuple[Column, Column]:
+    """code rewritten in one of its weakness's ways, chosen by the hash of seed and code, and the way's name; none without any."""
+    out, name = code, F.lit("none")
+    for weakness, ways in sorted(structures.items()):
+        pick = F.pmod(F.xxhash64(F.lit(seed), code), F.lit(len(ways)))
+        for k, (way, steps) in enumerate(sorted(ways.items())):
+            done = code
+            for pattern, replacement in steps:
+                done = F.regexp_replace(done, pattern, replacement)
+            here = (cwe == weakness) & (pick == k)
+            if way in NEEDS:
+                done = F.when(F.contains(F.lower(code), F.lit(NEEDS[way])), done).otherwise(code)
+            out, name = F.when(here, done).otherwise(out), F.when(here, F.lit(f"structural_{way}")).otherwise(name)
+    return out, name
+
+
 def perturbation_hash(code: Column) -> Column:
     """16 hexadecimal digits that stand for a text."""
     return F.substring(F.sha2(code.cast("binary"), 256), 1, 16)

@@ -19,11 +19,12 @@ def first_by(rows: DataFrame, keys: list, order: list, n: int = 1) -> DataFrame:
 
 
 def exact_dedup(samples: DataFrame, sources: list[str] | None = None) -> DataFrame:
-    """One row for equal code within (cwe, source); sources limits what is deduplicated."""
+    """One row for equal code within (cwe, source), told by its digest; sources limits what is deduplicated."""
+    keys = ["cwe", "source", F.sha2(F.col("code").cast("binary"), 256)]
     if sources is None:
-        return first_by(samples, ["cwe", "source", "code"], ["ord"])
-    mine = F.col("source").isin(*sources)
-    return samples.where(~mine).unionByName(first_by(samples.where(mine), ["cwe", "source", "code"], ["ord"]))
+        return first_by(samples, keys, ["ord"])
+    mine = F.coalesce(F.col("source").isin(*sources), F.lit(False))
+    return samples.where(~mine).unionByName(first_by(samples.where(mine), keys, ["ord"]))
 
 
 def structural_key(code: Column) -> Column:
@@ -72,17 +73,19 @@ def quota_select(samples: DataFrame, weights: DataFrame, target: int, cap: int =
     quotas = weights.crossJoin(F.broadcast(total)).select(
         "cwe", F.least(F.greatest(F.floor(F.col("weight") * target / F.col("_all")), F.lit(1)), F.lit(cap)).alias("quota")
     )
-    ranked = samples.withColumn("_rank", F.row_number().over(W.partitionBy("cwe").orderBy("ord")))
-    marked = ranked.join(quotas, "cwe", "left").withColumn("picked", F.col("_rank") <= F.coalesce("quota", F.lit(0)))
-    picked = marked.where("picked").drop("_rank", "quota")
+    # Constant bounds on the ranks let each task keep its own first rows before the shuffle.
+    ranked = samples.withColumn("_rank", F.row_number().over(W.partitionBy("cwe").orderBy("ord"))).where(F.col("_rank") <= cap)
+    picked = ranked.join(quotas, "cwe").where(F.col("_rank") <= F.col("quota")).select(*samples.columns)
     # Past the quota a cwe has room up to the cap; of those the first in hash order fill what lacks.
-    order = [F.md5(F.concat(F.lit(seed), F.col("id").cast("string")).cast("binary")), F.col("id")]
-    rest = marked.where("NOT picked")
-    rest = rest.withColumn("_room", F.row_number().over(W.partitionBy("cwe").orderBy(*order)))
-    rest = rest.where(F.col("_room") <= cap - F.least(F.coalesce("quota", F.lit(0)), F.lit(cap)))
-    lacking = max(0, target - picked.count())
-    more = rest.orderBy(*order).limit(lacking).drop("_rank", "quota", "_room")
-    return picked.unionByName(more)
+    # A cwe's first 2 * cap in hash order hold cap that are not picked, if it has so many.
+    order = hash_order(seed)
+    late = samples.withColumn("_late", F.row_number().over(W.partitionBy("cwe").orderBy(*order))).where(F.col("_late") <= 2 * cap)
+    rest = late.join(picked.select("id"), "id", "left_anti").join(quotas, "cwe", "left")
+    rest = rest.withColumn("_room", F.row_number().over(W.partitionBy("cwe").orderBy("_late")))
+    rest = rest.where(F.col("_room") <= cap - F.coalesce("quota", F.lit(0))).orderBy(*order).limit(target)
+    lacking = picked.agg((F.lit(target) - F.count("*")).alias("_lacking"))
+    rest = rest.withColumn("_nth", F.row_number().over(W.orderBy(*order))).crossJoin(F.broadcast(lacking)).where(F.col("_nth") <= F.col("_lacking"))
+    return picked.withColumn("picked", F.lit(True)).unionByName(rest.select(*samples.columns, F.lit(False).alias("picked")))
 
 
 def hash_order(seed: str, key: str = "id") -> list[Column]:
@@ -95,11 +98,12 @@ def stratified_sample(samples: DataFrame, k: int, key: str = "cwe", seed: str =
     order = hash_order(seed)
     sizes = samples.groupBy(key).agg(F.count("*").alias("_n"))
     total = samples.agg(F.count("*").alias("_all"))
-    ranked = samples.withColumn("_rank", F.row_number().over(W.partitionBy(key).orderBy(*order)))
+    # No group gives more than k rows, which lets each task keep its own first ones before the shuffle.
+    ranked = samples.withColumn("_rank", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("_rank") <= k)
     shares = sizes.crossJoin(F.broadcast(total)).select(
         key, F.greatest(F.lit(1), F.bround(F.col("_n") * 1.0 / F.col("_all") * k).cast("int")).alias("_quota")
     )
-    marked = ranked.join(F.broadcast(shares), key).withColumn("_late", (F.col("_rank") > F.col("_quota")).cast("int"))
+    marked = ranked.join(shares, key).withColumn("_late", (F.col("_rank") > F.col("_quota")).cast("int"))
     return marked.orderBy("_late", *order).limit(k).select(*samples.columns)
 
 
@@ -115,7 +119,7 @@ def usable_groups(samples: DataFrame, mapped: list[str], least: int) -> tuple[Da
         ),
     )
     good = why.where("reason = ''").select("cwe")
-    return samples.join(F.broadcast(good), "cwe", "left_semi"), why.where("reason <> ''")
+    return samples.join(good, "cwe", "left_semi"), why.where("reason <> ''")
 
 
 def exclude(samples: DataFrame, cwes: list[str], ids: list) -> DataFrame:
@@ -140,6 +144,17 @@ def filter_quality(samples: DataFrame, least: str, need_valid: bool = True) -> D
     return samples.where(good & F.coalesce("validation_passed", F.lit(True))) if need_valid else samples.where(good)
 
 
+def filter_and_count(samples: DataFrame, least: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows of a level and better that are valid (and with strict without warnings), and counts by level of all rows before that.
+
+    Columns: quality_level, validation_passed, warnings (an array).
+    """
+    level = F.lower(F.coalesce("quality_level", F.lit(LEVELS[0])))
+    counts = samples.groupBy(level.alias("level")).agg(F.count("*").alias("n"))
+    kept = filter_quality(samples, least)
+    return (kept.where(F.greatest(F.size("warnings"), F.lit(0)) == 0) if strict else kept), counts
+
+
 def confidence(level: Column) -> Column:
     """The confidence that a level gives."""
     out = F.lit(CONFIDENCE["auto"])

@@ -16,10 +16,42 @@ def normalise_cwe(raw: Column) -> Column:
 
 
 def tool_cwe(raw: Column) -> Column:
-    """A tool's mention of a CWE: CWE-n anywhere, or a bare number; else null."""
-    named = F.nullif(F.regexp_extract(F.upper(raw), r"CWE-0*(\d+)", 1), F.lit(""))
-    bare = F.nullif(F.regexp_extract(raw, r"^\s*0*(\d+)\s*$", 1), F.lit(""))
-    return F.concat(F.lit("CWE-"), F.coalesce(named, bare))
+    """A tool's mention of a CWE: the first CWE-n as it stands, or a bare number; else null."""
+    named = F.nullif(F.regexp_extract(raw, r"(CWE-\d+)", 1), F.lit(""))
+    bare = F.concat(F.lit("CWE-"), F.nullif(F.regexp_extract(raw, r"^\s*(\d+)\s*$", 1), F.lit("")))
+    return F.coalesce(named, bare)
+
+
+SEMGREP = "results array<struct<check_id string, path string, start struct<line int>, extra struct<severity string, message string, metadata struct<cwe: string>>>>"
+
+
+def parse_semgrep(rows: DataFrame, column: str = "json", keep: tuple[str, ...] = ("sample_id",)) -> DataFrame:
+    """rule, message, severity, line, cwe of each finding; metadata's cwe may be a text or a list, whose first one counts."""
+    listed = SEMGREP.replace("cwe: string", "cwe: array<string>")
+    both = rows.select(*keep, F.arrays_zip(F.from_json(column, SEMGREP)["results"].alias("a"), F.from_json(column, listed)["results"].alias("b")).alias("z"))
+    f = both.select(*keep, F.explode("z").alias("f"))
+    raw = F.coalesce(F.get(F.col("f.b.extra.metadata.cwe"), 0), F.col("f.a.extra.metadata.cwe"))
+    return f.select(
+        *keep, F.col("f.a.check_id").alias("rule"), F.col("f.a.extra.message").alias("message"),
+        F.col("f.a.extra.severity").alias("severity"), F.col("f.a.start.line").alias("line"), tool_cwe(raw).alias("cwe"),
+    )
+
+
+def rule_summary(rows: DataFrame) -> DataFrame:
+    """By cwe: samples, detections in insecure and secure code, both rates and the distinct rules.
+
+    rows: cwe, secure_hit, insecure_hit, rules (array). A tool that failed on the secure code
+    (null) counts as a sample without any detection.
+    """
+    n = F.count("*")
+    ran = F.col("secure_hit").isNotNull()
+    insecure, secure = F.count_if(ran & F.col("insecure_hit")), F.count_if(F.col("secure_hit"))
+    counts = rows.groupBy(F.coalesce("cwe", F.lit("unknown")).alias("cwe")).agg(
+        n.alias("total"), secure.alias("detected_secure"), insecure.alias("detected_insecure"),
+        ratio(insecure, n).alias("detection_rate"), ratio(secure, n).alias("false_positive_rate"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(ran, F.col("rules")))))).alias("rules"),
+    )
+    return counts
 
 
 def parse_bandit(rows: DataFrame, column: str = "json", keep: tuple[str, ...] = ("sample_id",)) -> DataFrame:

@@ -45,12 +45,14 @@ class Rules:
         return cls(**json.loads(text))
 
 
-#: A small table for the operators of the golden cases: fixed values.
+#: A small table, enough for the golden cases; production tables come by Rules.from_json.
 DEFAULT = Rules(
     keywords={
         "PSQLI": ["parameterized", "prepared", "placeholder", "sql", "inject", "string.*concat", "execute", "cursor", "database"],
         "CMDINJECT": ["shell", "command", "inject", "subprocess", "shlex", "popen", "os.system"],
         "PATHCONCAT": ["traversal", r"\.\./", "path", "realpath", "normalize", "directory", "startswith"],
+        "EVALINJECT": ["eval", "code execution"], "OPENREDIRECT": ["redirect"], "NOCERTVALID": ["certificate", "ssl", "tls"],
+        "INFOEXPOSE": ["expos", "stack trace"], "REGEXDOS": ["regex", "backtrack"], "MISSINGAUTH": ["authoriz", "permission"],
         "WEAKCRYPTO": ["md5", "sha1", "weak.*algorithm", "hash", "encrypt", "bcrypt", "salt"],
     },
     payloads={
@@ -142,14 +144,33 @@ def explanation(kind: Column, layer: Column, operator: Column) -> Column:
     return F.concat_ws(": ", kind, why)
 
 
+#: Kinds of error by what the message names, whatever the case, the first that fits: fixed values.
+ERROR_KINDS = (
+    ("syntax", ("syntaxerror", "invalid syntax")), ("import", ("importerror", "modulenotfounderror")), ("name", ("nameerror",)),
+    ("type", ("typeerror",)), ("attribute", ("attributeerror",)), ("indentation", ("indentationerror",)), ("timeout", ("timeout",)),
+    ("runtime", ("runtimeerror",)), ("other_runtime", ("error", "exception")),
+)
+
+
 def error_category(message: Column) -> Column:
-    """The first of nine kinds that an error message names, else unknown."""
-    kinds = (
-        ("SyntaxError", "syntax_error"), ("IndentationError", "indentation_error"), ("ImportError", "import_error"),
-        ("ModuleNotFoundError", "import_error"), ("NameError", "name_error"), ("TypeError", "type_error"),
-        ("AttributeError", "attribute_error"), ("AssertionError", "assertion_error"), ("Timeout", "timeout"),
-    )
+    """The kind of error that a message names, else unknown."""
+    low = F.lower(message)
     out = F.lit("unknown")
-    for name, kind in reversed(kinds):
-        out = F.when(message.contains(name), kind).otherwise(out)
-    return F.when(message.isNull() | (message == ""), F.lit("unknown")).otherwise(out)
+    for kind, words in reversed(ERROR_KINDS):
+        out = F.when(_any([low.contains(w) for w in words]), kind).otherwise(out)
+    return F.when(F.coalesce(message, F.lit("")) == "", F.lit("unknown")).otherwise(out)
+
+
+def test_validity(rows: DataFrame) -> DataFrame:
+    """file, category, n: failing tests by kind of error, with totals (nulls)."""
+    return rows.withColumn("category", error_category(F.col("error"))).rollup("file", "category").agg(F.count("*").alias("n"))
+
+
+def mock_hits(mutants: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """Mutants (operator, mock_access: map of arrays) whose tests read a mock's security attribute of their operator."""
+    spark = mutants.sparkSession
+    wanted = [(o, m, a) for o, mocks in sorted(rules.mocks.items()) for m, a in sorted(mocks.items())]
+    table = spark.createDataFrame(wanted, "operator string, _mock string, _attributes array<string>")
+    used = F.arrays_overlap(F.try_element_at("mock_access", F.col("_mock")), F.col("_attributes"))
+    # The rules are a parameter of the call, so their size is known here.
+    return mutants.join(F.broadcast(table), (mutants["operator"] == table["operator"]) & used, "left_semi")

@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -201,10 +202,14 @@ def generate(samples: DataFrame, rules: list[Rule] | None = None, most: int | No
     """
     table = rules or default_rules()
 
-    @F.udf("array<struct<operator string, mutated_code string, description string>>")
-    def run(code: str | None, names: list[str] | None):
-        wanted = set(names or TARGETS)
-        return mutants(code or "", [r for r in table if r.operator in wanted], most)
+    @F.pandas_udf("array<struct<operator string, mutated_code string, description string>>")
+    def run(codes: pd.Series, operators: pd.Series) -> pd.Series:
+        out = []
+        for code, names in zip(codes, operators, strict=True):
+            wanted = set(TARGETS if names is None or not len(names) else names)
+            found = mutants(code or "", [r for r in table if r.operator in wanted], most)
+            out.append([{"operator": o, "mutated_code": t, "description": d} for o, t, d in found])
+        return pd.Series(out)
 
     found = samples.select("id", F.posexplode(run("secure_code", "mutation_operators")).alias("seq", "m"))
     return found.select(
@@ -228,6 +233,42 @@ def operators_of(samples: DataFrame) -> DataFrame:
 
 
 def validity(rows: DataFrame) -> DataFrame:
-    """Total and compilable mutants by operator."""
-    ok = F.udf(lambda c: compiles(c or ""), "boolean")
-    return rows.groupBy("operator").agg(F.count("*").alias("total"), F.count_if(ok("mutated_code")).alias("compilable"))
+    """Total and compilable mutants by operator and (where rows have one) cwe."""
+
+    @F.pandas_udf("boolean")
+    def ok(codes: pd.Series) -> pd.Series:
+        return codes.map(lambda c: compiles(c or ""))
+
+    keys = ["operator", *(c for c in ("cwe",) if c in rows.columns)]
+    return rows.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(ok("mutated_code")).alias("compilable"))
+
+
+def applies(rule: Rule, code: str) -> bool:
+    """Whether a rule finds something to rewrite."""
+    if rule.kind in ("all", "each"):
+        return re.search(rule.pattern, code) is not None
+    return next(_guards(code, rule.pattern), None) is not None
+
+
+def diagnose(samples: DataFrame, rules: list[Rule] | None = None, most: int | None = 30) -> DataFrame:
+    """id, cwe, applying (operators of the sample's weakness that find something), producing (those with mutants), mutants."""
+    table = rules or default_rules()
+
+    @F.pandas_udf("applying array<string>, producing array<string>, mutants int")
+    def run(codes: pd.Series, cwes: pd.Series) -> pd.DataFrame:
+        out = []
+        for code, cwe in zip(codes, cwes, strict=True):
+            own = [r for r in table if cwe in TARGETS[r.operator].split()]
+            found = mutants(code or "", own, most)
+            out.append((sorted({r.operator for r in own if applies(r, code or "")}), sorted({o for o, _, _ in found}), len(found)))
+        return pd.DataFrame(out, columns=["applying", "producing", "mutants"])
+
+    return samples.select("id", "cwe", run("secure_code", "cwe").alias("d")).select("id", "cwe", "d.*")
+
+
+def diagnosis(rows: DataFrame) -> DataFrame:
+    """By cwe: samples, those that no operator applies to, those without mutants, and mutants in all."""
+    return rows.groupBy(F.coalesce("cwe", F.lit("unknown")).alias("cwe")).agg(
+        F.count("*").alias("total_samples"), F.count_if(F.size("applying") == 0).alias("no_applies"),
+        F.count_if(F.size("producing") == 0).alias("no_mutants"), F.sum(F.col("mutants").cast("bigint")).alias("total_mutants"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("evaluation", "curation", "judging", "checks", "joins")
+MODULES = ("evaluation", "curation", "judging", "checks", "joins", "rules", "texts", "mutations")
 
 
 def collect() -> tuple[dict, dict]:

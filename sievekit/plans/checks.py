@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from sievekit.operators import audit as a
 from sievekit.operators import mutation as mu
-from sievekit.operators import similarity as si
 from sievekit.plans import views as v
 from sievekit.session import table
 from sievekit.streaming import progress
@@ -42,38 +41,13 @@ iss AS (SELECT id, cwe, source, 'critical' AS severity, 'diff' AS category, 'cod
   UNION ALL SELECT id, cwe, source, 'warning', 'tests', 'tests don''t call the entry point' FROM p WHERE id % 4 = 0)"""
 
 
-def _short(s, d):
-    return v.sample(s, d).where("n_chars < 700")
-
-
 QUERIES = {
     "x29_issues": lambda s, d: a.issues(_programs(s, d)),
     "a33_health": lambda s, d: a.health(_programs(s, d), a.issues(_programs(s, d))),
-    "f10_drop_reason": lambda s, d: _programs(s, d).select(
-        "id",
-        a.drop_reason({
-            "trivial_diff": F.col("secure_code") == F.col("insecure_code"), "no_assertion": ~F.col("security_tests").contains("assert"),
-            "insecure_pattern": a.insecure_pattern(F.col("secure_code"), F.col("cwe"), {"CWE-502": [r"json\.LOADS"]}),
-        }).alias("reason"),
-    ),
-    "f12_missing_fields": lambda s, d: _programs(s, d).withColumn("prompt", F.when(F.col("id") % 2 == 0, "")).select(
-        "id", F.array_join(a.missing_fields(["entry_point", "prompt"]), ",").alias("missing")
-    ),
-    "m11_review_priority": lambda s, d: v.finding(s, d).select("ord", a.review_priority(F.col("ord") % 5 != 0, F.col("ord") % 4, F.col("severity") == "HIGH").alias("priority")),
     "f11_insecure_pattern": lambda s, d: v.sample(s, d).select("id", a.insecure_pattern(F.col("code"), F.col("cwe"), {"en": [r"TION", r"\d{4}"], "fr": ["eau"]}).alias("hit")),
     "x_py_compiles": lambda s, d: _programs(s, d).select("id", a.py_compiles("insecure_code").alias("ok")),
-    "m01_ast_difficulty": lambda s, d: _programs(s, d).select("id", a.difficulty_score(a.ast_counts("secure_code")).alias("score")),
-    "x15_rename_identifiers": lambda s, d: _programs(s, d).select("id", a.rename_identifiers("secure_code", F.col("id").cast("string"))["code"].alias("code")),
-    "u14_mutants": lambda s, d: mu.dedup(mu.generate(_programs(s, d))),
-    "w08_first_mutant_per_text": lambda s, d: mu.dedup(mu.generate(_programs(s, d), most=3)).groupBy("operator").agg(F.count("*").alias("n")),
-    "a15_mutant_validity": lambda s, d: mu.validity(mu.generate(_programs(s, d))),
     "j07_operators_of_cwe": lambda s, d: mu.operators_of(_programs(s, d)).groupBy("cwe").agg(F.array_join(F.array_sort(F.collect_set("operator")), ",").alias("operators")),
     "a37_operator_count": lambda s, d: mu.operators_of(_programs(s, d)).groupBy("id").agg(F.count("*").alias("n")),
-    "d04_near_duplicates": lambda s, d: si.near_duplicates(_short(s, d)),
-    "d03_greedy_dedup": lambda s, d: si.greedy_dedup(_short(s, d)).select("id"),
-    "d05_test_duplicates": lambda s, d: table(s, d, "benchmark").select("item_id", si.test_duplicates(F.array("text", F.concat("text", F.lit("!")), F.lit("zzz"))).alias("n")),
-    "d10_diff_similarity": lambda s, d: _programs(s, d).select("id", si.diff_similarity("secure_code", F.concat("secure_code", F.lit("x = 1\n")), F.concat("secure_code", F.lit("x = 2\n"))).alias("ratio")),
-    "x26_diff_text": lambda s, d: _programs(s, d).select("id", F.length(si.diff_text("secure_code", F.concat("secure_code", F.lit("x = 1\n")))).alias("n")),
     "e01_tumbling": lambda s, d: progress.tumbling(table(s, d, "events")),
     "e02_sessions": lambda s, d: progress.sessions(table(s, d, "events")),
 }
@@ -82,9 +56,6 @@ ORACLE = {
     "x29_issues": f"WITH {_ISSUES} SELECT * FROM iss",
     "a33_health": f"""WITH {_ISSUES}, c AS (SELECT count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(DISTINCT id) AS w FROM iss),
       n AS (SELECT count(*) AS samples FROM p) SELECT samples, samples - w AS clean, critical, warnings, greatest(0.0, (samples * 10 - critical * 2 - warnings * 0.5) * 1.0E0 / (samples * 10)) * 100 AS health FROM n, c""",
-    "f10_drop_reason": """SELECT item_id AS id, CASE WHEN item_id % 3 = 0 THEN 'trivial_diff' WHEN item_id % 4 = 0 THEN 'no_assertion' WHEN item_id % 2 = 1 THEN 'insecure_pattern' END AS reason FROM benchmark""",
-    "f12_missing_fields": "SELECT item_id AS id, 'prompt' AS missing FROM benchmark",
-    "m11_review_priority": f"""WITH {v.FINDING} SELECT ord, CASE WHEN ord % 5 = 0 THEN 'high' WHEN severity <> 'HIGH' OR ord % 4 > 2 THEN 'medium' ELSE 'low' END AS priority FROM v_finding""",
     "f11_insecure_pattern": r"""SELECT doc_id AS id, CASE lang WHEN 'en' THEN regexp_matches(text, '(?i)tion|\d{4}') WHEN 'fr' THEN regexp_matches(text, '(?i)eau') ELSE false END AS hit FROM documents""",
     "x_py_compiles": "SELECT item_id AS id, item_id % 3 < 2 AS ok FROM benchmark",
     "a37_operator_count": "SELECT item_id AS id, CASE WHEN item_id % 2 = 0 THEN 2 ELSE 1 END AS n FROM benchmark",

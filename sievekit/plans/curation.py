@@ -44,12 +44,8 @@ _RANK = "coalesce(CASE lower(quality_level) WHEN 'curated' THEN 4 WHEN 'template
 _SKEY = r"""array_to_string(list_transform(regexp_extract_all(code, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), lambda x: CASE WHEN regexp_matches(x, '^[\p{L}_]') THEN 'X' ELSE x END), '')"""
 
 
-def _transformed(s, d):
-    return v.sample(s, d).where("id % 2 = 0")
-
-
 def _collections(s, d):
-    rows = v.sample(s, d).where("id < 400")
+    rows = v.sample(s, d)
     return {"curated": rows.where("id % 3 = 0"), "template": rows.where("id % 3 <> 2"), "transformed": rows}
 
 
@@ -68,12 +64,10 @@ QUERIES = {
     "u07_complement": lambda s, d: c.temporal_halves(
         v.sample(s, d).select("id", F.when(F.col("id") % 3 > 0, F.format_string("CVE-%d-1", F.col("id") % 9 + 2018)).alias("a")), ["a"]
     )[1],
-    "x11_modify_comments": lambda s, d: table(s, d, "pages").select("page_id", F.md5(c.modify_comments(F.col("html")).cast("binary")).alias("h")),
     "x12_swap_quotes": lambda s, d: table(s, d, "pages").select("page_id", F.md5(c.swap_quotes(F.col("html")).cast("binary")).alias("h")),
     "x13_restructure": lambda s, d: v.sample(s, d).select(
         "id", c.restructure(F.concat(F.lit("if not x:"), F.substring("code", 1, 50), F.lit("if ready == True:"))).alias("code")
     ),
-    "x15_rename": lambda s, d: v.sample(s, d).select("id", F.md5(c.rename(F.col("code"), {"the": "alpha", "of": "beta"}).cast("binary")).alias("h")),
     "h04_perturbation_hash": lambda s, d: v.sample(s, d).select("id", c.perturbation_hash(F.col("code")).alias("h")),
     "d01_exact": lambda s, d: k.exact_dedup(v.sample(s, d)).select("id"),
     "w01_exact_two_sources": lambda s, d: k.exact_dedup(v.sample(s, d), ["src1", "src2"]).select("id"),
@@ -87,14 +81,12 @@ QUERIES = {
     "w05_stratified_sample": lambda s, d: k.stratified_sample(v.sample(s, d), 100).select("id", "cwe"),
     "w06_per_category": lambda s, d: k.first_by(v.sample(s, d), ["source"], k.hash_order("7"), 5).select("id", "source"),
     "w07_first_k": lambda s, d: k.first_by(v.sample(s, d), ["cwe"], ["ord"], 3).select("id", "cwe"),
-    "w10_positions": lambda s, d: v.sample(s, d).where("id < 50").select("id", F.posexplode(F.split("code", "\n")).alias("pos", "line")),
     "o06_offset_limit": lambda s, d: v.sample(s, d).orderBy("ord").offset(20).limit(30).select("id"),
     "o09_shuffle": lambda s, d: v.sample(s, d).orderBy(*k.hash_order("42")).limit(25).select("id"),
     "f01_equality": lambda s, d: v.sample(s, d).where("difficulty = 'hard' AND cwe = 'de'").select("id"),
     "f02_exclusion": lambda s, d: k.exclude(v.sample(s, d), ["fr"], [1, 2, 3]).select("id"),
     "f03_usable_groups": lambda s, d: k.usable_groups(v.sample(s, d), ["en", "fr", "de"], 130)[1],
     "f05_quality_filter": lambda s, d: k.filter_quality(_labelled(s, d), "reviewed").select("id"),
-    "f07_quality_counts": lambda s, d: k.filter_quality(_labelled(s, d), "template", False).groupBy(F.coalesce("quality_level", F.lit("unknown")).alias("level")).agg(F.count("*").alias("n")),
     "f08_skip_invalid": lambda s, d: _labelled(s, d).where(F.coalesce("validation_passed", F.lit(True))).select("id"),
     "m09_confidence": lambda s, d: _labelled(s, d).select("id", k.confidence(F.col("quality_level")).alias("confidence")),
     "a18_quality_report": lambda s, d: k.quality_report(_labelled(s, d)),
@@ -108,9 +100,6 @@ QUERIES = {
     "j20_enrichment": lambda s, d: v.sample(s, d).join(table(s, d, "labels").select(F.col("doc_id").alias("id"), "quality"), "id", "left").select("id", F.coalesce("quality", F.lit(-1)).alias("quality")),
     "u01_union": lambda s, d: v.sample(s, d).select("id", "source").unionByName(_corpus(s, d).select(F.col("item_id").alias("id")), allowMissingColumns=True),
     "u05_set_union": lambda s, d: v.sample(s, d).select("source").union(v.sample(s, d).select("cwe")).distinct(),
-    "u06_word_difference": lambda s, d: _corpus(s, d).select(
-        "item_id", F.size(F.array_except(F.split("text", " "), F.array(F.lit("the"), F.lit("of")))).alias("n")
-    ),
     "n07_ordered_distinct": lambda s, d: _corpus(s, d).select("item_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words")),
 }
 
@@ -148,9 +137,6 @@ ORACLE = {
       FROM documents WHERE doc_id % 4 = 0 OR doc_id % 9 + 2018 >= 2024""",
     "n10_cve_year": "SELECT doc_id AS id, CAST(doc_id % 9 + 2018 AS INT) AS year FROM documents",
     "u07_complement": "SELECT doc_id AS id, 'CVE-' || (doc_id % 9 + 2018) || '-1' AS a FROM documents WHERE doc_id % 3 > 0 AND doc_id % 9 + 2018 < 2024",
-    "x11_modify_comments": r"""WITH l AS (SELECT page_id, list_filter(string_split(html, chr(10)), lambda x: NOT starts_with(ltrim(x, ' '), '#')) AS l FROM pages)
-      SELECT page_id, md5(array_to_string(list_transform(l, lambda x: CASE WHEN contains(x, '#') AND
-        (length(split_part(x, '#', 1)) - length(translate(split_part(x, '#', 1), '"''', ''))) % 2 = 0 THEN rtrim(split_part(x, '#', 1), ' ') ELSE x END), chr(10))) AS h FROM l""",
     "x12_swap_quotes": r"""SELECT page_id, md5(regexp_replace(html, '"([^"\\'']+)"', '''\1''', 'g')) AS h FROM pages""",
     "x13_restructure": r"""SELECT doc_id AS id, regexp_replace(regexp_replace('if not x:' || substring(text, 1, 50) || 'if ready == True:',
       'if not ([0-9A-Za-z_]+):', 'if \1 is None or not \1:', 'g'), 'if ([0-9A-Za-z_]+) == True:', 'if \1:', 'g') AS code FROM documents""",
@@ -165,15 +151,13 @@ ORACLE = {
     "d07_without_comments": r"""SELECT doc_id AS id, length(regexp_replace(regexp_replace(regexp_replace(text, '(?s)""" + '"""' + r""".*?""" + '"""' + r"""|''''''.*?''''''', '', 'g'),
       '(?m)#.*$', '', 'g'), '\s+', '', 'g')) AS n FROM documents""",
     "d08_hash_key": "SELECT doc_id AS id, lang || '_' || source || '_' || substring(md5(text), 1, 8) AS key FROM documents",
-    "w03_priority_dedup": f"""WITH {v.SAMPLE}, e AS (SELECT *, 'curated' AS collection, 0 AS p FROM v_sample WHERE id < 400 AND id % 3 = 0
-      UNION ALL SELECT *, 'template', 1 FROM v_sample WHERE id < 400 AND id % 3 <> 2 UNION ALL SELECT *, 'transformed', 2 FROM v_sample WHERE id < 400)
+    "w03_priority_dedup": f"""WITH {v.SAMPLE}, e AS (SELECT *, 'curated' AS collection, 0 AS p FROM v_sample WHERE id % 3 = 0
+      UNION ALL SELECT *, 'template', 1 FROM v_sample WHERE id % 3 <> 2 UNION ALL SELECT *, 'transformed', 2 FROM v_sample)
       SELECT id, collection FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY p, ord) AS r FROM e) WHERE r = 1""",
     "w04_quota": _QUOTA,
     "w05_stratified_sample": _SIZED,
     "w06_per_category": _first("source", _HASH.format(seed=7), 5, "id, source"),
     "w07_first_k": _first("cwe", "ord", 3, "id, cwe"),
-    "w10_positions": """SELECT doc_id AS id, CAST(unnest(range(0, len(l))) AS INT) AS pos, unnest(l) AS line
-      FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id < 50)""",
     "o06_offset_limit": "SELECT doc_id AS id FROM documents ORDER BY doc_id LIMIT 30 OFFSET 20",
     "o09_shuffle": f"WITH {v.SAMPLE} SELECT id FROM v_sample ORDER BY {_HASH.format(seed=42)} LIMIT 25",
     "f01_equality": "SELECT doc_id AS id FROM documents WHERE n_chars >= 5000 AND lang = 'de'",
@@ -181,7 +165,6 @@ ORACLE = {
     "f03_usable_groups": """SELECT lang AS cwe, count(*) AS n, concat_ws(', ', CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN 'no operators' END,
       CASE WHEN count(*) < 130 THEN 'only ' || count(*) || ' samples' END) AS reason FROM documents GROUP BY 1 HAVING reason <> ''""",
     "f05_quality_filter": f"WITH {_LABELLED} SELECT id FROM lab WHERE {_RANK} >= 2 AND coalesce(validation_passed, true)",
-    "f07_quality_counts": f"WITH {_LABELLED} SELECT coalesce(quality_level, 'unknown') AS level, count(*) AS n FROM lab WHERE {_RANK} >= 3 GROUP BY 1",
     "f08_skip_invalid": f"WITH {_LABELLED} SELECT id FROM lab WHERE coalesce(validation_passed, true)",
     "m09_confidence": f"""WITH {_LABELLED} SELECT id, CAST(coalesce(CASE lower(quality_level) WHEN 'template' THEN 0.95 WHEN 'curated' THEN 0.99
       WHEN 'reviewed' THEN 0.80 ELSE 0.50 END, 0.50) AS DOUBLE) AS confidence FROM lab""",
@@ -200,10 +183,7 @@ ORACLE = {
     "j20_enrichment": "SELECT documents.doc_id AS id, coalesce(quality, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id)",
     "u01_union": "SELECT doc_id AS id, source FROM documents UNION ALL SELECT item_id, NULL FROM benchmark",
     "u05_set_union": "SELECT source FROM documents UNION SELECT lang FROM documents",
-    "x15_rename": r"""SELECT doc_id AS id, md5(array_to_string(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'),
-      lambda x: CASE x WHEN 'the' THEN 'alpha' WHEN 'of' THEN 'beta' ELSE x END), '')) AS h FROM documents""",
     "n07_ordered_distinct": """WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), p AS
       (SELECT item_id, unnest(w) AS x, unnest(range(0, len(w))) AS i FROM w), f AS (SELECT item_id, x, min(i) AS i FROM p GROUP BY 1, 2)
       SELECT item_id, string_agg(x, ' ' ORDER BY i) AS words FROM f GROUP BY 1""",
-    "u06_word_difference": "SELECT item_id, len(list_filter(list_distinct(string_split(text, ' ')), lambda x: x NOT IN ('the', 'of'))) AS n FROM benchmark",
 }

@@ -5,14 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievekit.functions import text as t
-from sievekit.operators import contamination as c
-from sievekit.operators import curation as k
-from sievekit.operators import findings as fi
 from sievekit.operators import judges as j
 from sievekit.operators import metrics as m
-from sievekit.operators import similarity as si
-from sievekit.plans import curation, judging
+from sievekit.plans import judging
 from sievekit.plans import views as v
 from sievekit.session import table
 
@@ -30,66 +25,20 @@ def _answers(s, d):
     return requests.join(_responses(s, d).dropDuplicates(["custom_id"]), "custom_id", "left")
 
 
-def _texts(s, d):
-    """Labelled texts with a judge's keywords: hits by group."""
-    rules = {"en": ["the", "tion"], "fr": ["eau", "le"], "de": ["ver", "sch"]}
-    hits = F.lit(0)
-    for lang, words in sorted(rules.items()):
-        hits = F.when(F.col("cwe") == lang, sum((F.col("code").contains(w).cast("int") for w in words), F.lit(0))).otherwise(hits)
-    return v.sample(s, d).select("id", "cwe", hits.alias("hits"))
-
-
-def _findings_array(s, d):
-    rows = v.finding(s, d).where("ord % 50 = 0").select("sample_id", F.struct("rule", F.col("severity").alias("message"), "cwe").alias("f"))
-    return rows.groupBy("sample_id").agg(F.collect_list("f").alias("fs"))
-
-
 QUERIES = {
     "j01_fill_from_benchmark": lambda s, d: v.sample(s, d).select("id", F.when(F.col("id") % 2 == 0, F.lit("")).otherwise("own").alias("code")).join(
         table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text"), "id", "left"
     ).select("id", F.coalesce(F.nullif("code", F.lit("")), F.substring("text", 1, 20), F.lit("")).alias("code")),
     "j02_responses": lambda s, d: _answers(s, d).agg(F.count("*").alias("requests"), F.count_if(~F.coalesce("success", F.lit(False))).alias("failed")),
-    "j03_inner_first_match": lambda s, d: v.result(s, d).join(F.broadcast(table(s, d, "customer").select(F.col("c_custkey").alias("owner"), "c_mktsegment")), "owner").groupBy("c_mktsegment").agg(F.count("*").alias("n")),
-    "j05_known_responses": lambda s, d: _responses(s, d).where("success").join(table(s, d, "benchmark").where("item_id < 20").select(F.concat_ws("__", F.col("item_id").cast("string"), F.lit("full")).alias("custom_id")), "custom_id").select("custom_id"),
     "j06_parsed_ids": lambda s, d: _responses(s, d).select(F.regexp_extract("custom_id", "(?s)^(.*)__(.*)$", 1).cast("bigint").alias("item_id"), "success").join(table(s, d, "benchmark"), "item_id").groupBy("success").agg(F.count("*").alias("n")),
-    "j08_mock_semi_join": lambda s, d: v.mutant(s, d).select("sample_id", "seq", "operator", F.array("layer", "kill_type").alias("seen")).where(
-        F.arrays_overlap("seen", F.array(F.lit("mock_observability"), F.lit("crash")))
-    ).groupBy("operator").agg(F.count("*").alias("n")),
-    "j13_near_duplicate_pairs": lambda s, d: si.near_duplicates(v.sample(s, d).where("n_chars < 500"), 0.95).select("id1", "id2"),
-    "j19_stem_join": lambda s, d: v.sample(s, d).where("id % 2 = 0").select(F.regexp_replace(F.concat("source", F.lit("_task")), "_task$", "").alias("stem"), "id").join(
-        v.sample(s, d).where("id % 2 = 1").groupBy(F.col("source").alias("stem")).agg(F.min("id").alias("test")), "stem"
-    ).select("stem", "id", "test"),
     "o03_by_count": lambda s, d: v.mutant(s, d).groupBy("operator").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "operator").withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "operator"))),
     "o05_most_common": lambda s, d: v.sample(s, d).groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(15),
     "o08_truncated_lists": lambda s, d: v.finding(s, d).groupBy("cwe").agg(F.array_join(F.slice(F.sort_array(F.collect_set("rule")), 1, 6), ",").alias("rules")),
-    "u02_priority_union": lambda s, d: k.priority_dedup({"template": v.sample(s, d).where("id < 60"), "curated": v.sample(s, d).where("id BETWEEN 30 AND 90")}, F.col("id").cast("string")).select("id", "collection"),
     "u04_category_sets": lambda s, d: v.finding(s, d).groupBy("cwe").agg(F.collect_set(F.when(F.col("tool") == "bandit", F.col("rule"))).alias("a"), F.collect_set(F.when(F.col("tool") == "semgrep", F.col("rule"))).alias("b")).select(
         "cwe", F.size(F.array_intersect("a", "b")).alias("both"), F.size(F.array_union("a", "b")).alias("any")
     ),
-    "u08_merge_by_id": lambda s, d: k.merge_new(v.sample(s, d).where("id < 50"), v.sample(s, d).where("id BETWEEN 40 AND 70")).groupBy("cwe").agg(F.count("*").alias("n")),
-    "f06_strict_validation": lambda s, d: v.finding(s, d).select("ord", F.when(F.col("severity") == "LOW", F.array(F.lit("weak"))).otherwise(F.array().cast("array<string>")).alias("warnings"), (F.col("ord") % 7 != 0).alias("valid")).where("valid AND size(warnings) = 0").select("ord"),
-    "f15_python_snippets": lambda s, d: v.sample(s, d).where(F.col("code").rlike(r"(?m)^[A-Z]\w+ of") & ~F.col("code").rlike("and the|www")).select("id"),
-    "f17_keyword_hits": lambda s, d: _texts(s, d),
-    "f18_finding_matches": lambda s, d: _findings_array(s, d).select("sample_id", fi.finding_matches(F.col("fs"), ["high"], F.lit("click"), strict=True).alias("strict"), fi.finding_matches(F.col("fs"), ["high"], F.lit("click")).alias("loose")),
-    "a19_review_stats": lambda s, d: v.finding(s, d).groupBy("cwe").agg(F.count_if(F.col("severity") == "HIGH").alias("high"), F.count_if(F.col("severity") == "LOW").alias("low"), F.count_if(F.col("tool") == "bandit").alias("by_bandit")),
-    "a20_validation_totals": lambda s, d: v.finding(s, d).agg(F.count("*").alias("total"), F.count_if(F.col("ord") % 7 != 0).alias("valid"), F.sum((F.col("ord") % 3).cast("bigint")).alias("warnings")),
-    "a26_operator_diagnosis": lambda s, d: m.mutant_totals(v.mutant(s, d), "operator", "category").where("total > 0"),
-    "a35_most_similar": lambda s, d: c.overlaps(v.sample(s, d).where("id < 300"), table(s, d, "benchmark")).groupBy("id").agg(F.max("overlap").alias("most")).agg(F.avg("most").alias("mean"), F.count("*").alias("n")),
-    "a36_weighted_coverage": lambda s, d: v.finding(s, d).groupBy("cwe").agg(F.sort_array(F.collect_set("rule")).alias("r")).select(
-        "cwe", t.weighted_coverage(F.transform("r", lambda x: F.length(x) == 2), F.transform("r", lambda x: F.length(x).cast("double"))).alias("coverage")
-    ),
     "m03_judge_composite": lambda s, d: j.combine(v.judge(s, d, "user"), v.judge(s, d, "assistant")).where("composite > 0.5").select("sample_id", "composite"),
     "m07_improvement": lambda s, d: m.calculate(v.result(s, d), "model").select("model", m.improvement(F.lit(0.25), F.col("avg_mutation_score"))[0].alias("absolute"), m.improvement(F.lit(0.25), F.col("avg_mutation_score"))[1].alias("relative")),
-    "n04_literal_field": lambda s, d: table(s, d, "benchmark").select("item_id", F.from_json(F.format_string("{'n': %d, 's': 'x'}", "item_id"), "n int, s string", {"allowSingleQuotes": "true"})["n"].alias("n")),
-    "x17_assert_lines": lambda s, d: v.sample(s, d).select("id", F.size(F.filter(F.split("code", "\n"), lambda x: x.rlike(r"^\S+ of\b"))).alias("n")),
-    "x24_payload_fallback": lambda s, d: v.sample(s, d).select("id", "cwe").join(F.broadcast(s.createDataFrame([("en", ["a", "b", "c"]), ("fr", ["d"])], "cwe string, p array<string>")), "cwe", "left").select(
-        "id", F.array_join(F.slice(F.coalesce("p", F.array(F.lit("x"), F.lit("y"))), 1, 2), "|").alias("payloads")
-    ),
-    "x21_api_tags": lambda s, d: v.sample(s, d).select("id", F.array_join(F.array_compact(F.array(F.when(F.col("code").rlike("tion"), "ction"), F.when(F.col("code").rlike("eau"), "eau"), F.when(F.col("code").rlike(r"\|"), "table"))), ",").alias("tags")),
-    "s01_filtered_scan": lambda s, d: v.sample(s, d).where((F.col("difficulty") == "easy") & (F.col("cwe") == "en")).select("id", "source"),
-    "s09_sources_union": lambda s, d: v.sample(s, d).select(F.col("source").alias("origin")).unionByName(table(s, d, "benchmark").select(F.lit("benchmark").alias("origin"))).groupBy("origin").agg(F.count("*").alias("n")),
-    "s15_resume": lambda s, d: v.sample(s, d).join(v.sample(s, d).where("id % 4 = 0").select("id"), "id", "left_anti").groupBy("cwe").agg(F.count("*").alias("n")),
-    "k09_requests": lambda s, d: table(s, d, "benchmark").select("item_id", t.prompt(F.col("text")).alias("p")).select("item_id", F.length(F.to_json(F.struct(F.lit("m").alias("model"), "p"))).alias("n")).where("n > 0").select("item_id"),
 }
 
 _RESP = """resp AS (SELECT item_id, item_id % 4 <> 0 AS success FROM benchmark WHERE item_id % 3 < 2 UNION ALL SELECT 1, true FROM benchmark WHERE item_id = 1)"""
@@ -98,39 +47,12 @@ ORACLE = {
     "j01_fill_from_benchmark": """SELECT doc_id AS id, CASE WHEN doc_id % 2 = 1 THEN 'own' ELSE coalesce(substring(benchmark.text, 1, 20), '') END AS code
       FROM documents LEFT JOIN benchmark ON item_id = doc_id""",
     "j02_responses": f"WITH {_RESP}, d AS (SELECT DISTINCT * FROM resp) SELECT count(*) AS requests, count(*) FILTER (WHERE NOT coalesce(success, false)) AS failed FROM benchmark LEFT JOIN d USING (item_id)",
-    "j03_inner_first_match": "SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1",
-    "j05_known_responses": f"WITH {_RESP} SELECT item_id || '__full' AS custom_id FROM resp WHERE success AND item_id < 20",
     "j06_parsed_ids": f"WITH {_RESP} SELECT success, count(*) AS n FROM resp GROUP BY 1",
-    "j08_mock_semi_join": f"WITH {v.MUTANT} SELECT operator, count(*) AS n FROM v_mutant WHERE layer = 'mock_observability' OR kill_type = 'crash' GROUP BY 1",
-    "j19_stem_join": f"""WITH {v.SAMPLE}, o AS (SELECT source AS stem, min(id) AS test FROM v_sample WHERE id % 2 = 1 GROUP BY 1)
-      SELECT stem, id, test FROM v_sample JOIN o ON stem = source WHERE id % 2 = 0""",
     "o03_by_count": f"WITH {v.MUTANT}, g AS (SELECT operator, count(*) AS n FROM v_mutant GROUP BY 1) SELECT *, CAST(row_number() OVER (ORDER BY n DESC, operator) AS INT) AS rank FROM g",
     "o05_most_common": "SELECT source, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, source LIMIT 15",
     "o08_truncated_lists": f"WITH {v.FINDING} SELECT cwe, array_to_string(list_sort(list(DISTINCT rule))[1:6], ',') AS rules FROM v_finding GROUP BY 1",
-    "u02_priority_union": "SELECT doc_id AS id, CASE WHEN doc_id >= 30 THEN 'curated' ELSE 'template' END AS collection FROM documents WHERE doc_id <= 90",
     "u04_category_sets": f"""WITH {v.FINDING}, r AS (SELECT cwe, rule, bool_or(tool = 'bandit') AS a, bool_or(tool = 'semgrep') AS b FROM v_finding GROUP BY 1, 2)
       SELECT cwe, CAST(count(*) FILTER (WHERE a AND b) AS INT) AS both, CAST(count(*) AS INT) AS any FROM r GROUP BY 1""",
-    "u08_merge_by_id": "SELECT lang AS cwe, count(*) AS n FROM documents WHERE doc_id <= 70 GROUP BY 1",
-    "f06_strict_validation": f"WITH {v.FINDING} SELECT ord FROM v_finding WHERE ord % 7 <> 0 AND severity IS DISTINCT FROM 'LOW'",
-    "f15_python_snippets": r"SELECT doc_id AS id FROM documents WHERE regexp_matches(text, '(?m)^[A-Z][0-9A-Za-z_]+ of') AND NOT regexp_matches(text, 'and the|www')",
-    "f17_keyword_hits": """SELECT doc_id AS id, lang AS cwe, CASE lang WHEN 'en' THEN CAST(contains(text, 'the') AS INT) + CAST(contains(text, 'tion') AS INT)
-      WHEN 'fr' THEN CAST(contains(text, 'eau') AS INT) + CAST(contains(text, 'le') AS INT) WHEN 'de' THEN CAST(contains(text, 'ver') AS INT) + CAST(contains(text, 'sch') AS INT) ELSE 0 END AS hits FROM documents""",
-    "f18_finding_matches": f"WITH {v.FINDING} SELECT sample_id, bool_or(severity = 'HIGH' OR cwe = 'click') AS strict, true AS loose FROM v_finding WHERE ord % 50 = 0 GROUP BY 1",
-    "a19_review_stats": f"WITH {v.FINDING} SELECT cwe, count(*) FILTER (WHERE severity = 'HIGH') AS high, count(*) FILTER (WHERE severity = 'LOW') AS low, count(*) FILTER (WHERE tool = 'bandit') AS by_bandit FROM v_finding GROUP BY 1",
-    "a20_validation_totals": "SELECT count(*) AS total, count(*) FILTER (WHERE event_id % 7 <> 0) AS valid, CAST(sum(event_id % 3) AS BIGINT) AS warnings FROM events",
-    "a26_operator_diagnosis": f"""WITH {v.MUTANT} SELECT operator, coalesce(category, 'unknown') AS category, count(*) AS total, count(*) FILTER (WHERE killed) AS killed,
-      count(*) FILTER (WHERE NOT killed) AS survived, count(*) FILTER (WHERE killed) * 1.0E0 / count(*) AS kill_rate, count(*) FILTER (WHERE NOT killed) * 1.0E0 / count(*) AS survival_rate FROM v_mutant GROUP BY 1, 2""",
-    "a36_weighted_coverage": f"WITH {v.FINDING}, r AS (SELECT DISTINCT cwe, rule FROM v_finding) SELECT cwe, sum(CASE WHEN length(rule) = 2 THEN 2 ELSE 0 END) * 1.0E0 / sum(length(rule)) AS coverage FROM r GROUP BY 1",
     "m03_judge_composite": f"WITH {judging.COMBINE} SELECT sample_id, composite FROM comb WHERE composite > 0.5",
-    "a35_most_similar": f"""WITH {curation.PAIRS}, b AS (SELECT id, max(overlap) AS most FROM pairs WHERE id < 300 GROUP BY 1)
-      SELECT avg(most) AS mean, count(*) AS n FROM b""",
     "m07_improvement": f"WITH {v.RESULT} SELECT model, avg(mutation_score) - 0.25 AS absolute, (avg(mutation_score) - 0.25) / 0.25 AS relative FROM v_result GROUP BY 1",
-    "n04_literal_field": "SELECT item_id, CAST(item_id AS INT) AS n FROM benchmark",
-    "x17_assert_lines": r"SELECT doc_id AS id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\S+ of\b'))) AS n FROM documents",
-    "x24_payload_fallback": "SELECT doc_id AS id, CASE lang WHEN 'en' THEN 'a|b' WHEN 'fr' THEN 'd' ELSE 'x|y' END AS payloads FROM documents",
-    "x21_api_tags": r"""SELECT doc_id AS id, concat_ws(',', CASE WHEN contains(text, 'tion') THEN 'ction' END, CASE WHEN contains(text, 'eau') THEN 'eau' END, CASE WHEN contains(text, '|') THEN 'table' END) AS tags FROM documents""",
-    "s01_filtered_scan": "SELECT doc_id AS id, source FROM documents WHERE n_chars < 1000 AND lang = 'en'",
-    "s09_sources_union": "SELECT source AS origin, count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT 'benchmark', count(*) FROM benchmark",
-    "s15_resume": "SELECT lang AS cwe, count(*) AS n FROM documents WHERE doc_id % 4 <> 0 GROUP BY 1",
-    "k09_requests": "SELECT item_id FROM benchmark",
 }

@@ -25,6 +25,12 @@ GOLDEN = (
     ("RVALID", "AssertionError: assert '<script>' not in output", "{}", "semantic", "attack_payload"),
     ("PSQLI", "AssertionError: result is not secure enough", "{}", "semantic", "generic_keyword"),
     (None, "AssertionError: unsafe operation detected", "{}", "semantic", "generic_keyword"),
+    ("EVALINJECT", "AssertionError: eval injection detected in code", "{}", "semantic", "operator_keyword"),
+    ("OPENREDIRECT", "AssertionError: redirect URL not validated", "{}", "semantic", "operator_keyword"),
+    ("NOCERTVALID", "AssertionError: SSL certificate verification disabled", "{}", "semantic", "operator_keyword"),
+    ("INFOEXPOSE", "AssertionError: error message exposes stack trace", "{}", "semantic", "operator_keyword"),
+    ("REGEXDOS", "AssertionError: regex pattern vulnerable to backtracking", "{}", "semantic", "operator_keyword"),
+    ("MISSINGAUTH", "AssertionError: authorization check missing", "{}", "semantic", "operator_keyword"),
     ("PSQLI", "", "{}", "other", "none"),
     ("PSQLI", "ValueError: odd", "{}", "other", "none"),
     ("PSQLI", "E   error collecting tests", "{}", "crash", "crash"),
@@ -72,14 +78,6 @@ def _tests(s, d):
     return table(s, d, "benchmark").select("item_id", F.when(F.col("item_id") % 4 == 0, "def test_y():\n    assert 1 == 1\n").otherwise(code).alias("code"))
 
 
-_TESTS = f"""tests AS (SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'def test_y():' || chr(10) || '    assert 1 == 1' || chr(10)
-  ELSE '{_TEST.split("{n}")[0].replace("'", "''")}' || CAST(item_id * 7 AS VARCHAR) || '{_TEST.split("{n}")[1].replace("'", "''")}' END AS code FROM benchmark)"""
-
-
-def _lines(name: str, pattern: str) -> str:
-    return f"len(list_filter(string_split(code, chr(10)), lambda x: regexp_matches(x, '{pattern}'))) AS {name}"
-
-
 def _found(s, d):
     samples = v.finding(s, d).select("sample_id", F.when(F.col("sample_id") % 2 == 0, "click").otherwise("purchase").alias("cwe")).distinct()
     return fi.detections(samples, v.finding(s, d))
@@ -96,28 +94,12 @@ def _mutant_tests(s, d):
     return m.select(F.col("sample_id"), (F.col("seq") % 3).alias("mutant"), "seq", "kill_type", "layer")
 
 
-def _errors(s, d):
-    names = ["SyntaxError: a", "ModuleNotFoundError: b", "TypeError", "AssertionError: x", "Timeout after 5", "strange", ""]
-    pick = F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % len(names) + 1).cast("int"))
-    return table(s, d, "documents").select(F.col("doc_id").alias("id"), pick.alias("error"), F.concat(F.lit("file"), F.col("doc_id") % 4).alias("file"))
-
-
-_ERRORS = """err AS (SELECT doc_id AS id, 'file' || (doc_id % 4) AS file, (['SyntaxError: a', 'ModuleNotFoundError: b', 'TypeError',
-  'AssertionError: x', 'Timeout after 5', 'strange', ''])[doc_id % 7 + 1] AS error FROM documents),
-  cat AS (SELECT *, (['syntax_error', 'import_error', 'type_error', 'assertion_error', 'timeout', 'unknown', 'unknown'])[id % 7 + 1] AS category FROM err)"""
-
-
 QUERIES = {
     "x08_classify_kill": _classified,
     "w09_best_kill": lambda s, d: kills.best_kill(_mutant_tests(s, d), "sample_id", "mutant"),
     "f14_first_error": lambda s, d: v.mutant(s, d).groupBy("sample_id").agg(
         F.sort_array(F.collect_list(F.struct("seq", (~F.col("killed")).alias("passed"), F.concat("operator", F.lit("!")).alias("error")))).alias("t")
     ).select("sample_id", kills.first_error(F.when(F.col("sample_id") % 5 == 0, "own").otherwise(""), F.col("t")).alias("error")),
-    "x27_explanation": lambda s, d: v.mutant(s, d).select("kill_type", "layer", "operator").distinct().select(
-        "kill_type", "layer", "operator", F.length(kills.explanation(F.col("kill_type"), F.col("layer"), F.col("operator"))).alias("n")
-    ),
-    "x07_error_category": lambda s, d: _errors(s, d).select("id", kills.error_category(F.col("error")).alias("category")),
-    "a16_test_validity": lambda s, d: _errors(s, d).withColumn("category", kills.error_category(F.col("error"))).rollup("file", "category").agg(F.count("*").alias("n")),
     "n01_json_blob": lambda s, d: _answers(s, d).select("item_id", j.json_blob(F.col("raw"))["score"].alias("score")),
     "n02_scaled": lambda s, d: _answers(s, d).select("item_id", j.scaled(j.json_blob(F.col("raw"))["score"]).alias("score")),
     "n03_repaired": lambda s, d: table(s, d, "benchmark").select(
@@ -133,13 +115,8 @@ QUERIES = {
     ),
     "x06_extract_code": _fenced,
     "x05_entry_point": lambda s, d: _tests(s, d).select("item_id", j.entry_point(F.col("code")).alias("name")),
-    "x16_assertion_counts": lambda s, d: _tests(s, d).select("item_id", *j.assertion_counts(F.col("code"))[:6]),
-    "x18_edge_cases": lambda s, d: _tests(s, d).select("item_id", F.array_contains(j.edge_case_tags(F.col("code")), "traversal").alias("traversal")),
-    "x19_anti_patterns": lambda s, d: _tests(s, d).select("item_id", F.coalesce(j.anti_pattern_counts(F.col("code"))["print"], F.lit(0)).alias("prints")),
-    "x20_practices": lambda s, d: _tests(s, d).select("item_id", *j.practices(F.col("code"))),
     "f09_real_assertion": lambda s, d: _tests(s, d).select("item_id", j.has_real_assertion(F.col("code")).alias("ok")),
     "a13_static_summary": lambda s, d: fi.summary(_found(s, d), ["click"]),
-    "a14_rules_by_cwe": lambda s, d: fi.rules_by_cwe(v.finding(s, d)),
     "j10_static_vs_tests": lambda s, d: fi.compare(_found(s, d), v.result(s, d)),
     "m12_detectability": lambda s, d: v.finding(s, d).groupBy("sample_id").agg(
         F.count_if(F.col("severity") == "HIGH").alias("a"), F.count_if(F.col("severity") == "LOW").alias("b")
@@ -151,17 +128,10 @@ QUERIES = {
     "x01_normalise_cwe": lambda s, d: table(s, d, "benchmark").select(
         "item_id", fi.normalise_cwe(F.format_string("CWE-0%d", "item_id")).alias("a"), fi.normalise_cwe(F.format_string("xCWE-%d", "item_id")).alias("b")
     ),
-    "x02_tool_cwe": lambda s, d: table(s, d, "benchmark").select("item_id", fi.tool_cwe(F.when(F.col("item_id") % 3 == 0, F.format_string("see cwe-0%d.", "item_id")).when(F.col("item_id") % 3 == 1, F.col("item_id").cast("string")).otherwise("none")).alias("cwe")),
-    "x09_model_name": lambda s, d: v.sample(s, d).select("id", t.model_name(F.format_string("org/m:%d b?", "id"), F.lit("p")).alias("name")),
-    "x10_truncate": lambda s, d: v.sample(s, d).select("id", t.truncate(F.col("code"), 3, 120).alias("cut")),
-    "x25_prompt": lambda s, d: v.sample(s, d).select("id", F.length(t.prompt(F.col("code"), F.col("cwe"), F.col("source"))).alias("n")),
-    "x28_variant_type": lambda s, d: v.sample(s, d).select("id", t.variant_type(F.element_at(F.array(F.lit("Removed x"), F.lit("Dead check"), F.lit("a → b"), F.lit("Changed y"), F.lit("zzz")), (F.col("id") % 5 + 1).cast("int"))).alias("kind")),
     "h01_sha_id": lambda s, d: v.sample(s, d).select("id", t.short_hash(F.col("code"), 12, "sha256").alias("h")),
     "h02_mutant_id": lambda s, d: v.sample(s, d).select("id", t.mutant_id(F.col("source"), F.col("code")).alias("h")),
     "h03_md5_id": lambda s, d: v.sample(s, d).select("id", t.short_hash(F.col("code"), 12).alias("h")),
     "h05_hashed_identifier": lambda s, d: v.sample(s, d).select("id", t.hashed_identifier(F.col("source")).alias("name")),
-    "m01_difficulty": lambda s, d: v.sample(s, d).select("id", t.difficulty(F.col("n_chars") / 100.0).alias("level")),
-    "n08_concat_fragments": lambda s, d: v.sample(s, d).where("id < 200").select("id", t.concat_fragments(F.split("code", "\n")).alias("code")),
     "o07_cwe_sort": lambda s, d: table(s, d, "benchmark").select(F.format_string("CWE-%d", F.col("item_id") * 37 % 101).alias("cwe")).orderBy(t.cwe_number(F.col("cwe")), "cwe").limit(7),
     "j11_any_of_first_three": lambda s, d: k.first_by(v.finding(s, d), ["cwe"], ["ord"], 3).groupBy("cwe").agg(F.bool_or(F.col("severity") == "HIGH").alias("any_high")),
     "j12_category_jaccard": lambda s, d: v.finding(s, d).where("tool = 'bandit'").groupBy("cwe").agg(F.collect_set("rule").alias("a")).join(
@@ -170,13 +140,8 @@ QUERIES = {
     "j18_variants": lambda s, d: table(s, d, "benchmark").select("item_id").crossJoin(F.broadcast(s.createDataFrame([("none",), ("id",), ("full",)], "variant string"))).select(
         F.substring(F.concat_ws("__", F.col("item_id").cast("string"), "variant"), 1, 64).alias("custom_id")
     ),
-    "s14_custom_id": lambda s, d: table(s, d, "benchmark").select(
-        F.regexp_extract(F.format_string("a__%d__full", "item_id"), "(?s)^(.*)__(.*)$", 1).alias("sample_id"), F.regexp_extract(F.format_string("a__%d__full", "item_id"), "(?s)^(.*)__(.*)$", 2).alias("variant")
-    ),
-    "a27_pattern_histogram": lambda s, d: v.sample(s, d).groupBy("cwe").agg(F.count_if(F.col("code").rlike(r"\d{3}")).alias("digits"), F.count_if(F.col("code").contains("|")).alias("bars")),
 }
 
-_LONG = " || ".join(["'Write pytest tests for this code.' || chr(10)", "'Weakness: ' || lang || chr(10)", "'Function: ' || source || chr(10)", "'```python' || chr(10) || text || chr(10) || '```' || chr(10)"])
 COMBINE = f"""{v.judge_sql('user', 'sec')}, {v.judge_sql('assistant', 'qual')},
   comb AS (SELECT coalesce(sec.sample_id, qual.sample_id) AS sample_id, sec.raw / 100.0 AS security, qual.raw / 100.0 AS quality,
     coalesce(sec.raw / 100.0, 0) * 0.6 + coalesce(qual.raw / 100.0, 0) * 0.4 AS composite FROM sec FULL JOIN qual ON sec.sample_id = qual.sample_id)"""
@@ -188,8 +153,6 @@ ORACLE = {
       SELECT sample_id, mutant, kill_type, layer, seq AS test_seq FROM p WHERE r = 1""",
     "f14_first_error": f"""WITH {v.MUTANT} SELECT sample_id, CASE WHEN sample_id % 5 = 0 THEN 'own' ELSE min_by(operator, seq) FILTER (WHERE killed) || '!' END AS error
       FROM v_mutant GROUP BY 1""",
-    "x07_error_category": f"WITH {_ERRORS} SELECT id, category FROM cat",
-    "a16_test_validity": f"WITH {_ERRORS} SELECT file, category, count(*) AS n FROM cat GROUP BY ROLLUP (file, category)",
     "n01_json_blob": "SELECT item_id, CASE WHEN item_id % 5 <> 0 THEN CAST(length(text) % 101 AS INT) END AS score FROM benchmark",
     "n02_scaled": "SELECT item_id, coalesce(CASE WHEN item_id % 5 <> 0 THEN length(text) % 101 END, 0) / 100.0 AS score FROM benchmark",
     "n03_repaired": "SELECT item_id, CAST(item_id AS INT) AS n FROM benchmark",
@@ -203,17 +166,9 @@ ORACLE = {
     "x06_extract_code": """SELECT item_id, CASE item_id % 3 WHEN 0 THEN trim(text, ' ') || chr(10) || chr(10) || chr(10) || 'b = 1' || chr(10) WHEN 1 THEN 'def test_a():' || chr(10) || '  ' || rtrim(text, ' ')
       ELSE trim(text, ' ') END AS code FROM benchmark""",
     "x05_entry_point": "SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'test_y' ELSE 'test_x' END AS name FROM benchmark",
-    "x16_assertion_counts": f"WITH {_TESTS} SELECT item_id, " + ", ".join([
-        _lines("asserts", r"^\s*assert\b"), _lines("with_message", r"^\s*assert\b.*,\s*f?[""'']"), _lines("equality", r"^\s*assert\b.*(==|!=)"),
-        _lines("membership", r"^\s*assert\b.*\b(not )?in\b"), _lines("trivial", r"^\s*assert\s+(True|1)\s*$"), _lines("raises", r"pytest\.raises"),
-    ]) + " FROM tests",
-    "x18_edge_cases": "SELECT item_id, item_id % 4 <> 0 AS traversal FROM benchmark",
-    "x19_anti_patterns": "SELECT item_id, CAST(item_id % 4 <> 0 AS INT) AS prints FROM benchmark",
-    "x20_practices": "SELECT item_id, false AS fixtures, false AS parametrized, item_id % 4 <> 0 AS raises, false AS classes, false AS docstrings, false AS mocks FROM benchmark",
     "f09_real_assertion": "SELECT item_id, item_id % 4 <> 0 AS ok FROM benchmark",
     "a13_static_summary": f"""WITH {_FOUND} SELECT cwe, count(*) AS total, count(*) FILTER (WHERE detected) AS detected, count(*) FILTER (WHERE detected) * 1.0E0 / count(*) AS rate,
       count(*) FILTER (WHERE bandit) AS by_bandit, count(*) FILTER (WHERE semgrep) AS by_semgrep, CASE WHEN cwe = 'click' THEN 'static' ELSE 'dynamic' END AS kind FROM found GROUP BY 1""",
-    "a14_rules_by_cwe": f"WITH {v.FINDING} SELECT cwe, array_to_string(list_sort(list(DISTINCT rule)), ',') AS rules, count(*) AS n FROM v_finding GROUP BY 1",
     "j10_static_vs_tests": f"""WITH {_FOUND}, {v.RESULT}, a AS (SELECT avg(CAST(detected AS INT)) AS static_rate FROM found), b AS (SELECT avg(CAST(vuln_detected AS INT)) AS test_rate FROM v_result)
       SELECT static_rate, test_rate, test_rate - static_rate AS absolute, CASE WHEN static_rate = 0 THEN 'inf'::DOUBLE ELSE (test_rate - static_rate) / static_rate END AS relative FROM a, b""",
     "m12_detectability": f"""WITH {v.FINDING}, c AS (SELECT sample_id, count(*) FILTER (WHERE severity = 'HIGH') AS a, count(*) FILTER (WHERE severity = 'LOW') AS b FROM v_finding GROUP BY 1)
@@ -221,19 +176,10 @@ ORACLE = {
     "n05_parse_findings": "SELECT item_id AS sample_id, 'B' || item_id AS test_id, 'LOW' AS issue_severity, 3 AS line_number FROM benchmark",
     "n06_nested_default": "SELECT event_id AS ord, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INT), -1) AS k FROM events",
     "x01_normalise_cwe": "SELECT item_id, 'CWE-' || item_id AS a, 'xCWE-' || item_id AS b FROM benchmark",
-    "x02_tool_cwe": "SELECT item_id, CASE WHEN item_id % 3 < 2 THEN 'CWE-' || item_id END AS cwe FROM benchmark",
-    "x09_model_name": "SELECT doc_id AS id, 'p_org_m_' || doc_id || '_b' AS name FROM documents",
-    "x10_truncate": """WITH l AS (SELECT doc_id AS id, string_split(text, chr(10)) AS l FROM documents), c AS (SELECT id, array_to_string(l[1:3], chr(10)) ||
-      CASE WHEN len(l) > 3 THEN chr(10) || '...' ELSE '' END AS c FROM l) SELECT id, CASE WHEN length(c) > 120 THEN substring(c, 1, 120) || '...' ELSE c END AS cut FROM c""",
-    "x25_prompt": f"SELECT doc_id AS id, length({_LONG}) AS n FROM documents",
-    "x28_variant_type": "SELECT doc_id AS id, (['removal', 'pass_variant', 'replacement', 'weakening', 'other'])[doc_id % 5 + 1] AS kind FROM documents",
     "h01_sha_id": "SELECT doc_id AS id, substring(sha256(text), 1, 12) AS h FROM documents",
     "h02_mutant_id": "SELECT doc_id AS id, substring(md5(source || ':' || text), 1, 8) AS h FROM documents",
     "h03_md5_id": "SELECT doc_id AS id, substring(md5(text), 1, 12) AS h FROM documents",
     "h05_hashed_identifier": "SELECT doc_id AS id, 'var_' || substring(md5(source), 1, 6) AS name FROM documents",
-    "m01_difficulty": "SELECT doc_id AS id, CASE WHEN n_chars <= 2000 THEN 'easy' WHEN n_chars <= 5000 THEN 'medium' ELSE 'hard' END AS level FROM documents",
-    "n08_concat_fragments": """SELECT doc_id AS id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: rtrim(x, ' ')), lambda x: x <> ''), chr(10)) AS code
-      FROM documents WHERE doc_id < 200""",
     "o07_cwe_sort": "SELECT 'CWE-' || (item_id * 37 % 101) AS cwe FROM benchmark ORDER BY item_id * 37 % 101, 1 LIMIT 7",
     "j11_any_of_first_three": f"""WITH {v.FINDING} SELECT cwe, bool_or(severity = 'HIGH') AS any_high FROM
       (SELECT *, row_number() OVER (PARTITION BY cwe ORDER BY ord) AS r FROM v_finding) WHERE r <= 3 GROUP BY 1""",
@@ -241,6 +187,4 @@ ORACLE = {
       SELECT coalesce(a.cwe, b.cwe) AS cwe, count(*) FILTER (WHERE a.rule IS NOT NULL AND b.rule IS NOT NULL) * 1.0E0 / count(*) AS jaccard
       FROM a FULL JOIN b ON a.cwe = b.cwe AND a.rule = b.rule GROUP BY 1""",
     "j18_variants": "SELECT item_id || '__' || variant AS custom_id FROM benchmark, (VALUES ('none'), ('id'), ('full')) AS t(variant)",
-    "s14_custom_id": "SELECT 'a__' || item_id AS sample_id, 'full' AS variant FROM benchmark",
-    "a27_pattern_histogram": r"SELECT lang AS cwe, count(*) FILTER (WHERE regexp_matches(text, '\d{3}')) AS digits, count(*) FILTER (WHERE contains(text, '|')) AS bars FROM documents GROUP BY 1",
 }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,16 +24,30 @@ DETAIL = "sample_id string, cwe string, difficulty string, source_type string, m
 BATCH = "custom_id string, error string, response struct<body struct<choices array<struct<message struct<content string>>>>>"
 
 
-def benchmark(spark: SparkSession, path: str, difficulty: str | None = None, cwe: str | None = None) -> DataFrame:
-    """Samples of JSON files: {"samples": [...]} or a bare list; equality filters."""
+def filtered(samples: DataFrame, difficulty: str | None = None, cwe: str | None = None) -> DataFrame:
+    """Samples of a difficulty and a weakness, where these are given."""
+    if difficulty is not None:
+        samples = samples.where(F.col("difficulty") == difficulty)
+    return samples if cwe is None else samples.where(F.col("cwe") == cwe)
+
+
+def first_path(spark: SparkSession, *paths: str) -> str:
+    """The first of the paths that exists."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return path
+    raise FileNotFoundError(", ".join(paths))
+
+
+def benchmark(spark: SparkSession, path: str, difficulty: str | None = None, cwe: str | None = None, others: tuple[str, ...] = ()) -> DataFrame:
+    """Samples of JSON files: {"samples": [...]} or a bare list; equality filters. others: paths to try if the first is missing."""
+    path = first_path(spark, path, *others) if others else path
     wrapped = T.StructType([T.StructField("samples", T.ArrayType(SAMPLE)), *SAMPLE.fields])
     raw = spark.read.schema(wrapped).json(path, multiLine=True)
     inner = raw.where("samples IS NOT NULL").select(F.explode("samples").alias("s")).select("s.*")
     bare = raw.where("samples IS NULL").select(*SAMPLE.names)
-    out = inner.unionByName(bare)
-    if difficulty is not None:
-        out = out.where(F.col("difficulty") == difficulty)
-    return out if cwe is None else out.where(F.col("cwe") == cwe)
+    return filtered(inner.unionByName(bare), difficulty, cwe)
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
@@ -72,20 +89,114 @@ def variations(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(" AND ".join(f"coalesce({c}, '') <> ''" for c in need))
 
 
+def split_custom_id(custom_id: Column) -> tuple[Column, Column]:
+    """The sample's id and the variant of a request's id, split at the last double underscore."""
+    pattern = "(?s)^(.*)__(.*)$"
+    return F.regexp_extract(custom_id, pattern, 1), F.regexp_extract(custom_id, pattern, 2)
+
+
 def batch_output(spark: SparkSession, path: str) -> DataFrame:
     """sample_id, variant, content of a JSONL batch answer; the id is split from the right."""
     raw = spark.read.schema(BATCH).json(path)
-    pattern = "(?s)^(.*)__(.*)$"
+    sample, variant = split_custom_id(F.col("custom_id"))
     return raw.select(
-        F.regexp_extract("custom_id", pattern, 1).alias("sample_id"), F.regexp_extract("custom_id", pattern, 2).alias("variant"),
+        sample.alias("sample_id"), variant.alias("variant"),
         F.get("response.body.choices", 0)["message"]["content"].alias("content"), "error",
     )
 
 
-def cached_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Cached weakness descriptions."""
+def cached_pages(spark: SparkSession, path: str, hours: float | None = 24.0, now: Column | None = None) -> DataFrame:
+    """Cached weakness descriptions, without those fetched more hours ago."""
     schema = "cwe_id string, name string, description string, related_cwes array<string>, url string, fetched_at string"
-    return spark.read.schema(schema).json(path, multiLine=True)
+    rows = spark.read.schema(schema).json(path, multiLine=True)
+    if hours is None:
+        return rows
+    age = F.unix_micros(now if now is not None else F.current_timestamp()) - F.unix_micros(F.to_timestamp("fetched_at"))
+    return rows.where(age <= int(hours * 3600e6))
+
+
+#: Columns of a sample from outside.
+EXTERNAL = ("id", "cwe", "cwe_name", "source", "original_id", "prompt", "code", "language", "metadata")
+
+
+def external(rows: DataFrame) -> DataFrame:
+    """rows with all columns of EXTERNAL, those that are missing as null."""
+    return rows.select(*(F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string").alias(c) for c in EXTERNAL))
+
+
+def instruct_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Python snippets with their weakness from a JSON list of prompts in many languages.
+
+    Kept are rows whose text is Python, compiles (in a function of its own where it doesn't
+    as it stands) and brings the names that it uses along.
+    """
+    from sievekit.operators.audit import py_compiles
+    from sievekit.operators.rules import preprocessed, whole_snippets
+
+    schema = "prompt_id string, cwe_identifier string, language string, origin_code string, test_case_prompt string, file_path string"
+    raw = spark.read.schema(schema).json(path, multiLine=True).where("lower(language) = 'python'")
+    rows = whole_snippets(raw.withColumn("code", preprocessed(F.col("origin_code"))))
+    wrapped = F.concat(F.lit("def snippet():\n    "), F.replace(F.col("code"), F.lit("\n"), F.lit("\n    ")))
+    code = F.when(py_compiles("code"), F.col("code")).when(py_compiles(wrapped), wrapped)
+    return external(
+        rows.withColumn("code", code).where("code IS NOT NULL").select(
+            F.substring(F.md5(F.concat_ws(":", "prompt_id", "code").cast("binary")), 1, 12).alias("id"), F.col("cwe_identifier").alias("cwe"),
+            F.lit("instruct").alias("source"), F.col("prompt_id").alias("original_id"), F.col("test_case_prompt").alias("prompt"), "code",
+            F.lit("python").alias("language"), F.to_json(F.struct("file_path")).alias("metadata"),
+        )
+    )
+
+
+def fragment_samples(spark: SparkSession, path: str, cwes: list[str]) -> DataFrame:
+    """Samples from Parquet whose code is in fragments of a text field; only known weaknesses and no further packages.
+
+    Columns: id, CWE_ID, task_description, ground_truth (JSON or a literal: code_before, code_after,
+    vulnerable_code, patched_code), install_requires (a list as text).
+    """
+    from sievekit.functions.text import concat_fragments
+
+    parts = "code_before string, vulnerable_code string, patched_code string, code_after string"
+    raw = spark.read.parquet(path).withColumn("_t", parse_field(F.col("ground_truth"), parts))
+    cwe = F.concat(F.lit("CWE-"), F.regexp_extract(F.col("CWE_ID").cast("string"), r"(\d+)", 1))
+    alone = F.regexp_replace(F.coalesce("install_requires", F.lit("")), r"[\s\[\]]", "") == ""
+
+    def whole(middle: str) -> Column:
+        return concat_fragments(F.array("_t.code_before", f"_t.{middle}", "_t.code_after"))
+
+    return raw.where(cwe.isin(*cwes) & alone & F.col("_t").isNotNull()).select(
+        F.col("id").cast("string").alias("id"), cwe.alias("cwe"), F.lit("fragments").alias("source"),
+        F.col("task_description").alias("prompt"), whole("vulnerable_code").alias("insecure_code"), whole("patched_code").alias("secure_code"),
+    )
+
+
+def template_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Samples of a JSON resource that maps each weakness to a list of templates; ids are made of weakness and place."""
+    template = T.StructType([f for f in SAMPLE.fields if f.name not in ("id", "cwe")])
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", T.MapType(T.StringType(), T.ArrayType(template))).alias("m"))
+    rows = raw.select(F.explode("m").alias("cwe", "l")).select("cwe", F.posexplode("l").alias("pos", "t"))
+    return rows.select(F.concat_ws("-", "cwe", F.format_string("%03d", F.col("pos"))).alias("id"), "cwe", "t.*").select(*SAMPLE.names)
+
+
+class SourceManager:
+    """Sources by name, each a function that gives its rows; loaded one by one or all together."""
+
+    def __init__(self, loaders: dict[str, Callable[[], DataFrame]]) -> None:
+        self.loaders = loaders
+
+    def load(self, name: str, cwe: str | None = None) -> DataFrame:
+        """A source's rows with its name in column origin."""
+        return filtered(self.loaders[name](), None, cwe).withColumn("origin", F.lit(name))
+
+    def load_all(self, cwe: str | None = None) -> DataFrame:
+        """All sources' rows; columns that one lacks are null."""
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (self.load(n, cwe) for n in self.loaders))
+
+
+def latest(spark: SparkSession, pattern: str) -> str | None:
+    """The newest path that fits a glob pattern; null without any."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return max(((f.getModificationTime(), f.getPath().toString()) for f in found or []), default=(0, None))[1]
 
 
 def security_snippets(spark: SparkSession, path: str) -> DataFrame:
@@ -103,6 +214,11 @@ def text_pairs(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
         F.regexp_extract(F.input_file_name(), r"([^/]+)\.py$", 1).alias("name"), "value"
     )
+    return pair_by_stem(files)
+
+
+def pair_by_stem(files: DataFrame) -> DataFrame:
+    """stem, task, test of files (name, value) whose names differ in their ending, _task or _test."""
     pattern = r"^(.*)_(task|test)$"
     parts = files.select(F.regexp_extract("name", pattern, 1).alias("stem"), F.regexp_extract("name", pattern, 2).alias("kind"), "value")
     return parts.where("kind = 'task'").select("stem", F.col("value").alias("task")).join(
@@ -126,11 +242,3 @@ def resume(todo: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
 def parse_field(text, schema: str):
     """Text that is JSON, with single quotes allowed as in literals; never evaluated as code."""
     return F.from_json(text, schema, {"allowSingleQuotes": "true"})
-
-
-def python_snippets(rows: DataFrame, column: str = "code") -> DataFrame:
-    """Rows whose text looks like Python."""
-    code = F.col(column)
-    foreign = r"#include|public class|System\.out|console\.log|func main|<\?php|fn main|std::|\$\w+ ="
-    own = r"(?m)^\s*(def|import|from|class|with|for|if|try|return|print)\b"
-    return rows.where(code.rlike(own) & ~code.rlike(foreign))
