@@ -120,7 +120,7 @@ def sanity_summary(checked: DataFrame) -> DataFrame:
 
 
 #: Texts of a block of comparisons; buckets that runs of GRAM characters are counted in.
-BLOCK, BUCKETS, GRAM = 256, 1024, 3
+BLOCK, BUCKETS, GRAM = 256, 1 << 13, 3
 
 
 def _grams(text: str) -> np.ndarray:
@@ -131,7 +131,7 @@ def _grams(text: str) -> np.ndarray:
     h = np.zeros(len(points) - GRAM + 1, dtype=np.uint64)
     for k in range(GRAM):
         h = h * np.uint64(0x9E3779B97F4A7C15) + points[k : len(points) - GRAM + 1 + k]
-    return np.bincount(((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(54)).astype(np.int64), minlength=BUCKETS).astype(np.int32)
+    return np.bincount(((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(51)).astype(np.int64), minlength=BUCKETS).astype(np.int32)
 
 
 def _shared_at_least(one: np.ndarray, two: np.ndarray, threshold: float) -> np.ndarray:
@@ -145,6 +145,24 @@ def _shared_at_least(one: np.ndarray, two: np.ndarray, threshold: float) -> np.n
     return np.maximum(*runs)
 
 
+def _common(one: str, two: str, need: float = -1.0) -> int:
+    """Length of the longest common subsequence, a whole row of the table at once in the bits of an integer.
+
+    As soon as it can't be more than need, what it can be at most is given.
+    """
+    places: dict[str, int] = {}
+    for k, c in enumerate(one):
+        places[c] = places.get(c, 0) | 1 << k
+    full = (1 << len(one)) - 1
+    row = full
+    for k, c in enumerate(two):
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & full
+        if k % 32 == 0 and (most := len(one) - row.bit_count() + len(two) - k - 1) <= need:
+            return most
+    return len(one) - row.bit_count()
+
+
 def _block_pairs(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float, later_first: bool) -> list[tuple]:
     """(id1, id2, ratio) of similar texts of two blocks, or within one; id1 < id2."""
     sides = [left, left if right is None else right]
@@ -161,8 +179,12 @@ def _block_pairs(left: pd.DataFrame, right: pd.DataFrame | None, threshold: floa
         near &= shared >= _shared_at_least(sizes[1][first:], sizes[0][k], threshold)
         for j in (np.flatnonzero(near) + first).tolist():
             (i1, c1), (i2, c2) = sorted(((ids[0][k], code), (ids[1][j], codes[1][j])), key=lambda x: x[0])
-            m = SequenceMatcher(None, *((c2, c1) if later_first else (c1, c2)))
-            if m.quick_ratio() > threshold and (r := m.ratio()) > threshold:
+            # What difflib matches is a common subsequence, so the longest one bounds its ratio.
+            need = threshold * (len(c1) + len(c2)) / 2
+            if _common(c1, c2, need) <= need:
+                continue
+            r = SequenceMatcher(None, *((c2, c1) if later_first else (c1, c2))).ratio()
+            if r > threshold:
                 out.append((i1, i2, r))
     return out
 
@@ -173,7 +195,7 @@ def near_duplicates(samples: DataFrame, threshold: float = 0.90, within: str | N
     A ratio r needs lengths within r / (2 - r), so only texts of one band of lengths or the next
     can be similar. Bands are dealt into blocks of some BLOCK texts, and pairs of blocks are
     compared in a task each: first by the runs of characters that similar texts must share,
-    then by difflib. Equal texts are paired with the first of them, which stands for them;
+    then by their longest common subsequence, then by difflib. Equal texts are paired with the first of them, which stands for them;
     null texts are left out. later_first: whose text is the first argument, as order matters.
     """
     least = threshold / (2 - threshold)
