@@ -231,6 +231,9 @@ def near_duplicates(samples: DataFrame, threshold: float = 0.90, within: str | N
         found = _block_pairs(part[part["side"] == 0], None if alone else part[part["side"] == 1], threshold, later_first)
         return pd.DataFrame(found, columns=["id1", "id2", "ratio"])
 
+    # Few bytes make much work here, so the number of tasks must not shrink with the bytes.
+    tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(tasks, *keys, "b", "i", "c", "j")
     pairs = dealt.groupBy(*keys, "b", "i", "c", "j").applyInPandas(compare, f"id1 {kind}, id2 {kind}, ratio double")
     copies = rows.join(first.select(*keys, "_h", F.col("id").alias("id1")), [*keys, "_h"]).where("id <> id1")
     return pairs.unionByName(copies.select("id1", F.col("id").alias("id2"), F.lit(1.0).alias("ratio")))
