@@ -25,6 +25,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sievekit.llm.common import small_batches
 
@@ -165,7 +166,9 @@ def matches(
     spark = docs.sparkSession
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    fields = f"doc_id {kind}, item_id bigint, distance int, budget int, end bigint"
+    item = items.schema["item_id"].dataType
+    fields = f"doc_id {kind}, item_id {item.simpleString()}, distance int, budget int, end bigint"
+    item_type = to_arrow_type(item)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def searched(part: list[tuple[int, str]]) -> DataFrame:
@@ -185,7 +188,7 @@ def matches(
                         batch.column(0).take(pa.array(keys, type=pa.int64())),
                         *(
                             pa.array(c, type=t)
-                            for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)
+                            for c, t in zip(columns, (item_type, pa.int32(), pa.int32(), pa.int64()), strict=True)
                         ),
                     ],
                     names=["doc_id", "item_id", "distance", "budget", "end"],

@@ -224,7 +224,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, most: int
     """COUNTS and label of a bounded sample of labelled documents.
 
     The sample is chosen by hash among all labelled ids, so it has most rows at most and
-    its ids can be broadcast. Rows that repeat an id count once.
+    its ids can be broadcast. Of rows that repeat an id the least text counts.
     """
     ids = (
         labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
@@ -232,7 +232,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, most: int
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    return count(chosen).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    one = chosen.groupBy("doc_id").agg(F.min("text").alias("text"))
+    return count(one).join(F.broadcast(ids), "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", bad: int = 0) -> list[list[Condition]]:

@@ -73,3 +73,10 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert op6_benchmark_decontamination(spark, str(tmp_path)).count() == 0
+
+
+def test_item_ids_of_any_type(spark):
+    text = "the quick brown fox jumps over the lazy dog by the river bank at dawn"
+    docs = spark.createDataFrame([("d1", f"before {text} after"), ("d2", "nothing here")], "doc_id string, text string")
+    items = spark.createDataFrame([("item-a", text), (None, None)], "item_id string, text string")
+    assert [(r.doc_id, r.item_id, r.distance) for r in matches(docs, items).collect()] == [("d1", "item-a", 0)]

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from sievekit.llm.quality import COUNTS, count, fit, judge, learn, op7_quality_rules
+from sievekit.llm.quality import COUNTS, count, fit, judge, learn, op7_quality_rules, training_rows
 
 TEXTS = [
     None, "", " \n \n", "a b c a b c", "x y z x y", "one\none\n \none\ntwo\n", "a#b $5 |%|", "é ü\x0b\x0cß x", "w " * 49, "w " * 60,
@@ -72,3 +72,13 @@ def test_empty_tables_and_single_class(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     assert fit(docs, none) == [] and fit(docs, spark.createDataFrame([(1, 1)], none.schema)) == []
     assert judge(docs.limit(0), []).count() == 0
+
+
+def test_repeated_ids_train_on_one_text(spark):
+    """The same row whatever the order of the input."""
+    rows = [(1, "b b"), (1, "a"), (1, None), (2, "c")]
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id bigint, quality int")
+    for n in (1, 3):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(n)
+        got = sorted((r.doc_id, r.word_chars) for r in training_rows(docs, labels, "quality").collect())
+        assert got == [(1, 1), (2, 1)]
