@@ -16,14 +16,25 @@ sum of the decisions' costs is the text's total; over its bytes it gives bits pe
 The costs of a byte depend on it and the bytes before that the longest context holds, so
 within a slice of texts each distinct such run of bytes is worked out once.
 
+What goes beyond the longest context is found by segments. A text is cut after the pairs
+of words whose hash says so, one of CUT, and at its end; how often each segment occurs in
+all training texts is kept in a table that grows with them, by 64-bit hashes of whole
+segments, and is joined by a shuffle. A segment's probability is the mixture of the mixer's
+and of its share among the training segments, with the weight that did best on the texts
+set aside while they were left out of the counts. Cuts depend on what is before them only,
+so that no segment begins another and the mixture is a distribution. A training text's own
+segments don't count for itself: it would only say that it was learned from. Segments that
+make more than one of FREQUENT are broadcast, so that none is a hot key of the join.
+
 Besides there is a unigram score over words, with counts of all training words.
 
-The tables have a fixed number of slots. The words' counts are broadcast up to
-MAX_BROADCAST distinct words; beyond, they are joined by a shuffle.
+The bit predictors' tables have a fixed number of slots. The words' counts are broadcast
+up to MAX_BROADCAST distinct words; beyond, they are joined by a shuffle.
 
 Defined results: a null or empty text is the end symbol alone; a null id belongs to the
-training side; repeated rows are scored once each; without training texts all counts are
-0 and all decisions even; further columns are ignored. Texts are scored whole.
+training side; repeated rows are scored once each, and count for each other; without
+training texts all counts are 0 and all decisions even; further columns are ignored.
+Texts are scored whole.
 """
 
 from __future__ import annotations
@@ -38,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import materialize, mix, output, slices, small_batches, Words
+from sievekit.llm.common import materialize, mix, output, slices, small_batches, span_hash, Words
 
 ORDERS = (1, 2, 3, 4, 5)
 LONGEST = max(ORDERS)
@@ -61,6 +72,10 @@ FACTORS = (0.7, 1.0, 1.3)
 MAX_LOGIT = 14.0
 #: Most distinct words that are broadcast, 16 bytes each.
 MAX_BROADCAST = 8_000_000
+#: One of so many pairs of words ends a segment.
+CUT = 32
+#: Segments that make more than one of so many are broadcast: there are fewer than that.
+FREQUENT = 4096
 SLICE = 4 << 20
 
 
@@ -202,19 +217,32 @@ class Model:
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """The total of each text."""
-        code, bounds = _codes(texts)
-        number, distinct = pd.factorize(code)
+        bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        return self.segment_bits(texts, bounds[:-1], np.arange(len(texts)))
+
+    def segment_bits(self, texts: list[bytes], start: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """The total of each segment, given what is before it; start: its first code, of: its text."""
+        number, distinct = pd.factorize(_codes(texts)[0])
         costs = self.costs(distinct)
-        total = np.stack([np.add.reduceat(c[number].astype(np.float64), bounds[:-1]) for c in costs])
+        total = np.stack([np.add.reduceat(c[number].astype(np.float64), start) for c in costs])
+        # Up to each segment's end, from the text's beginning.
+        total = np.cumsum(total, axis=1)
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        before = np.concatenate([np.zeros((len(costs), 1)), total], axis=1)[:, first]
+        total -= before[:, of]
         # Weights by Bayes' rule before each decision: the mixture of the versions' totals.
         least = total.min(axis=0)
-        return least - np.log2(np.exp2(least - total).mean(axis=0))
+        mixed = least - np.log2(np.exp2(least - total).mean(axis=0))
+        out = np.diff(mixed, prepend=0.0)
+        out[first] = mixed[first]
+        return out
 
 
 def tune(odds: np.ndarray, seen: np.ndarray, texts: list[bytes]) -> Model:
     """Learn the mixer's weights online, in blocks of TUNE_BLOCK bytes."""
     gates = (len(ORDERS) + 1) * 8
     model = Model(odds, seen, np.full((gates, len(ORDERS) + 1), 0.35, dtype=np.float32))
+    model.weights[:, -1] = 0  # nothing learned, nothing preferred
     past = np.full(model.weights.shape, 1e-3)
     codes = _codes(texts)[0] if texts else np.zeros(0, dtype=np.uint64)
     for first in range(0, len(codes), TUNE_CODES):
@@ -258,38 +286,108 @@ def _tune_shares(aside: DataFrame, odds: np.ndarray, seen: np.ndarray) -> np.nda
     return np.average(found, axis=0, weights=[r["n"] for r in rows]).astype(np.float32)
 
 
+def _aside() -> Column:
+    """The training texts that weights are learned from."""
+    return F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(TUNE_SHARE)) == 0, F.lit(False))
+
+
 def fit(docs: DataFrame) -> Model:
     """Counts of all texts, and a mixer learned on a share of them while their counts were left out."""
     small_batches(docs.sparkSession)
-    chosen = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(TUNE_SHARE)) == 0, F.lit(False))
-    aside = materialize(docs.where(chosen).select("doc_id", "text"), "aside")
-    first, whole = _count(docs.where(~chosen), aside)
+    aside = materialize(docs.where(_aside()).select("doc_id", "text"), "aside")
+    first, whole = _count(docs.where(~_aside()), aside)
     return Model(*whole, _tune_shares(aside, *first))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """h, n: how often each lower-cased word occurs, by its 64-bit hash."""
+def _segments(words: Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first code and text of each segment; words: those of the texts, lower-cased.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, times, held = [], [], 0
+    A segment ends after the byte, or the end, that follows its last word.
+    """
+    of = words.text_of_word()
+    before = np.zeros(len(words.hash), dtype=np.uint64)
+    before[1:] = np.where(of[1:] == of[:-1], words.hash[:-1], np.uint64(0))
+    cut = mix(words.hash + before * np.uint64(3)) % np.uint64(CUT) == 0
+    stop = np.unique(np.concatenate([words.end[cut] + 1, words.bounds[1:]]))
+    start = np.concatenate([[0], stop[:-1]])
+    end = bytes([END])
+    data = np.frombuffer(end.join(texts) + end, dtype=np.uint8)
+    return span_hash(data, start, stop), start, np.searchsorted(words.bounds, start, side="right") - 1
 
-        def flush() -> pa.RecordBatch:
-            number, found = pd.factorize(np.concatenate(keys))
-            sums = np.bincount(number, weights=np.concatenate(times)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(sums)], names=["h", "n"])
 
-        for _, texts in slices(batches, "text", SLICE):
-            number, found = pd.factorize(Words(texts, lower=True).hash)
-            keys.append(found)
-            times.append(np.bincount(number, minlength=len(found)))
-            held += len(found)
-            if held > 2_000_000:
-                yield flush()
-                keys, times, held = [], [], 0
-        if keys:
-            yield flush()
+def count_table(docs: DataFrame) -> DataFrame:
+    """segment, h, n, late: how often each lower-cased word or segment occurs, by its 64-bit hash.
+
+    late is the part of n that is in texts set aside.
+    """
+
+    def flush(held: dict[bool, list[tuple]]) -> Iterator[pa.RecordBatch]:
+        for segment, parts in held.items():
+            if parts:
+                number, found = pd.factorize(np.concatenate([p[0] for p in parts]))
+                n, late = (np.bincount(number, weights=np.concatenate([p[k] for p in parts])).astype(np.int64) for k in (1, 2))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), segment)), pa.array(found.view(np.int64)), pa.array(n), pa.array(late)],
+                    names=["segment", "h", "n", "late"],
+                )
+                parts.clear()
 
-    return docs.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list[tuple]] = {False: [], True: []}
+        size = 0
+        for part, texts in slices(batches, "text", SLICE):
+            aside = part.column(1).to_numpy(zero_copy_only=False)
+            words = Words(texts, lower=True)
+            hashes, _, of = _segments(words, texts)
+            for segment, (h, text) in enumerate(((words.hash, words.text_of_word()), (hashes, of))):
+                number, found = pd.factorize(h)
+                late = np.bincount(number, weights=aside[text], minlength=len(found))
+                held[bool(segment)].append((found, np.bincount(number, minlength=len(found)), late))
+                size += len(found)
+            if size > 2_000_000:
+                yield from flush(held)
+                size = 0
+        yield from flush(held)
+
+    rows = docs.select("text", _aside().alias("late")).mapInArrow(run, "segment boolean, h bigint, n bigint, late bigint")
+    return rows.groupBy("segment", "h").agg(F.sum("n").alias("n"), F.sum("late").alias("late"))
+
+
+@dataclass
+class Repeats:
+    """total: training segments; weight: of the segments' shares; keys, counts: the frequent ones, by hash."""
+
+    total: int
+    weight: float
+    keys: np.ndarray
+    counts: np.ndarray
+
+    def gain(self, bits: np.ndarray, count: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Bits that a segment of so many bits costs less if it occurs count times among total."""
+        miss = np.log2(1 - self.weight)
+        hit = np.log2(self.weight * np.maximum(count, 1) / np.maximum(total, 1)) if self.weight else miss
+        return np.where(count > 0, bits + np.logaddexp2(miss - bits, hit), miss)
+
+    def gain_column(self, bits: Column, count: Column, total: Column) -> Column:
+        """The same of columns."""
+        miss = F.lit(float(np.log2(1 - self.weight)))
+        low, high = miss - bits, F.log2(F.lit(self.weight) * count / total)
+        most = F.greatest(low, high)
+        both = most + F.log2(F.pow(F.lit(2.0), low - most) + F.pow(F.lit(2.0), high - most))
+        return F.when(count > 0, bits + both).otherwise(miss)
+
+
+def repeats(segments: DataFrame) -> Repeats:
+    """The weight that did best on what was set aside, and the frequent segments (h, n, late)."""
+    total, late, hits = segments.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("late"), F.lit(0)),
+        F.coalesce(F.sum(F.when(F.col("n") > F.col("late"), F.col("late"))), F.lit(0)),
+    ).first()
+    found = segments.where(F.col("n") * FREQUENT > F.lit(total)).select("h", "n").toArrow()
+    keys = found.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    weight = (hits + 0.5) / (late + 1) if total else 0.0
+    return Repeats(total, weight, keys[order], found.column("n").to_numpy()[order])
 
 
 def held_out() -> Column:
@@ -297,16 +395,19 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def _score(rows: DataFrame, model: Model, words: tuple | None, ends: int, whole: float) -> DataFrame:
-    """doc_id, _row, held_out, n_tokens, n_known, base_score (of the end alone without words), bits, bytes."""
-    sent = rows.sparkSession.sparkContext.broadcast((model, words))
+def _score(rows: DataFrame, model: Model, words: tuple | None, ends: int, whole: float, segments: DataFrame) -> DataFrame:
+    """doc_id, _row, held_out, n_tokens, n_known, base_score (of the end alone without words), score, bits_per_byte."""
+    known_ = repeats(segments)
+    sent = rows.sparkSession.sparkContext.broadcast((model, words, known_))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    fields = f"doc_id {kind}, held_out boolean, _row bigint, n_tokens bigint, n_known bigint, base_score double, score double, bits_per_byte double"
+    fields = (
+        f"doc_id {kind}, held_out boolean, _row bigint, n_tokens bigint, n_known bigint, base_score double, n_bytes bigint, "
+        "h bigint, bits double, gain double, own bigint, total bigint"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, words = sent.value
+        model, words, known_segments = sent.value
         for part, texts in slices(batches, "text", SLICE):
-            bits = model.bits(texts)
             w = Words(texts, lower=True)
             n = np.diff(w.first)
             known = np.full(len(texts), int(ends > 0))
@@ -317,17 +418,51 @@ def _score(rows: DataFrame, model: Model, words: tuple | None, ends: int, whole:
                 of = w.text_of_word()
                 known += np.bincount(of, weights=(count > 0)[number], minlength=len(n)).astype(np.int64)
                 base += np.bincount(of, weights=np.log10((count + 0.5) / whole)[number], minlength=len(n))
-            sizes = np.array([max(1, len(t)) for t in texts])
+            hashes, start, of = _segments(w, texts)
+            del w
+            bits = model.segment_bits(texts, start, of)
+            # What the text itself gave to the counts.
+            learned = ~part.column(1).to_numpy(zero_copy_only=False)[of]
+            number, _ = pd.factorize(mix(hashes + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            own = np.bincount(number)[number] * learned
+            total = known_segments.total - np.bincount(of)[of] * learned
+            count = lookup((known_segments.keys, known_segments.counts), hashes)
+            done = count > 0
+            gain = np.bincount(
+                of[done], weights=known_segments.gain(bits[done], (count - own)[done], total[done]), minlength=len(texts)
+            )
+            row = part.column(2).to_numpy()
             schema = pa.schema(
                 [("doc_id", part.column(0).type), ("held_out", pa.bool_()), ("_row", pa.int64()), ("n_tokens", pa.int64()),
-                 ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())]
-            )
-            yield output(
-                schema, doc_id=part.column(0), held_out=part.column(1), _row=part.column(2), n_tokens=n + 1,
-                n_known=known, base_score=base, score=-bits * np.log10(2.0), bits_per_byte=bits / sizes,
+                 ("n_known", pa.int64()), ("base_score", pa.float64()), ("n_bytes", pa.int64()), ("h", pa.int64()),
+                 ("bits", pa.float64()), ("gain", pa.float64()), ("own", pa.int64()), ("total", pa.int64())]
             )
-
-    return rows.select("doc_id", "held_out", "_row", "text").mapInArrow(run, fields)
+            none = {f.name: pa.nulls(len(texts), f.type) for f in schema}
+            # A key of its own, so that these rows are spread over the join's tasks.
+            yield output(schema, **(none | {
+                "doc_id": part.column(0), "held_out": part.column(1), "_row": part.column(2), "n_tokens": n + 1,
+                "n_known": known, "base_score": base, "n_bytes": np.array([max(1, len(t)) for t in texts]),
+                "h": mix(row.view(np.uint64)).view(np.int64), "bits": np.bincount(of, weights=bits), "gain": gain,
+            }))
+            left = ~done
+            none = {f.name: pa.nulls(int(left.sum()), f.type) for f in schema}
+            yield output(schema, **(none | {
+                "_row": row[of[left]], "h": hashes[left].view(np.int64), "bits": bits[left], "own": own[left], "total": total[left],
+            }))
+
+    out = rows.select("doc_id", "held_out", "_row", "text").mapInArrow(run, fields)
+    out = out.join(segments.select("h", "n"), "h", "left")
+    count = F.coalesce("n", F.lit(0)) - F.col("own")
+    text = F.col("n_tokens").isNotNull()
+    gain = F.when(text, F.col("gain")).otherwise(known_.gain_column(F.col("bits"), count, F.col("total")))
+    names = ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "n_bytes")
+    out = out.groupBy("_row").agg(
+        *(F.max(name).alias(name) for name in names), (F.sum(F.when(text, F.col("bits"))) - F.sum(gain)).alias("bits")
+    )
+    return out.select(
+        "doc_id", "_row", "held_out", "n_tokens", "n_known", "base_score",
+        (-F.col("bits") * F.lit(float(np.log10(2.0)))).alias("score"), (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"),
+    )
 
 
 def lookup(words: tuple[np.ndarray, np.ndarray], found: np.ndarray) -> np.ndarray:
@@ -360,9 +495,10 @@ def _base_by_join(rows: DataFrame, words: DataFrame, whole: float) -> DataFrame:
 
 
 def score(docs: DataFrame, model: Model, train: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Both scores of docs (doc_id, text, held_out); words are counted in train."""
+    """Both scores of docs (doc_id, text, held_out); words and segments are counted in train (doc_id, text)."""
     small_batches(docs.sparkSession)
-    words = materialize(word_counts(train), "words")
+    counted = materialize(count_table(train), "counts")
+    words, segments = counted.where("NOT segment").select("h", "n"), counted.where("segment").select("h", "n", "late")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = train.count()
     tokens, distinct = n + ends, v + (ends > 0)
@@ -373,12 +509,12 @@ def score(docs: DataFrame, model: Model, train: DataFrame, max_broadcast: int =
         keys = found.column("h").to_numpy().view(np.uint64)
         order = np.argsort(keys)
         sent = (keys[order], found.column("n").to_numpy()[order])
-        out = _score(rows, model, sent, ends, whole)
+        out = _score(rows, model, sent, ends, whole, segments)
     else:
         rows = materialize(rows, "rows")  # both sides of the join must number rows alike
         base = _base_by_join(rows, words, whole)
         out = (
-            _score(rows, model, None, ends, whole).join(base, "_row", "left")
+            _score(rows, model, None, ends, whole, segments).join(base, "_row", "left")
             .withColumn("n_known", F.col("n_known") + F.coalesce("known", F.lit(0)))
             .withColumn("base_score", F.col("base_score") + F.coalesce("base", F.lit(0.0)))
         )

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 
 from sievekit.llm import lm
+from sievekit.llm.common import word_hash
 
 
 def corpus():
@@ -102,3 +103,71 @@ def test_every_training_text_is_learned_from(spark):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert lm.op9_lm_scoring(spark, str(tmp_path)).count() == 0
+
+
+def brute_segments(text):
+    """Segments of a text, word by word, with how many codes each holds."""
+    raw = text.encode()
+    out, begin, before = [], 0, 0
+    for found in re.finditer(rb"[^\x20\x09-\x0D]+", raw):
+        h = word_hash(found[0].lower())
+        key = np.array([(h + 3 * before) % 2**64], dtype=np.uint64)
+        if int(lm.mix(key)[0]) % lm.CUT == 0 and found.end() < len(raw):
+            out.append(raw[begin : found.end() + 1])
+            begin = found.end() + 1
+        before = h
+    return [*out, raw[begin:] + b"\xff"]
+
+
+def test_segments_by_brute_force(spark):
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(400)] + ["Über", "UPPER"]
+    text = {k: " ".join(rng.choice(words) for _ in range(rng.randint(0, 200))) for k in range(120)}
+    text |= {500 + k: text[k] for k in range(30)} | {700: "", 701: " ", 702: "dog " * 5_000, 703: text[3][:400] + text[5]}
+    docs = spark.createDataFrame(list(text.items()), "doc_id bigint, text string").repartition(3)
+    docs = docs.select("*", lm.held_out().alias("held_out"))
+    train = docs.where("NOT held_out")
+    model = lm.fit(train)
+    got = {r.doc_id: r.score for r in lm.score(docs, model, train).collect()}
+    aside = {r.doc_id for r in train.where(lm._aside()).collect()}
+    cut = {k: brute_segments(t) for k, t in text.items()}
+    held = {k for k in text if zlib.crc32(str(k).encode()) % 5 == 1}
+    count = Counter(s for k in cut if k not in held for s in cut[k])
+    early = {s for k in cut if k not in held and k not in aside for s in cut[k]}
+    late = [s for k in aside for s in cut[k]]
+    weight = (sum(s in early for s in late) + 0.5) / (len(late) + 1)
+    for k, segments in cut.items():
+        code = lm._codes([text[k].encode()])[0]
+        costs, at, past, bits = model.costs(code).astype(float), 0, 0.0, 0.0
+        for s in segments:
+            at += len(s)
+            total = costs[:, :at].sum(axis=1)
+            now = total.min() - math.log2(np.exp2(total.min() - total).mean())
+            own, n = (segments.count(s), len(segments)) if k not in held else (0, 0)
+            p, cost = (count[s] - own) / max(1, count.total() - n), now - past
+            likely = np.logaddexp2(math.log2(1 - weight) - cost, math.log2(weight * p)) if p > 0 else math.log2(1 - weight) - cost
+            bits, past = bits - likely, now
+        assert math.isclose(got[k], -bits * math.log10(2), rel_tol=1e-5), k
+    # Copies of a training text cost far less than texts that occur once.
+    rate = {k: got[k] / (len(t) + 1) for k, t in text.items() if len(t) > 500 and k < 700}
+    twice = [rate[k] for k in rate if k >= 500 and k - 500 not in held]
+    assert len(twice) > 5 and min(twice) > max(rate[k] for k in rate if 30 <= k < 120)
+
+
+def test_segments_without_training(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id bigint, text string").withColumn("held_out", lm.F.lit(True))
+    none = docs.where("NOT held_out")
+    got = {r.doc_id: r.score for r in lm.score(docs, lm.fit(none), none).collect()}
+    assert math.isclose(got[1], -6 * 8 * math.log10(2), rel_tol=1e-3)
+    assert math.isclose(got[2], -8 * math.log10(2), rel_tol=1e-3)
+
+
+def test_segments_that_are_not_frequent(spark, monkeypatch):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("held_out", lm.held_out())
+    train = docs.where("NOT held_out")
+    model = lm.fit(train)
+    one = sorted((r.doc_id or -1, r.score) for r in lm.score(docs, model, train).collect())
+    monkeypatch.setattr(lm, "FREQUENT", 1)
+    two = sorted((r.doc_id or -1, r.score) for r in lm.score(docs, model, train).collect())
+    assert np.allclose(one, two, rtol=1e-9)
