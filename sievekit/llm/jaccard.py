@@ -40,6 +40,8 @@ from sievekit.llm.common import materialize, mix, output, slices, small_batches,
 SHINGLE, PERCENT = 4, 85
 #: Slots of the count sketch, and blocks that it is summed in.
 SKETCH_BITS, BLOCK_BITS = 22, 4
+#: Tasks whose sketches are summed at first; those sums are summed then.
+SUMMED = 64
 #: Steps of rarity for each doubling of a count.
 STEPS = 4
 #: Runs up to this size make all their pairs at once; longer ones are held against a leader.
@@ -140,22 +142,34 @@ def _rarity(first: DataFrame) -> np.ndarray:
     """Rarity of each slot of the sketch: STEPS times the logarithm of its count; a few MB."""
     width = 1 << (SKETCH_BITS - BLOCK_BITS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def added(batches: Iterator[pa.RecordBatch], kind: type) -> dict[int, np.ndarray]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(blob), dtype=np.uint32)
-                total[block] = total.get(block, 0) + part.astype(np.uint64)
-        steps = {k: np.floor(STEPS * np.log2(np.maximum(v, 1))).astype(np.uint8) for k, v in total.items()}
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(steps), pa.int32()), pa.array([v.tobytes() for v in steps.values()], pa.binary())],
-            names=["block", "blob"],
+                part = np.frombuffer(zlib.decompress(blob), dtype=kind)
+                if block not in total:
+                    total[block] = np.zeros(width, dtype=np.uint64)
+                total[block] += part
+        return total
+
+    def batch_of(blobs: dict[int, bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(blobs), pa.int32()), pa.array(list(blobs.values()), pa.binary())], names=["block", "blob"]
         )
 
-    parts = first.where(F.col("_block").isNotNull()).select("_block", "_blob")
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield batch_of({k: zlib.compress(v.tobytes(), 1) for k, v in added(batches, np.uint32).items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = added(batches, np.uint64)
+        yield batch_of({k: np.floor(STEPS * np.log2(np.maximum(v, 1))).astype(np.uint8).tobytes() for k, v in total.items()})
+
     # Two steps, so that no task reads what all tasks of the first pass wrote for a block.
+    salt = F.floor(F.spark_partition_id() / F.lit(SUMMED)).alias("_salt")
+    parts = first.where(F.col("_block").isNotNull()).select("_block", "_blob", salt)
+    parts = parts.repartition("_block", "_salt").mapInArrow(some, "block int, blob binary")
     out = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
-    for row in parts.repartition(1 << BLOCK_BITS, "_block").mapInArrow(run, "block int, blob binary").collect():
+    for row in parts.repartition(1 << BLOCK_BITS, "block").mapInArrow(run, "block int, blob binary").collect():
         out[row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(bytes(row["blob"]), dtype=np.uint8)
     return out
 

@@ -126,3 +126,15 @@ def test_components(spark):
     rows = [(bytes([a]), bytes([b])) for a, b in edges]
     got = {r.sig[0]: r.comp[0] for r in components(spark.createDataFrame(rows, "a binary, b binary")).collect()}
     assert got == {**{k: 0 for k in range(21)}, 30: 30, 31: 30, 32: 30}
+
+
+def test_sketch_sums_all_tasks(spark, monkeypatch):
+    texts = [(k, " ".join(f"w{k * j % 11}" for j in range(9))) for k in range(90)]
+    rows = spark.createDataFrame(texts, "_id bigint, _text string").repartition(7)
+    counts = Counter(int(s) for text in texts for s in jaccard._slot(jaccard.text_sets([text[1].encode()], 4)[0]))
+    for many in (64, 2, 1):
+        monkeypatch.setattr(jaccard, "SUMMED", many)
+        got = jaccard._rarity(jaccard._first_pass(rows, 4))
+        assert len(counts) > 9 and max(counts.values()) > 4
+        assert all(got[s] == int(jaccard.STEPS * np.log2(n)) for s, n in counts.items())
+        assert np.count_nonzero(got) == sum(n > 1 for n in counts.values())
