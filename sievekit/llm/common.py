@@ -10,7 +10,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these bytes (space, tab, LF, VT, FF, CR).
@@ -92,6 +92,25 @@ def looked_up(rows: DataFrame, lookup: DataFrame, key: str, most: int, spread: l
     return dealt.join(salted, [key, "__salt"], "left").drop("__salt")
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with __nth, their place from 1 in the order, without a window over all of them.
+
+    They are dealt by ranges of the order, sorted and written; what comes to the driver is one
+    number a partition. rows must read alike twice (a written table), and the order must tell
+    equal rows apart, or all of them go to one range.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    own = F.monotonically_increasing_id()
+    dealt = dealt.withColumn("__part", F.shiftright(own, 33)).withColumn("__at", own.bitwiseAND(F.lit((1 << 33) - 1)))
+    dealt = materialize(dealt, name)
+    before, starts = 1, []
+    for part, n in sorted((r["__part"], r["n"]) for r in dealt.groupBy("__part").agg(F.count("*").alias("n")).collect()):
+        starts.append((part, before))
+        before += n
+    starts = rows.sparkSession.createDataFrame(starts, "__part bigint, __start bigint")
+    return dealt.join(F.broadcast(starts), "__part").withColumn("__nth", F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
+
+
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 

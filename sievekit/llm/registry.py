@@ -7,7 +7,10 @@ import importlib
 import corpus_pipeline
 
 #: Modules with QUERIES and ORACLE.
-MODULES = ("packing", "quality", "urls", "secrets", "language", "decontaminate", "jaccard", "lm", "html", "warc")
+MODULES = (
+    "packing", "quality", "urls", "secrets", "language", "decontaminate", "jaccard", "lm", "html", "warc",
+    "whitening", "mixing", "resampling",
+)
 
 
 def _parts() -> list:
