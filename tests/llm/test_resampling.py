@@ -8,7 +8,8 @@ from collections import Counter
 
 import pytest
 
-from sievekit.llm.resampling import draw, op13_importance_resampling, weigh
+from sievekit.llm import resampling
+from sievekit.llm.resampling import dictionaries, draw, op13_importance_resampling, weigh, zero_bytes
 
 _FEATURES = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -74,3 +75,21 @@ def test_whole_table(spark):
     found = op13_importance_resampling(spark, sf)
     assert found.columns == ["doc_id", "n_features", "weight", "score", "rank", "n_words"]
     assert order(tuple(r)[:5] for r in found.collect()) == order(brute(docs, [t for _, t in target]))
+
+
+def test_dictionaries_hold_each_string_once(monkeypatch):
+    monkeypatch.setattr(resampling, "STRETCH", 7)
+    texts = ["a b a b a b c", "", "The b\x0ba", "é é é " * 9, "x" * 300 + " a"]
+    want, got = Counter(zlib.crc32(f.encode()) for t in texts for f in features(t)[1]), Counter()
+    for crc, counts, place, of in dictionaries([t.encode() for t in texts]):
+        assert (counts[place] > 0).all() and counts.sum() == len(place) == len(of)
+        got.update({int(c): int(n) for c, n in zip(crc, counts, strict=True) if n})
+    assert got == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 70_001])
+def test_crc_of_parts(n):
+    tail = bytes(k % 251 for k in range(n))
+    table, crc = zero_bytes(n), zlib.crc32(b"head")
+    moved = int(table[0][crc & 255] ^ table[1][crc >> 8 & 255] ^ table[2][crc >> 16 & 255] ^ table[3][crc >> 24])
+    assert moved ^ zlib.crc32(tail) == zlib.crc32(b"head" + tail)
