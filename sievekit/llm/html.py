@@ -12,9 +12,9 @@ boilerplate; what remains are the page's unique runs.
 
 Markup is a check besides: what navigation, footers, forms, adverts, comments and the like
 hold is dropped, and where a page has an article (or, without one, a main) element only
-its blocks are looked at. Repetition decides on all blocks that are left. An article or
-main element that repeated runs cover for the most part is not boilerplate but a copy of
-an article, and is kept whole.
+its blocks are looked at. Repetition alone decides on loose blocks. Articles quote and copy each
+other, so a block of an article or main element goes only if repeated runs cover it and
+some page of the host has the same block in what markup calls noise.
 
 Defined results: a null or empty html gives an empty text; a null url has an empty host;
 repeated rows give a row each and count as one page for repetition, as do all pages with
@@ -79,37 +79,42 @@ STATES = frozenset("has no not without with is js can show enable disable allow
 LAYOUTS = frozenset("left right open closed enabled disabled active none on off allowed layout page wrapper visible".split())
 #: Elements that hold the article: no name makes them noise.
 HOLDERS = frozenset("html body main article".split())
+#: Words that an article may be about: an id within one, which may be a mere anchor, says nothing by them.
+TOPICS = frozenset("cookie cookies consent gdpr notice notices copyright menu navigation share sharing social login signup subscription skip".split())
 #: Elements whose content is dropped even if they are never closed; others are then as if they were not there.
 ENDLESS = frozenset("script style textarea title".split())
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S
-)
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?])")
+_STOP = re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-hidden|hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/]|$))""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
-def names_noise(name: str, in_article: bool) -> bool:
-    """Whether one class, id or role says that an element is no article: "site-footer" does, "has-sidebar" doesn't."""
+def names_noise(name: str, in_article: bool, anchor: bool = False) -> bool:
+    """Whether one class, id or role says that an element is no article: "site-footer" does, "has-sidebar" doesn't.
+
+    Within an article only a name's last word counts, as "share-price" or "menu-of-the-day" may be what
+    it is about; anchor: the name is an id there, for which TOPICS don't count either.
+    """
     words = _WORD.findall(name)
     if not words or words[0] in STATES or len(words) > 1 and words[-1] in LAYOUTS:
         return False
-    if not NOISE_WORDS.isdisjoint(words):
-        return True
-    return not in_article and (words[-1] in WEAK_WORDS or "header" in words)
+    if in_article:
+        return words[-1] in NOISE_WORDS and not (anchor and words[-1] in TOPICS)
+    return not NOISE_WORDS.isdisjoint(words) or words[-1] in WEAK_WORDS or "header" in words
 
 
-def _marks(attributes: str, in_article: bool, holder: bool = False) -> tuple[bool, str]:
-    """Whether an element's attributes make it noise; and "article" or "main" where they make it that."""
+def _marks(attributes: str, in_article: bool, named: bool = True) -> tuple[bool, str]:
+    """Whether an element's attributes make it noise; and "article" or "main" where they make it that. named: names may make it noise."""
     noise, kind = False, ""
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDES.search(value):
             noise = True
         elif name in ("class", "id", "role"):
-            noise |= not holder and any(names_noise(x, in_article) for x in value.split())
+            noise |= named and any(names_noise(x, in_article, name == "id") for x in value.split())
             if name == "role" and value in ("main", "article"):
                 kind = value
         elif name == "itemprop" and value == "articlebody":
@@ -117,10 +122,74 @@ def _marks(attributes: str, in_article: bool, holder: bool = False) -> tuple[boo
     return noise, kind
 
 
+class _Tags:
+    """Where the tags of a page end, in time linear in the page.
+
+    A tag ends at the first > outside of quotes, or at the first at all if a quote in it is never
+    closed. Quotes from which a search has failed are remembered, as others would fail from there.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        self.failed: set[int] = set()
+
+    def end(self, at: int) -> int:
+        """The place after the tag whose name ends at the place, -1 if nothing ends it."""
+        page, passed, pos = self.page, [], at
+        if at > self.last[">"]:
+            return -1
+        while pos <= self.last[">"]:
+            stop = _STOP.search(page, pos).start()
+            if page[stop] == ">":
+                return stop + 1
+            if stop in self.failed:
+                break
+            passed.append(stop)
+            if stop == self.last[page[stop]]:
+                break
+            pos = page.find(page[stop], stop + 1) + 1
+        self.failed.update(passed)
+        return page.find(">", at) + 1
+
+
+class _Stack:
+    """Open elements: (element, place, heading kept in a header), with the places of each name, so that none is searched for."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[str, str, bool]] = []
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, name: str, place: str, headed: bool) -> None:
+        self.where.setdefault(name, []).append(len(self.held))
+        if name in BLOCK:
+            self.blocks.append(len(self.held))
+        self.held.append((name, place, headed))
+
+    def last(self, names: frozenset | set) -> int:
+        """Place of the innermost of the names, -1 if none is open."""
+        return max((at[-1] for n in names if (at := self.where.get(n))), default=-1)
+
+    def innermost_block(self) -> int:
+        return self.blocks[-1] if self.blocks else -1
+
+    def cut(self, at: int) -> None:
+        """Close all from the place on."""
+        while len(self.held) > at:
+            name = self.held.pop()[0]
+            self.where[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+
+    def top(self) -> tuple[str, str, bool]:
+        return self.held[-1] if self.held else ("", "loose", False)
+
+
 def blocks(page: str) -> list[tuple[str, str]]:
     """The visible blocks of a page in order: (place, text), place one of article, main, loose, noise."""
     found: list[tuple[str, str]] = []
-    stack: list[tuple[str, str, bool]] = []  # element, place, heading kept in a header
+    stack, tags = _Stack(), _Tags(page)
     place, pieces = "loose", []
     at, unclosed = 0, set()
 
@@ -131,76 +200,86 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 found.append((place, text))
             pieces.clear()
 
-    def close(names: frozenset | set, until: frozenset | set) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in until:
-                return
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-
-    size = len(page)
+    size, begin = len(page), 0
     while at < size:
-        m = _TAG.search(page, at)
+        m = _OPEN.search(page, begin)
         if m is None:
             pieces.append(page[at:])
             break
+        if m[0] == "<!--":
+            end = page.find("-->", m.end())
+            end = size if end < 0 else end + 3
+        else:
+            end = tags.end(m.end()) if m[2] else page.find(">", m.end()) + 1 if m.end() <= tags.last[">"] else -1
+        if end < 0:  # text, as nothing ends it; a comment may follow
+            begin = page.find("<!--", m.end())
+            if begin < 0:
+                pieces.append(page[at:])
+                break
+            continue
         if m.start() > at:
             pieces.append(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if name is None:
+        at = begin = end
+        if not m[2]:
             continue
-        name, attributes, ends = name.lower(), m[3] if m[2] else m[6], bool(m[1] or m[4])
+        name, attributes, ends = m[2].lower(), page[m.end() : end - 1], bool(m[1])
         if name in RAW:
             if not ends and not attributes.endswith("/"):
-                end = None if name in unclosed else re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                if end is None:
+                close = None if name in unclosed else re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                if close is None:
                     unclosed.add(name)
-                at = end.end() if end else size if name in ENDLESS else at
+                at = begin = close.end() if close else size if name in ENDLESS else at
             pieces.append(" ")
             continue
-        block = name in BLOCK
-        if not block:
+        if name not in BLOCK:
             if name == "br":
                 pieces.append(" ")
             if ends:
-                if any(s[0] == name for s in stack):
+                k = stack.last({name})
+                if k >= 0:
                     flush()
-                    close({name}, BLOCK)
-                    place = stack[-1][1] if stack else "loose"
+                    if k > stack.innermost_block():
+                        stack.cut(k)
+                    place = stack.top()[1]
             elif attributes and name not in VOID:
                 noise, kind = _marks(attributes, place in ("article", "main"))
                 if noise and place != "noise":
                     flush()
                     place = "noise"
-                    stack.append((name, place, False))
+                    stack.push(name, place, False)
             continue
         flush()
         if ends:
-            close({name}, frozenset())
-        else:
-            if name not in ("hr",):
-                close({"p"}, BLOCK - {"p"})
-                if name in CLOSES:
-                    close(*CLOSES[name])
-                inner = stack[-1][1] if stack else "loose"
-                headed = stack[-1][2] if stack else False
-                noise, kind = _marks(attributes, inner in ("article", "main"), name in HOLDERS) if attributes else (False, "")
-                if inner == "noise":
-                    now = "article" if headed and name in HEADINGS else "noise"
-                elif noise or name in NOISE:
-                    now = "noise"
-                elif name == "header":
-                    now, headed = "noise", inner == "article"
-                elif name == "article" or kind == "article":
-                    now = "article"
-                elif name == "main" or kind == "main":
-                    now = "main" if inner == "loose" else inner
-                else:
-                    now = inner
-                stack.append((name, now, headed))
-        place = stack[-1][1] if stack else "loose"
+            k = stack.last({name})
+            if k >= 0:
+                stack.cut(k)
+        elif name != "hr":
+            k = stack.last({"p"})
+            if k >= 0 and k == stack.innermost_block():
+                stack.cut(k)
+            if name in CLOSES:
+                names, until = CLOSES[name]
+                k = stack.last(names)
+                if k > stack.last(until):
+                    stack.cut(k)
+            _, inner, headed = stack.top()
+            inside = inner in ("article", "main")
+            named = name not in HOLDERS and not (inside and name in HEADINGS)
+            noise, kind = _marks(attributes, inside, named) if attributes else (False, "")
+            if inner == "noise":
+                now = "article" if headed and name in HEADINGS else "noise"
+            elif noise or name in NOISE:
+                now = "noise"
+            elif name == "header":
+                now, headed = "noise", inner == "article"
+            elif name == "article" or kind == "article":
+                now = "article"
+            elif name == "main" or kind == "main":
+                now = "main" if inner == "loose" else inner
+            else:
+                now = inner
+            stack.push(name, now, headed)
+        place = stack.top()[1]
     flush()
     return found
 
@@ -370,14 +449,25 @@ def _hashes(texts: list[str]) -> np.ndarray:
     return span_hash(joined, end - [len(d) for d in data], end)
 
 
+#: What the hash of a noise block's text differs by from that of a run of the same tokens.
+_NOISE = np.uint64(0x5851F42D4C957F2D)
+
+
+def _block_hashes(texts: list[str], site: int) -> np.ndarray:
+    """A hash of each block's whole text, with site's."""
+    return mix(_hashes(texts) ^ np.uint64(site & (1 << 64) - 1) ^ _NOISE) if texts else np.zeros(0, dtype=np.uint64)
+
+
 def choose(pages: list[list[tuple[str, str]]], site: int = 0, repeated: np.ndarray | None = None) -> tuple[list[str], list[int]]:
     """The main text of each page of a shard, and how many of its tokens repeated runs cover.
 
-    repeated: sorted hashes of the windows that the host's other shards help to repeat.
+    repeated: sorted hashes of the windows that the host's other shards help to repeat, and of the blocks that it has in
+    noise and in articles.
     """
     cut = [[tokens(t) for _, t in page] for page in pages]
     streams, words = map(list, zip(*map(_stream, cut), strict=True)) if cut else ([], [])
     covered = repeated_runs(streams, words)
+    noise = {t for page in pages for p, t in page if p == "noise"}
     if repeated is not None and len(repeated):
         for stream, w, c in zip(streams, words, covered, strict=True):
             a, b, h = windows(stream, w, site)
@@ -387,17 +477,23 @@ def choose(pages: list[list[tuple[str, str]]], site: int = 0, repeated: np.ndarr
             np.add.at(change, a[found], 1)
             np.add.at(change, b[found], -1)
             c |= np.cumsum(change)[:-1] > 0
+        held = sorted({t for page in pages for p, t in page if p in ("article", "main")})
+        if held:
+            h = _block_hashes(held, site)
+            at = np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)
+            noise.update(held[k] for k in np.flatnonzero(repeated[at] == h).tolist())
     texts = []
     for page, parts, c, w in zip(pages, cut, covered, words, strict=True):
         kind, at, own = place_of_text(page), 0, []
         for (place, text), part in zip(page, parts, strict=True):
             upto = at + len(part)
             if place == kind:
-                own.append((text, w[at:upto][c[at:upto]].sum(), w[at:upto].sum()))
+                most = w[at:upto].sum()
+                boilerplate = w[at:upto][c[at:upto]].sum() >= COVERED * max(1, most)
+                if not boilerplate or kind != "loose" and text not in noise:
+                    own.append(text)
             at = upto
-        copied = sum(n for _, n, _ in own) >= COVERED * max(1, sum(n for _, _, n in own))
-        whole = kind != "loose" and copied
-        texts.append("\n".join(text for text, n, most in own if whole or n < COVERED * max(1, most)))
+        texts.append("\n".join(own))
     return texts, [int(c.sum()) for c in covered]
 
 
@@ -409,26 +505,32 @@ def _stream(parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(dealt: DataFrame) -> DataFrame:
-    """h, stream, site, shard: the windows of each page on hosts of several shards."""
+    """h, stream, place, site, shard: the windows of each page on hosts of several shards, and its blocks in articles and in noise by place (else 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for k, (site, page) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                stream, words = _stream([tokens(t) for _, t in blocks(page or "")])
-                h = np.unique(windows(stream, words, site)[2])
+                cut = blocks(page or "")
+                stream, words = _stream([tokens(t) for _, t in cut])
                 whole = _run_hash(stream, np.array([0]), np.array([len(stream)]))
-                found.append((h, np.repeat(whole, len(h)), np.full(len(h), k)))
+                own = [np.unique(windows(stream, words, site)[2])]
+                own += [np.unique(_block_hashes([t for p, t in cut if p in places], site)) for places in (("article", "main"), ("noise",))]
+                sizes = [len(h) for h in own]
+                found.append((np.concatenate(own), np.repeat(whole, sum(sizes)), np.repeat([0, 1, 2], sizes), np.full(sum(sizes), k)))
             if found:
-                h, whole, k = (np.concatenate(c) for c in zip(*found, strict=True))
+                h, whole, place, k = (np.concatenate(c) for c in zip(*found, strict=True))
                 at = pa.array(k.astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)],
-                    names=["h", "stream", "site", "shard"],
-                )
+                    [
+                        pa.array(h.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(place.astype(np.int32)),
+                        batch.column(0).take(at), batch.column(1).take(at),
+                    ],
+                    names=["h", "stream", "place", "site", "shard"],
+                )
 
     rows = dealt.where("many").select("site", "shard", "html")
-    return rows.mapInArrow(run, "h bigint, stream bigint, site bigint, shard bigint")
+    return rows.mapInArrow(run, "h bigint, stream bigint, place int, site bigint, shard bigint")
 
 
 def _shards(rows: DataFrame) -> DataFrame:
@@ -482,7 +584,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     dealt = _shards(rows)
     seen = _windows(dealt)
-    often = seen.groupBy("h").agg(F.count_distinct("stream").alias("n")).where(F.col("n") >= MIN_PAGES).select("h")
+    often = seen.groupBy("h").agg(F.count_distinct("stream").alias("n"), F.min("place").alias("least"), F.max("place").alias("most"))
+    often = often.where(F.when(F.col("most") == 0, F.col("n") >= MIN_PAGES).otherwise((F.col("least") == 1) & (F.col("most") == 2))).select("h")
     often = materialize(often, "windows")
     parsed = dealt.select("page_id", "url", "site", "shard", "html").mapInArrow(
         parse, f"page_id {kind}, url string, site bigint, shard bigint, places array<string>, blocks array<string>"

@@ -60,8 +60,8 @@ def test_long_page_of_equal_sentences():
 
 def test_repetition_decides(monkeypatch):
     """Without the suffix array the texts are others."""
-    own = [[("article", f"Own sentence {j} of page {k} is here.") for j in range(3)] for k in range(5)]
-    pages = [[*page, ("article", "Read more of this in our paper.")] for page in own]
+    own = [[("loose", f"Own sentence {j} of page {k} is here.") for j in range(3)] for k in range(5)]
+    pages = [[*page, ("loose", "Read more of this in our paper.")] for page in own]
     texts = html.choose(pages)[0]
     monkeypatch.setattr(html, "repeated_runs", lambda streams, words: [np.zeros(len(s), dtype=bool) for s in streams])
     without = html.choose(pages)[0]
@@ -169,19 +169,62 @@ def test_shards_change_nothing(spark, monkeypatch, most):
     assert not any("Notice" in r[2] for r in dealt) and all(r[2] for r in dealt)
 
 
+@pytest.mark.parametrize("most", [html.MAX_REPEATED, 0])
 @pytest.mark.parametrize("kind", ["article", "main"])
-def test_repetition_decides_within_articles(spark, kind):
-    copy = "".join(f"<p>This is sentence {j} of an article with copies.</p>" for j in range(6))
+def test_articles_lose_what_the_host_has_in_noise(spark, monkeypatch, kind, most):
+    """A line of many articles stays, unless some page of the host has it in its footer."""
+    monkeypatch.setattr(html, "MAX_REPEATED", most)
+    copy = [f"This is sentence {j} of an article with copies." for j in range(6)]
     rows, want = [], {}
-    for k in range(130):
-        own = [f"Page {k} says sentence {j} of its own." for j in range(3)]
+    for k in range(260):
+        own = [f"Page {k} says sentence {j} of its own." for j in range(3)] + ["A saying that many articles quote."]
         body = "".join(f"<p>{x}</p>" for x in own)
-        rows.append((k, f"http://h.org/{k}", f"<{kind}>{body}<p>Read more of this in our paper.</p></{kind}>"))
-        want[k] = "\n".join(own)
-    rows += [(1000 + k, f"http://h.org/c{k}", f"<{kind}>{copy}<p>Seen by reader {k}.</p></{kind}>") for k in range(4)]
-    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-    assert {k: got[k] for k in want} == want
-    assert all(got[1000 + k].count("\n") == 6 for k in range(4))
+        foot = "<footer><p>Read more of this in our paper.</p></footer>" if k == 7 else ""
+        rows.append((k, f"http://h{k % 2 * (k % 40)}.org/{k}", f"<{kind}>{body}<p>Read more of this in our paper.</p></{kind}>{foot}"))
+        noted = k % 2 * (k % 40) in (0, 7)  # host 0 has no such footer, host 7 has one
+        want[k] = "\n".join(own if noted and k % 2 else [*own, "Read more of this in our paper."])
+    rows.append((900, "http://h0.org/foot", "<main><p>x</p></main><footer><p>Read more of this in our paper.</p></footer>"))
+    want |= {k: want[k].removesuffix("\nRead more of this in our paper.") for k in range(0, 260, 2)} | {900: "x"}
+    rows += [(1000 + k, f"http://h1.org/c{k}", f"<{kind}>{''.join(f'<p>{x}</p>' for x in copy)}<p>Seen by reader {k}.</p></{kind}>") for k in range(4)]
+    want |= {1000 + k: "\n".join([*copy, f"Seen by reader {k}."]) for k in range(4)}
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize(
+    "mark", ["class=share-price", "class=comment-on-law", "id=related-work", "class=menu-of-the-day", "id=notice-period", "id=cookies", "class='price share-price'"]
+)
+def test_names_that_an_article_may_be_about(mark):
+    page = f"<article><p>One.</p><section {mark}><h2 {mark}>Two</h2><p>Three.</p></section></article>"
+    assert decided(blocks(page)) == ["One.", "Two", "Three."]
+
+
+@pytest.mark.parametrize("mark", ["id=comments", "class=post-comments", "class=notice", "class='x share'", "id=related", "class=site-footer", "role=navigation"])
+def test_names_of_noise_within_articles(mark):
+    assert decided(blocks(f"<article><p>One.</p><div {mark}><p>Three.</p></div></article>")) == ["One."]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a \"" * 300_000, "<a \"" * 300_000 + ">", "<a \"b" * 200_001 + "'>", "<a \">\"" * 150_000 + "'", "<a" * 500_000, "<!" * 500_000, "<a '>" * 200_001,
+        "<div>" * 5_000 + "<i>x</i>" * 100_000, "<div>" * 5_000 + "</section>" * 90_000, "<ul><li><ul>" + "<div>" * 5_000 + "<li></li>" * 90_000,
+        "<div>" * 5_000 + "<p>x" * 90_000, "<!--" + "<a>" * 300_000, "<script>" * 100_000,
+    ],
+)
+def test_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    blocks(page)
+    assert time.process_time() - began < 4
+
+
+def test_unended_tags_and_quotes():
+    assert blocks("a <b x='>' y=\">\">c</b> d") == [("loose", "a c d")]
+    assert blocks("<p>a <b 'x>c") == [("loose", "a c")]
+    assert blocks("a <b c") == [("loose", "a <b c")]
+    assert blocks("a <b <!-- c") == [("loose", "a <b")]
+    assert blocks("a <b <!-- c --> d") == [("loose", "a d")]
+    assert blocks("a <!-- b --> <!x> <?y> 1 < 2") == [("loose", "a 1 < 2")]
 
 
 def test_empty_table(spark, tmp_path):
