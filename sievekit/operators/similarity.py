@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import ast
-import math
 import re
 from difflib import SequenceMatcher, unified_diff
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,148 +117,6 @@ def sanity_summary(checked: DataFrame) -> DataFrame:
     return checked.agg(F.count("*").alias("checked"), F.count_if("class_match").alias("matched"), F.round(F.avg("best_similarity"), 3).alias("similarity"))
 
 
-#: Texts of a block of comparisons; buckets that runs of GRAM characters are counted in.
-BLOCK, BUCKETS, GRAM = 256, 1 << 13, 3
-
-
-def _grams(text: str) -> np.ndarray:
-    """How many runs of GRAM characters fall in each bucket."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    if len(points) < GRAM:
-        return np.zeros(BUCKETS, dtype=np.int32)
-    h = np.zeros(len(points) - GRAM + 1, dtype=np.uint64)
-    for k in range(GRAM):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + points[k : len(points) - GRAM + 1 + k]
-    return np.bincount(((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(51)).astype(np.int64), minlength=BUCKETS).astype(np.int32)
-
-
-def _shared_at_least(one: np.ndarray, two: np.ndarray, threshold: float) -> np.ndarray:
-    """Runs that texts of these lengths share at least if their ratio is over the threshold.
-
-    So many characters match in order; an unmatched one breaks GRAM runs of its own text and
-    GRAM - 1 of the other.
-    """
-    matched = threshold * (one + two) / 2
-    runs = [own - (GRAM - 1) - GRAM * (own - matched) - (GRAM - 1) * (other - matched) for own, other in ((one, two), (two, one))]
-    return np.maximum(*runs)
-
-
-def _common(one: str, two: str, need: float = -1.0) -> int:
-    """Length of the longest common subsequence, a whole row of the table at once in the bits of an integer.
-
-    As soon as it can't be more than need, what it can be at most is given.
-    """
-    places: dict[str, int] = {}
-    for k, c in enumerate(one):
-        places[c] = places.get(c, 0) | 1 << k
-    full = (1 << len(one)) - 1
-    row = full
-    for k, c in enumerate(two):
-        hit = row & places.get(c, 0)
-        row = (row + hit | row - hit) & full
-        if k % 32 == 0 and (most := len(one) - row.bit_count() + len(two) - k - 1) <= need:
-            return most
-    return len(one) - row.bit_count()
-
-
-def _block_pairs(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float, later_first: bool) -> list[tuple]:
-    """(id1, id2, ratio) of similar texts of two blocks, or within one; id1 < id2."""
-    sides = [left, left if right is None else right]
-    codes = [s["code"].tolist() for s in sides]
-    ids = [s["id"].tolist() for s in sides]
-    sizes = [np.array([len(c) for c in cs], dtype=np.float64) for cs in codes]
-    grams = [np.array([_grams(c) for c in cs]).reshape(-1, BUCKETS) for cs in (codes if right is not None else codes[:1])]
-    grams = grams if right is not None else grams * 2
-    out = []
-    for k, code in enumerate(codes[0]):
-        first = k + 1 if right is None else 0
-        shared = np.minimum(grams[1][first:], grams[0][k]).sum(axis=1)
-        near = np.minimum(sizes[1][first:], sizes[0][k]) * 2 > threshold * (sizes[1][first:] + sizes[0][k])
-        near &= shared >= _shared_at_least(sizes[1][first:], sizes[0][k], threshold)
-        for j in (np.flatnonzero(near) + first).tolist():
-            (i1, c1), (i2, c2) = sorted(((ids[0][k], code), (ids[1][j], codes[1][j])), key=lambda x: x[0])
-            # What difflib matches is a common subsequence, so the longest one bounds its ratio.
-            need = threshold * (len(c1) + len(c2)) / 2
-            if _common(c1, c2, need) <= need:
-                continue
-            r = SequenceMatcher(None, *((c2, c1) if later_first else (c1, c2))).ratio()
-            if r > threshold:
-                out.append((i1, i2, r))
-    return out
-
-
-def near_duplicates(samples: DataFrame, threshold: float = 0.90, within: str | None = None, later_first: bool = False) -> DataFrame:
-    """Pairs id1 < id2 of samples (id, code) with a ratio over the threshold; within: of one value of a column only.
-
-    A ratio r needs lengths within r / (2 - r), so only texts of one band of lengths or the next
-    can be similar. Bands are dealt into blocks of some BLOCK texts, and pairs of blocks are
-    compared in a task each: first by the runs of characters that similar texts must share,
-    then by their longest common subsequence, then by difflib. Equal texts are paired with the first of them, which stands for them;
-    null texts are left out. later_first: whose text is the first argument, as order matters.
-    """
-    least = threshold / (2 - threshold)
-    keys = [within] if within else []
-    rows = samples.where("code IS NOT NULL").select("id", *keys, "code", F.sha2(F.col("code").cast("binary"), 256).alias("_h"))
-    first = rows.groupBy(*keys, "_h").agg(F.min("id").alias("id"), F.min_by("code", "id").alias("code"))
-    band = F.floor(F.log(F.greatest(F.length("code"), F.lit(1)).cast("double")) / F.lit(-math.log(least))).cast("int")
-    banded = first.select(*keys, "id", "code", band.alias("band"))
-    blocks = banded.groupBy(*keys, "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    own = banded.join(blocks, [*keys, "band"])
-    for name, step in (("after", -1), ("before", 1)):
-        moved = blocks.select(*keys, (F.col("band") + step).alias("band"), F.col("n").alias(name))
-        own = own.join(moved, [*keys, "band"], "left")
-    i, n = F.pmod(F.xxhash64("id"), F.col("n")).cast("int"), F.col("n")
-
-    def upto(size: Column) -> Column:
-        return F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-
-    def cell(b: Column, x: Column, c: Column, y: Column, side: Column) -> Column:
-        return F.struct(b.alias("b"), x.alias("i"), c.alias("c"), y.alias("j"), side.cast("int").alias("side"))
-
-    here = F.col("band")
-    cells = F.concat(
-        F.transform(upto(n), lambda j: cell(here, F.least(i, j), here, F.greatest(i, j), i > j)),
-        F.transform(upto(F.coalesce("after", F.lit(0))), lambda j: cell(here, i, here + 1, j, F.lit(False))),
-        F.transform(upto(F.coalesce("before", F.lit(0))), lambda j: cell(here - 1, j, here, i, F.lit(True))),
-    )
-    dealt = own.select(*keys, "id", "code", F.explode(cells).alias("x")).select(*keys, "id", "code", "x.*")
-    kind = samples.schema["id"].dataType.simpleString()
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        alone = (part["b"].iloc[0], part["i"].iloc[0]) == (part["c"].iloc[0], part["j"].iloc[0])
-        found = _block_pairs(part[part["side"] == 0], None if alone else part[part["side"] == 1], threshold, later_first)
-        return pd.DataFrame(found, columns=["id1", "id2", "ratio"])
-
-    # Few bytes make much work here, so the number of tasks must not shrink with the bytes.
-    tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(tasks, *keys, "b", "i", "c", "j")
-    pairs = dealt.groupBy(*keys, "b", "i", "c", "j").applyInPandas(compare, f"id1 {kind}, id2 {kind}, ratio double")
-    copies = rows.join(first.select(*keys, "_h", F.col("id").alias("id1")), [*keys, "_h"]).where("id <> id1")
-    return pairs.unionByName(copies.select("id1", F.col("id").alias("id2"), F.lit(1.0).alias("ratio")))
-
-
-def greedy_dedup(samples: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """Rows that are similar to no row kept before them in their cwe, in order of ord (distinct).
-
-    The similar pairs come first; then each cwe's pairs, without texts, are gone through in order.
-    A copy of an earlier text always goes: what keeps that out, or it itself, keeps the copy out.
-    """
-    rows = samples.select(F.col("ord").alias("id"), "cwe", "code")
-    pairs = near_duplicates(rows, threshold, "cwe", later_first=True)
-    kind = samples.schema["ord"].dataType.simpleString()
-    own = pairs.join(rows.select(F.col("id").alias("id1"), "cwe"), "id1")
-
-    def drop(part: pd.DataFrame) -> pd.DataFrame:
-        gone: set = set()
-        for later, group in part.sort_values("id2").groupby("id2", sort=True):
-            if any(r == 1.0 or k not in gone for k, r in zip(group["id1"], group["ratio"], strict=True)):
-                gone.add(later)
-        return pd.DataFrame({"ord": sorted(gone)})
-
-    dropped = own.groupBy("cwe").applyInPandas(drop, f"ord {kind}")
-    return samples.join(dropped, "ord", "left_anti")
-
-
 @F.pandas_udf(T.IntegerType())
 def test_duplicates(bodies: pd.Series) -> pd.Series:
     """Number of pairs of similar texts within an array."""

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievekit.operators import mutation as mu
+from sievekit.operators import pairs
 from sievekit.operators import similarity as si
 from sievekit.sources import readers, sinks
 from sievekit.streaming import progress
@@ -84,13 +85,13 @@ def test_similarity_keeps_argument_order(spark):
     df = spark.createDataFrame([("tide", "diet")], "a string, b string")
     assert df.select(si.ratio("a", "b").alias("x"), si.ratio("b", "a").alias("y")).first() == (0.25, 0.5)
     rows = [(k, "c", "s", "abcdefghij" * 10 + "x" * k, k) for k in range(3)] + [(9, "c", "s", "zzz", 9)]
-    near = si.near_duplicates(spark.createDataFrame(rows, "id int, cwe string, source string, code string, ord int"))
+    near = pairs.near_duplicates(spark.createDataFrame(rows, "id int, cwe string, source string, code string, ord int"))
     assert sorted((r.id1, r.id2) for r in near.collect()) == [(0, 1), (0, 2), (1, 2)]
-    assert sorted(r.id for r in si.greedy_dedup(spark.createDataFrame(rows, "id int, cwe string, source string, code string, ord int")).collect()) == [0, 9]
+    assert sorted(r.id for r in pairs.greedy_dedup(spark.createDataFrame(rows, "id int, cwe string, source string, code string, ord int")).collect()) == [0, 9]
 
 
-def test_similar_pairs_and_greedy_against_brute_force(spark, monkeypatch):
-    """All pairs over the threshold, over blocks and bands; and rows that no kept one before them is like."""
+def test_similar_pairs_and_greedy_against_brute_force(spark):
+    """All pairs over the threshold; and rows that no kept one before them is like."""
     rng = random.Random(4)
     texts = []
     for _ in range(12):
@@ -103,21 +104,20 @@ def test_similar_pairs_and_greedy_against_brute_force(spark, monkeypatch):
     texts += [texts[3], texts[3], "", "", "a"]
     rows = [(k, rng.choice("pq"), t, k) for k, t in enumerate(texts)] + [(900, "p", None, 900)]
     df = spark.createDataFrame(rows, "id int, cwe string, code string, ord int")
-    monkeypatch.setattr(si, "BLOCK", 7)
     first = {}
     for k, t in enumerate(texts):
         first.setdefault(t, k)
     ids = sorted(first.values())
     ratios = {(i, j): SequenceMatcher(None, texts[i], texts[j]).ratio() for i in ids for j in ids if i < j}
     want = {p for p, r in ratios.items() if r > 0.9} | {(first[t], k) for k, t in enumerate(texts) if first[t] != k}
-    got = {(r.id1, r.id2): r.ratio for r in si.near_duplicates(df).collect()}
+    got = {(r.id1, r.id2): r.ratio for r in pairs.near_duplicates(df).collect()}
     assert set(got) == want and len(want) > 15 and all(got[p] == ratios.get(p, 1.0) for p in got)
     kept = []
     for _, cwe, t, k in rows:
         old = [o for o, c in kept if c == cwe]
         if t is None or not any(SequenceMatcher(None, t, texts[o]).ratio() > 0.95 for o in old if o < 900):
             kept.append((k, cwe))
-    assert sorted(r.ord for r in si.greedy_dedup(df).collect()) == sorted(k for k, _ in kept)
+    assert sorted(r.ord for r in pairs.greedy_dedup(df).collect()) == sorted(k for k, _ in kept)
 
 
 def test_sources_from_outside(spark, tmp_path):
