@@ -517,7 +517,8 @@ def _windows(dealt: DataFrame) -> DataFrame:
                 own = [np.unique(windows(stream, words, site)[2])]
                 own += [np.unique(_block_hashes([t for p, t in cut if p in places], site)) for places in (("article", "main"), ("noise",))]
                 sizes = [len(h) for h in own]
-                found.append((np.concatenate(own), np.repeat(whole, sum(sizes)), np.repeat([0, 1, 2], sizes), np.full(sum(sizes), k)))
+                streams = np.repeat(np.array([whole[0], 0, 0], dtype=np.uint64), sizes)  # pages count for windows only
+                found.append((np.concatenate(own), streams, np.repeat([0, 1, 2], sizes), np.full(sum(sizes), k)))
             if found:
                 h, whole, place, k = (np.concatenate(c) for c in zip(*found, strict=True))
                 at = pa.array(k.astype(np.int64))
