@@ -71,7 +71,8 @@ def _script_table() -> np.ndarray:
     table[[k for k in range(len(table)) if unicodedata.category(chr(k))[0] == "L"]] = OTHER
     for k, (_, ranges) in enumerate(SCRIPTS):
         for a, b in ranges:
-            table[a : b + 1] = k + 1
+            part = table[a : b + 1]
+            part[part > 0] = k + 1  # a range also holds signs that are no letters
     return table
 
 
@@ -280,12 +281,13 @@ def _count(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, most: int = MAX_TRAIN) -> Model:
-    """Learn from the documents with a text and a lang: most of them at most."""
+    """Learn from the documents with a text and a lang: most ids at most, and one row of an id, that of the least text."""
     small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    chosen = known.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
-    rows = _count(chosen).toPandas()
+    ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = known.join(F.broadcast(ids), "doc_id", "left_semi")
+    one = chosen.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("one")).select("one.*")
+    rows = _count(one).toPandas()
     size = rows[rows.k == -1].groupby("lang").n.sum()
     names = sorted(size.index)
     table = np.zeros((len(SIZES), SLOTS, len(names)), dtype=np.float32)

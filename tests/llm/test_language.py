@@ -92,3 +92,19 @@ def test_undivided_path_equals_segments():
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert op2_language_id(spark, str(tmp_path)).count() == 0
+
+
+def test_signs_in_a_scripts_range_are_no_letters(spark):
+    rows = [(k, "the cat sat on the mat " * 3, "en") for k in range(8)] + [(100, "϶϶϶ ϶", None), (101, "×÷ ×", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(docs, fit(docs)).where("doc_id >= 100").collect()}
+    assert got == {100: ("und", 0.0), 101: ("und", 0.0)}
+
+
+def test_repeated_ids_train_once(spark):
+    """Rows that share an id count as one, so the bound on ids bounds rows."""
+    rows = [(1, "aa bb cc", "x")] * 50 + [(1, "zz", "y"), (2, "dd ee", "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    once = spark.createDataFrame([(1, "aa bb cc", "x"), (2, "dd ee", "y")], "doc_id bigint, text string, lang string")
+    one, two = fit(docs), fit(once)
+    assert one.languages == two.languages == ("x", "y") and np.array_equal(one.table, two.table)
