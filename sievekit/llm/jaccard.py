@@ -348,8 +348,12 @@ def _suffix_filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> Data
     )
 
 
+#: Bytes of unpacked texts that are compared at once.
+VERIFIED_BYTES = 2 << 20
+
+
 def _blobs(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """sig and the compressed text of the wanted classes, one text a class and task."""
+    """sig, the compressed text and its length of the wanted classes, one text a class and task."""
     small = wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     spark = rows.sparkSession
     picked = None
@@ -361,27 +365,43 @@ def _blobs(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         chosen = set(picked.value.tolist()) if picked is not None else None
         seen: set[bytes] = set()
         for _, texts in slices(batches, "_text", 1 << 20):
-            sigs, blobs = [], []
+            sigs, blobs, sizes = [], [], []
             for text, s in zip(texts, text_sets(texts, size), strict=True):
                 sig = signature(s)
                 if len(s) and sig not in seen and (chosen is None or sig.rstrip(b"\0") in chosen):
                     seen.add(sig)
                     sigs.append(sig)
                     blobs.append(zlib.compress(text, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(blobs, pa.binary())], names=["sig", "blob"])
+                    sizes.append(len(text))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sigs, pa.binary()), pa.array(blobs, pa.binary()), pa.array(sizes, pa.int64())], names=["sig", "blob", "bytes"]
+            )
 
-    found = rows.select("_text").mapInArrow(run, "sig binary, blob binary")
+    found = rows.select("_text").mapInArrow(run, "sig binary, blob binary, bytes bigint")
     return found if small else found.join(wanted, "sig", "left_semi")
 
 
+def stretches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes add up to no more than most, or of a single larger row."""
+    begin, total = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if total and total + n > most:
+            yield begin, k
+            begin, total = k, 0
+        total += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
 def _verified(pairs: DataFrame, blobs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs that are similar."""
+    """The pairs that are similar: texts of VERIFIED_BYTES are unpacked at once, or one pair of longer ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
+            sizes = b.column(4).to_numpy() + b.column(5).to_numpy()
+            for at, upto in stretches(sizes, VERIFIED_BYTES):
+                part = b.slice(at, upto - at)
                 texts = [zlib.decompress(x) for k in (2, 3) for x in part.column(k).to_pylist()]
                 sets = text_sets(texts, size)
                 for one, two in zip(sets[: part.num_rows], sets[part.num_rows :], strict=True):
@@ -389,9 +409,9 @@ def _verified(pairs: DataFrame, blobs: DataFrame, size: int, percent: int) -> Da
                     keep.append((100 + percent) * both >= percent * (len(one) + len(two)))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    one = blobs.select(F.col("sig").alias("a"), F.col("blob").alias("x"))
-    two = blobs.select(F.col("sig").alias("b"), F.col("blob").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    one = blobs.select(F.col("sig").alias("a"), F.col("blob").alias("x"), F.col("bytes").alias("n1"))
+    two = blobs.select(F.col("sig").alias("b"), F.col("blob").alias("y"), F.col("bytes").alias("n2"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "n1", "n2").mapInArrow(run, "a binary, b binary")
 
 
 def _links(pairs: DataFrame, blobs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:

@@ -138,3 +138,15 @@ def test_sketch_sums_all_tasks(spark, monkeypatch):
         assert len(counts) > 9 and max(counts.values()) > 4
         assert all(got[s] == int(jaccard.STEPS * np.log2(n)) for s, n in counts.items())
         assert np.count_nonzero(got) == sum(n > 1 for n in counts.values())
+
+
+def test_long_texts_are_verified_in_turn(spark, monkeypatch):
+    """Long texts that pack to little are unpacked by their true length."""
+    assert list(jaccard.stretches(np.array([3, 3, 9, 1, 1, 1]), 6)) == [(0, 2), (2, 3), (3, 6)]
+    assert list(jaccard.stretches(np.array([], dtype=np.int64), 6)) == []
+    monkeypatch.setattr(jaccard, "VERIFIED_BYTES", 1)
+    base = [f"w{k % 5000}" for k in range(20_000)]
+    rows = [(k, " ".join(base[: 20_000 - 100 * k])) for k in range(6)] + [(9, "a b c d e")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.link(frame).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 9: 9}
