@@ -1,8 +1,8 @@
 """Layered classification of failing tests.
 
-Rules are data: for each operator regular expressions (layer operator_keyword), literal
-payloads (attack_payload) and mock attributes (mock_observability). A default table
-serves the tests; production tables come as a parameter, from JSON or a DataFrame.
+Rules are data, a row an operator: regular expressions (layer operator_keyword), literal
+payloads (attack_payload) and mock attributes (mock_observability). They are read from a file
+or given as a table, and joined with the errors by operator.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import json
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the classification.
@@ -45,67 +45,68 @@ class Rules:
         return cls(**json.loads(text))
 
 
-#: A small table, enough for the golden cases; production tables come by Rules.from_json.
-DEFAULT = Rules(
-    keywords={
-        "PSQLI": ["parameterized", "prepared", "placeholder", "sql", "inject", "string.*concat", "execute", "cursor", "database"],
-        "CMDINJECT": ["shell", "command", "inject", "subprocess", "shlex", "popen", "os.system"],
-        "PATHCONCAT": ["traversal", r"\.\./", "path", "realpath", "normalize", "directory", "startswith"],
-        "EVALINJECT": ["eval", "code execution"], "OPENREDIRECT": ["redirect"], "NOCERTVALID": ["certificate", "ssl", "tls"],
-        "INFOEXPOSE": ["expos", "stack trace"], "REGEXDOS": ["regex", "backtrack"], "MISSINGAUTH": ["authoriz", "permission"],
-        "WEAKCRYPTO": ["md5", "sha1", "weak.*algorithm", "hash", "encrypt", "bcrypt", "salt"],
-    },
-    payloads={
-        "RVALID": ["<script", "</script>", "javascript:", "onerror="],
-        "PATHCONCAT": ["../", "/etc/passwd"],
-        "PSQLI": ["' OR '1'='1", "'; DROP", "UNION SELECT"],
-    },
-    mocks={"PSQLI": {"db": ["last_query", "last_params", "query_count"]}, "CMDINJECT": {"subprocess": ["last_shell", "last_command"]}},
-)
+RULES_SCHEMA = "operator string, pattern string, payloads array<string>, mocks map<string,array<string>>"
+#: Most rows of rules that are broadcast; beyond, they are joined by a shuffle.
+MAX_BROADCAST = 10_000
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The rule table of a JSON file: an object with keywords, payloads (operator -> list) and mocks (operator -> mock -> list)."""
+    return rule_table(spark, Rules.from_json(spark.read.text(path, wholetext=True).first()[0]))
+
+
+def rule_table(spark: SparkSession, rules: Rules) -> DataFrame:
+    """operator, pattern (any of its regular expressions), payloads (lower case), mocks."""
+    names = sorted({*rules.keywords, *rules.payloads, *rules.mocks})
+    rows = [
+        (n, "|".join(f"(?:{x})" for x in rules.keywords.get(n, [])) or None, [x.lower() for x in rules.payloads.get(n, [])], {k: sorted(x) for k, x in rules.mocks.get(n, {}).items()})
+        for n in names
+    ]
+    return spark.createDataFrame(rows, RULES_SCHEMA)
 
 
 def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
-def _by_operator(operator: Column, table: dict, hit) -> Column:
-    """Whether the operator's own entries hit."""
-    out = F.lit(False)
-    for name in sorted(table, reverse=True):
-        out = F.when(operator == name, _any([hit(x) for x in table[name]])).otherwise(out)
-    return F.coalesce(out, F.lit(False))
+def with_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """rows (operator) with their operator's pattern, payloads and mocks in a struct _rule; null where it has none."""
+    own = rules.select(F.col("operator").alias("_operator"), F.struct("pattern", "payloads", "mocks").alias("_rule"))
+    if rules.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        own = F.broadcast(own)
+    return rows.join(own, rows["operator"] == F.col("_operator"), "left").drop("_operator")
 
 
-def classify(error: Column, operator: Column, mock_access: Column | None = None, rules: Rules = DEFAULT) -> Column:
-    """Struct (kill_type, layer) of a failing test's error; mock_access: map of arrays or null."""
-    low = F.lower(error)
+def _observed(access: Column, mocks: Column) -> Column:
+    """Whether a mock's attributes that were read (a map of arrays) are among those of the rules."""
+    return F.exists(F.map_keys(mocks), lambda m: F.coalesce(F.arrays_overlap(F.try_element_at(access, m), F.try_element_at(mocks, m)), F.lit(False)))
+
+
+def classify(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """rows (error, operator, mock_access: map of arrays or null) with kill_type and layer."""
 
     def said(kind: str, layer: str) -> Column:
         return F.struct(F.lit(kind).alias("kill_type"), F.lit(layer).alias("layer"))
 
+    def holds(condition: Column) -> Column:
+        return F.coalesce(condition, F.lit(False))
+
+    error, rule = F.col("error"), F.col("_rule")
+    low = F.lower(error)
     crash = _any([error.contains(n) for n in CRASH_NAMES]) | _any([low.contains(x) for x in CRASH_FRAGMENTS])
     assertion = error.contains("AssertionError") | error.contains("Assertion failed")
-    seen = F.lit(False)
-    if mock_access is not None:
-        for name, mocks in rules.mocks.items():
-            for mock, attributes in mocks.items():
-                used = F.arrays_overlap(F.try_element_at(mock_access, F.lit(mock)), F.array(*map(F.lit, attributes)))
-                seen = seen | ((operator == name) & F.coalesce(used, F.lit(False)))
-    seen = F.coalesce(seen, F.lit(False))
-    return (
+    kind = (
         F.when(error.isNull() | (error == ""), said("other", "none"))
         .when(crash, said("crash", "crash"))
         .when(low.contains("did not raise"), said("functional", "functional"))
-        .when(assertion & seen, said("semantic", "mock_observability"))
-        .when(assertion & _by_operator(operator, rules.keywords, lambda x: low.rlike(x)), said("semantic", "operator_keyword"))
-        .when(assertion & _any([low.contains(x) for x in GENERIC]), said("semantic", "generic_keyword"))
-        .when(
-            assertion & _by_operator(operator, rules.payloads, lambda x: low.contains(x.lower())),
-            said("semantic", "attack_payload"),
-        )
-        .when(assertion, said("assertion_incidental", "none"))
-        .otherwise(said("other", "none"))
+        .when(~assertion, said("other", "none"))
+        .when(holds(_observed(F.col("mock_access"), rule["mocks"])), said("semantic", "mock_observability"))
+        .when(holds(F.rlike(low, rule["pattern"])), said("semantic", "operator_keyword"))
+        .when(_any([low.contains(x) for x in GENERIC]), said("semantic", "generic_keyword"))
+        .when(holds(F.exists(rule["payloads"], lambda x: low.contains(x))), said("semantic", "attack_payload"))
+        .otherwise(said("assertion_incidental", "none"))
     )
+    return with_rules(rows, rules).withColumn("_kind", kind).select(*(rows[c] for c in rows.columns), "_kind.*")
 
 
 def priority(kind: Column) -> Column:
@@ -166,11 +167,7 @@ def test_validity(rows: DataFrame) -> DataFrame:
     return rows.withColumn("category", error_category(F.col("error"))).rollup("file", "category").agg(F.count("*").alias("n"))
 
 
-def mock_hits(mutants: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+def mock_hits(mutants: DataFrame, rules: DataFrame) -> DataFrame:
     """Mutants (operator, mock_access: map of arrays) whose tests read a mock's security attribute of their operator."""
-    spark = mutants.sparkSession
-    wanted = [(o, m, a) for o, mocks in sorted(rules.mocks.items()) for m, a in sorted(mocks.items())]
-    table = spark.createDataFrame(wanted, "operator string, _mock string, _attributes array<string>")
-    used = F.arrays_overlap(F.try_element_at("mock_access", F.col("_mock")), F.col("_attributes"))
-    # The rules are a parameter of the call, so their size is known here.
-    return mutants.join(F.broadcast(table), (mutants["operator"] == table["operator"]) & used, "left_semi")
+    own = with_rules(mutants, rules)
+    return own.where(_observed(F.col("mock_access"), F.col("_rule.mocks"))).select(*(mutants[c] for c in mutants.columns))

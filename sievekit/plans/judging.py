@@ -9,52 +9,58 @@ from sievekit.operators import curation as k
 from sievekit.operators import findings as fi
 from sievekit.operators import judges as j
 from sievekit.operators import kills
+from sievekit.operators import mutation as mu
 from sievekit.plans import views as v
 from sievekit.session import table
 
-#: (operator, error, mock_access as JSON, kill_type, layer): golden cases.
-GOLDEN = (
-    ("PSQLI", "AssertionError: SQL injection detected", "{}", "semantic", "operator_keyword"),
-    ("CMDINJECT", "AssertionError: Command injection in shell", "{}", "semantic", "operator_keyword"),
-    ("PATHCONCAT", "AssertionError: path traversal detected", "{}", "semantic", "operator_keyword"),
-    ("PSQLI", "AssertionError: test failed", '{"db": ["last_query", "last_params"]}', "semantic", "mock_observability"),
-    ("PSQLI", "ImportError: No module named 'foo'", "{}", "crash", "crash"),
-    ("PSQLI", "AssertionError: expected True, got False", "{}", "assertion_incidental", "none"),
-    ("WEAKCRYPTO", "Failed: DID NOT RAISE <class 'ValueError'>", "{}", "functional", "functional"),
-    ("WEAKCRYPTO", "AssertionError: assert '<script>' not in output", "{}", "assertion_incidental", "none"),
-    ("RVALID", "AssertionError: assert '<script>' not in output", "{}", "semantic", "attack_payload"),
-    ("PSQLI", "AssertionError: result is not secure enough", "{}", "semantic", "generic_keyword"),
-    (None, "AssertionError: unsafe operation detected", "{}", "semantic", "generic_keyword"),
-    ("EVALINJECT", "AssertionError: eval injection detected in code", "{}", "semantic", "operator_keyword"),
-    ("OPENREDIRECT", "AssertionError: redirect URL not validated", "{}", "semantic", "operator_keyword"),
-    ("NOCERTVALID", "AssertionError: SSL certificate verification disabled", "{}", "semantic", "operator_keyword"),
-    ("INFOEXPOSE", "AssertionError: error message exposes stack trace", "{}", "semantic", "operator_keyword"),
-    ("REGEXDOS", "AssertionError: regex pattern vulnerable to backtracking", "{}", "semantic", "operator_keyword"),
-    ("MISSINGAUTH", "AssertionError: authorization check missing", "{}", "semantic", "operator_keyword"),
-    ("PSQLI", "", "{}", "other", "none"),
-    ("PSQLI", "ValueError: odd", "{}", "other", "none"),
-    ("PSQLI", "E   error collecting tests", "{}", "crash", "crash"),
-)
-
-
-def golden(spark):
-    """The golden cases as a DataFrame."""
-    rows = spark.createDataFrame(GOLDEN, "operator string, error string, access string, kill_type string, layer string")
-    return rows.withColumn("access", F.from_json("access", "map<string,array<string>>"))
-
-
-def _classified(spark, _):
-    rows = golden(spark)
-    c = kills.classify(F.col("error"), F.col("operator"), F.col("access"))
-    return rows.select("operator", "error", c["kill_type"].alias("kill_type"), c["layer"].alias("layer"))
-
-
-def _golden_sql() -> str:
-    def q(x: str | None) -> str:
-        return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
-
-    rows = ", ".join(f"({q(o)}, {q(e)}, {q(kt)}, {q(la)})" for o, e, _, kt, la in GOLDEN)
-    return f"SELECT * FROM (VALUES {rows}) AS g(operator, error, kill_type, layer)"
+#: Words and payloads that texts of the tables have, dealt to the operators by their number.
+_SIGNS = ("tion", "the [a-z]+ing", "eau", "sch", "password", "[0-9]{4}", "qu", "und ", "les ", "email")
+_PAYLOADS = ("A", "zz", "(C)", "x@")
+_OPERATORS = tuple(mu.TARGETS)
+
+
+def _operator_rules() -> kills.Rules:
+    """Rules for each of the operators: two signs, a payload, a mock."""
+    return kills.Rules(
+        keywords={n: [_SIGNS[k % 10], _SIGNS[(3 * k + 1) % 10]] for k, n in enumerate(_OPERATORS)},
+        payloads={n: [_PAYLOADS[k % 4]] for k, n in enumerate(_OPERATORS)},
+        mocks={n: {"db": ["last_query", "rows"]} if k % 2 else {"fs": ["path"]} for k, n in enumerate(_OPERATORS)},
+    )
+
+
+#: What comes before a text to make it a test's error, by the id.
+_BEGINNINGS = ("AssertionError: ", "Assertion failed ", "", "TypeError: ", "Failed: DID NOT RAISE ", "AssertionError ", "AssertionError: assert ")
+
+
+def _errors(s, d):
+    """The documents' texts as errors of the operators' mutants."""
+    number = F.col("doc_id") % len(_OPERATORS)
+    begin = F.element_at(F.array(*map(F.lit, _BEGINNINGS)), (F.col("doc_id") % len(_BEGINNINGS) + 1).cast("int"))
+    operator = F.when(F.col("doc_id") % 37 > 0, F.element_at(F.array(*map(F.lit, _OPERATORS)), (number + 1).cast("int")))
+    access = F.when(F.col("doc_id") % 5 == 0, F.create_map(F.lit("db"), F.array(F.lit("rows")))).when(F.col("doc_id") % 5 == 1, F.create_map(F.lit("fs"), F.array(F.lit("size"))))
+    return table(s, d, "documents").select("doc_id", F.concat(begin, "text").alias("error"), operator.alias("operator"), access.alias("mock_access"))
+
+
+def _classified(s, d):
+    return kills.classify(_errors(s, d), kills.rule_table(s, _operator_rules())).select("doc_id", "operator", "kill_type", "layer")
+
+
+def _classified_sql() -> str:
+    rules = ", ".join(f"({k}, '{n}', '{_SIGNS[k % 10]}', '{_SIGNS[(3 * k + 1) % 10]}', '{_PAYLOADS[k % 4].lower()}')" for k, n in enumerate(_OPERATORS))
+    begin = " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_BEGINNINGS))
+
+    def any_of(column: str, words: tuple) -> str:
+        quoted = (w.replace("'", "''") for w in words)
+        return "(" + " OR ".join(f"contains({column}, '{w}')" for w in quoted) + ")"
+
+    return f"""WITH r(k, operator, p1, p2, payload) AS (VALUES {rules}),
+      e AS (SELECT doc_id, (CASE doc_id % {len(_BEGINNINGS)} {begin} END) || text AS error, CASE WHEN doc_id % 37 > 0 THEN doc_id % {len(_OPERATORS)} END AS k FROM documents),
+      j AS (SELECT doc_id, operator, error, lower(error) AS low, e.k, p1, p2, payload FROM e LEFT JOIN r ON e.k = r.k),
+      c AS (SELECT doc_id, operator, CASE WHEN coalesce(error, '') = '' THEN 'other none' WHEN {any_of('error', kills.CRASH_NAMES)} OR {any_of('low', kills.CRASH_FRAGMENTS)} THEN 'crash crash'
+        WHEN contains(low, 'did not raise') THEN 'functional functional' WHEN NOT (contains(error, 'AssertionError') OR contains(error, 'Assertion failed')) THEN 'other none'
+        WHEN k % 2 = 1 AND doc_id % 5 = 0 THEN 'semantic mock_observability' WHEN regexp_matches(low, p1) OR regexp_matches(low, p2) THEN 'semantic operator_keyword'
+        WHEN {any_of('low', kills.GENERIC)} THEN 'semantic generic_keyword' WHEN contains(low, payload) THEN 'semantic attack_payload' ELSE 'assertion_incidental none' END AS x FROM j)
+      SELECT doc_id, operator, split_part(x, ' ', 1) AS kill_type, split_part(x, ' ', 2) AS layer FROM c"""
 
 
 def _answers(s, d):
@@ -147,7 +153,7 @@ COMBINE = f"""{v.judge_sql('user', 'sec')}, {v.judge_sql('assistant', 'qual')},
     coalesce(sec.raw / 100.0, 0) * 0.6 + coalesce(qual.raw / 100.0, 0) * 0.4 AS composite FROM sec FULL JOIN qual ON sec.sample_id = qual.sample_id)"""
 
 ORACLE = {
-    "x08_classify_kill": _golden_sql(),
+    "x08_classify_kill": _classified_sql(),
     "w09_best_kill": f"""WITH {v.MUTANT}, p AS (SELECT sample_id, seq % 3 AS mutant, seq, kill_type, layer, row_number() OVER (PARTITION BY sample_id, seq % 3
       ORDER BY CASE kill_type WHEN 'semantic' THEN 5 WHEN 'functional' THEN 4 WHEN 'assertion_incidental' THEN 3 WHEN 'crash' THEN 2 ELSE 1 END DESC, seq) AS r FROM v_mutant)
       SELECT sample_id, mutant, kill_type, layer, seq AS test_seq FROM p WHERE r = 1""",

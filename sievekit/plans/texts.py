@@ -84,7 +84,7 @@ def _mocked(s, d):
     access = F.when(F.col("layer") == "mock_observability", F.create_map(F.lit("db"), F.array(F.lit("last_query"), F.lit("x")))).when(
         F.col("kill_type") == "crash", F.create_map(F.lit("fs"), F.array(F.lit("path")))
     )
-    return kills.mock_hits(v.mutant(s, d).withColumn("mock_access", access), kills.Rules(mocks={"AF": {"db": ["last_query"]}, "NO": {"db": ["y"], "fs": ["path"]}}))
+    return kills.mock_hits(v.mutant(s, d).withColumn("mock_access", access), kills.rule_table(s, kills.Rules(mocks={"AF": {"db": ["last_query"]}, "NO": {"db": ["y"], "fs": ["path"]}})))
 
 
 def _sources(s, d):
