@@ -84,7 +84,8 @@ TOPICS = frozenset("cookie cookies consent gdpr notice notices copyright menu na
 #: Elements whose content is dropped even if they are never closed; others are then as if they were not there.
 ENDLESS = frozenset("script style textarea title".split())
 
-_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?])")
+#: A tag's start, and its rest if that has no quotes.
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)(?:([^\"'>]*+)>)?|!--|[!?])")
 _STOP = re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-hidden|hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/]|$))""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
@@ -206,11 +207,17 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if m is None:
             pieces.append(page[at:])
             break
-        if m[0] == "<!--":
-            end = page.find("-->", m.end())
-            end = size if end < 0 else end + 3
-        else:
-            end = tags.end(m.end()) if m[2] else page.find(">", m.end()) + 1 if m.end() <= tags.last[">"] else -1
+        ends, name, attributes = m.groups()
+        end = m.end()
+        if name is None:
+            if m[0] == "<!--":
+                end = page.find("-->", end)
+                end = size if end < 0 else end + 3
+            else:
+                end = page.find(">", end) + 1 if end <= tags.last[">"] else -1
+        elif attributes is None:
+            end = tags.end(end)
+            attributes = page[m.end() : end - 1]
         if end < 0:  # text, as nothing ends it; a comment may follow
             begin = page.find("<!--", m.end())
             if begin < 0:
@@ -220,9 +227,9 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if m.start() > at:
             pieces.append(page[at : m.start()])
         at = begin = end
-        if not m[2]:
+        if name is None:
             continue
-        name, attributes, ends = m[2].lower(), page[m.end() : end - 1], bool(m[1])
+        name = name.lower()
         if name in RAW:
             if not ends and not attributes.endswith("/"):
                 close = None if name in unclosed else re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
@@ -235,11 +242,10 @@ def blocks(page: str) -> list[tuple[str, str]]:
             if name == "br":
                 pieces.append(" ")
             if ends:
-                k = stack.last({name})
-                if k >= 0:
+                if open_at := stack.where.get(name):
                     flush()
-                    if k > stack.innermost_block():
-                        stack.cut(k)
+                    if open_at[-1] > stack.innermost_block():
+                        stack.cut(open_at[-1])
                     place = stack.top()[1]
             elif attributes and name not in VOID:
                 noise, kind = _marks(attributes, place in ("article", "main"))
@@ -250,13 +256,11 @@ def blocks(page: str) -> list[tuple[str, str]]:
             continue
         flush()
         if ends:
-            k = stack.last({name})
-            if k >= 0:
-                stack.cut(k)
+            if open_at := stack.where.get(name):
+                stack.cut(open_at[-1])
         elif name != "hr":
-            k = stack.last({"p"})
-            if k >= 0 and k == stack.innermost_block():
-                stack.cut(k)
+            if (open_at := stack.where.get("p")) and open_at[-1] == stack.blocks[-1]:
+                stack.cut(open_at[-1])
             if name in CLOSES:
                 names, until = CLOSES[name]
                 k = stack.last(names)
@@ -443,10 +447,10 @@ def host_of(url: Column) -> Column:
 
 
 def _hashes(texts: list[str]) -> np.ndarray:
-    data = [t.encode("utf-8", "replace") for t in texts]
-    end = np.cumsum([len(d) for d in data])
-    joined = np.frombuffer(b"".join(data), dtype=np.uint8)
-    return span_hash(joined, end - [len(d) for d in data], end)
+    """Hashes of texts without line feeds."""
+    joined = np.frombuffer("\n".join([*texts, ""]).encode("utf-8", "replace"), dtype=np.uint8)
+    end = np.flatnonzero(joined == 10)
+    return span_hash(joined, np.concatenate([[0], end[:-1] + 1]), end) if texts else np.zeros(0, dtype=np.uint64)
 
 
 #: What the hash of a noise block's text differs by from that of a run of the same tokens.
@@ -500,7 +504,7 @@ def choose(pages: list[list[tuple[str, str]]], site: int = 0, repeated: np.ndarr
 def _stream(parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a page's tokens, and their numbers of words."""
     flat = [t for part in parts for t in part]
-    words = np.array([len(t.split()) for t in flat], dtype=np.int64)
+    words = np.array([t.count(" ") + 1 for t in flat], dtype=np.int64)  # white space is single blanks
     return _hashes(flat) if flat else np.zeros(0, dtype=np.uint64), words
 
 
