@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievekit.functions.code import UNREADABLE, compiles
 from sievekit.operators.curation import normalised, without_comments
 from sievekit.operators.judges import has_real_assertion
-from sievekit.operators.rules import call_arguments, parameters
 
 #: Words in the name of a collection's own sources; further ones are a parameter.
 OWN_SOURCES = ("Template",)
@@ -21,17 +21,13 @@ ISSUE = "array<struct<severity string, category string, message string>>"
 @F.pandas_udf(T.BooleanType())
 def py_compiles(code: pd.Series) -> pd.Series:
     """Whether this Python takes the code; null and empty code does not."""
+    return code.map(lambda text: bool(text and text.strip()) and compiles(text))
 
-    def one(text: str | None) -> bool:
-        if not text or not text.strip():
-            return False
-        try:
-            compile(text, "<code>", "exec")
-        except (SyntaxError, ValueError):
-            return False
-        return True
 
-    return code.map(one)
+@F.pandas_udf(T.BooleanType())
+def broken(code: pd.Series) -> pd.Series:
+    """Whether this Python does not take the code; null and blank code is not broken."""
+    return code.map(lambda text: not compiles(text or ""))
 
 
 #: Nodes that count as branches, and factors by weakness: fixed values.
@@ -49,7 +45,7 @@ def ast_counts(code: pd.Series) -> pd.DataFrame:
         branches = calls = depth = 0
         try:
             level = [ast.parse(text)]
-        except (SyntaxError, ValueError, RecursionError):
+        except UNREADABLE:
             level = []
         while level:
             branches += sum(isinstance(n, BRANCHES) for n in level)
@@ -90,7 +86,7 @@ def rename_identifiers(code: pd.Series, salt: pd.Series) -> pd.DataFrame:
     for text, s in zip(code, salt, strict=True):
         try:
             tree = ast.parse(text or "")
-        except (SyntaxError, ValueError):
+        except UNREADABLE:
             rows.append((text, {}))
             continue
         stored = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
@@ -222,22 +218,47 @@ INSECURE = {
 }
 
 
+def passes_arguments(tests: Column, name: Column) -> Column:
+    """Whether a text calls the name with something that begins like an argument: a word or a quote."""
+    quoted = F.concat(F.lit(r"(?s).*(?<![\p{L}\p{N}_])\Q"), name, F.lit(r"\E\s*\(\s*[\"'\p{L}\p{N}_].*"))
+    return F.rlike(tests, quoted)
+
+
+@F.pandas_udf(T.IntegerType())
+def positional(code: pd.Series, name: pd.Series) -> pd.Series:
+    """How many named parameters the first function of a name has, but for a first self; -1 without such a function."""
+
+    def one(text: str | None, wanted: str | None) -> int:
+        try:
+            tree = ast.parse(text or "")
+        except UNREADABLE:
+            return -1
+        for node in ast.walk(tree):
+            if isinstance(node, ast.FunctionDef) and node.name == wanted:
+                own = node.args.args
+                return len(own) - bool(own and own[0].arg == "self")
+        return -1
+
+    return pd.Series([one(c, n) for c, n in zip(code, name, strict=True)], dtype="int32")
+
+
 def final_reason(samples: DataFrame, patterns: dict[str, list[str]] = INSECURE) -> DataFrame:
     """samples with drop_reason, the first of the final checks that fails; null if none does.
 
-    Columns: cwe, entry_point, secure_code, insecure_code, security_tests, operators_apply and
-    n_mutants (of the sample's operators), secure_passes and insecure_passes (of its tests).
+    Columns: cwe, entry_point, secure_code, insecure_code, functional_tests (may be missing),
+    security_tests, operators_apply and n_mutants (of the sample's operators), secure_passes and
+    insecure_passes (of its tests). Codes that differ in comments only differ; an entry point that
+    takes no argument must get none from the tests, others may have defaults. Operators that apply
+    to nothing make no mutants and count as that.
     """
-    blank = {c: F.trim(F.coalesce(c, F.lit(""))) == "" for c in ("secure_code", "insecure_code")}
+    blank = {c: normalised(F.coalesce(c, F.lit(""))) == "" for c in ("secure_code", "insecure_code")}
     secure_ok, insecure_ok = F.col("secure_passes"), F.col("insecure_passes")
-    declared = F.size(parameters(F.col("secure_code"), F.col("entry_point")))
-    called = call_arguments(F.col("security_tests"), F.col("entry_point"))
+    tests = F.concat(F.coalesce("functional_tests", F.lit("")) if "functional_tests" in samples.columns else F.lit(""), F.coalesce("security_tests", F.lit("")))
     checks = {
         "empty_code": blank["secure_code"] | blank["insecure_code"],
-        "no_operators_fire": ~F.col("operators_apply"),
-        "no_mutants_produced": F.col("n_mutants") == 0,
-        "trivial_diff": without_comments(F.col("secure_code")) == without_comments(F.col("insecure_code")),
-        "signature_mismatch": (called >= 0) & (called != declared),
+        "no_mutants_produced": ~F.col("operators_apply") | (F.col("n_mutants") == 0),
+        "trivial_diff": normalised(F.col("secure_code")) == normalised(F.col("insecure_code")),
+        "signature_mismatch": (F.coalesce("entry_point", F.lit("")) != "") & (positional(F.col("secure_code"), F.col("entry_point")) == 0) & passes_arguments(tests, F.col("entry_point")),
         "insecure_secure_code": insecure_pattern(F.col("secure_code"), F.col("cwe"), patterns),
         "tautological_security_test": ~has_real_assertion(F.col("security_tests")),
         "vd_both_pass": secure_ok & insecure_ok, "vd_both_fail": ~secure_ok & ~insecure_ok, "vd_inverted": ~secure_ok & insecure_ok,
@@ -250,6 +271,10 @@ def drop_counts(judged: DataFrame) -> DataFrame:
     return judged.groupBy("drop_reason").agg(F.count("*").alias("n"))
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def assess(samples: DataFrame, own_source: str = "own") -> DataFrame:
     """quality_level and notes of samples, from their markers, code and tests; own_source: whose reviewed samples are curated.
 
@@ -262,13 +287,13 @@ def assess(samples: DataFrame, own_source: str = "own") -> DataFrame:
     curated = (F.col("source") == own_source) & F.coalesce("manually_reviewed", F.lit(False))
     ends = (
         F.when(secure.contains("AUTO-GENERATION FAILED"), "Secure code generation failed")
-        .when(F.trim(secure) == F.trim(insecure), "Secure code identical to insecure")
-        .when(~py_compiles(secure) | ~py_compiles(insecure), "Syntax error")
+        .when(_stripped(secure) == _stripped(insecure), "Secure code identical to insecure")
+        .when(broken(secure) | broken(insecure), "Syntax error")
     )
     noted = F.array_compact(
         F.array(
             F.when((F.coalesce("entry_point", F.lit("")) != "") & ~secure.contains(F.concat(F.lit("def "), F.col("entry_point"), F.lit("("))), F.concat(F.lit("Entry point '"), F.col("entry_point"), F.lit("' not in secure code"))),
-            *(F.when((F.coalesce(c, F.lit("")) != "") & ~py_compiles(c), F.lit(f"{c} has syntax error")) for c in ("functional_tests", "security_tests")),
+            *(F.when((F.coalesce(c, F.lit("")) != "") & broken(c), F.lit(f"{c} has syntax error")) for c in ("functional_tests", "security_tests")),
         )
     )
     marked = F.coalesce(template, F.lit(False)) | F.coalesce(curated, F.lit(False))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievekit.functions.code import parsed
 from sievekit.operators.curation import normalised
 
 
@@ -47,9 +48,8 @@ TEST_COPY = 0.85
 
 def _functions(code: str) -> list[tuple[str, str, bool]]:
     """Name, body and whether it is documented of each test function; by pattern if the code doesn't parse."""
-    try:
-        tree = ast.parse(code)
-    except (SyntaxError, ValueError):
+    tree = parsed(code)
+    if tree is None:
         found = re.finditer(r"def\s+(test_\w+)\s*\([^)]*\):\s*\n((?:\s+[^\n]+\n?)*)", code)
         return [(m[1], m[2], '"""' in m[2] or "'''" in m[2]) for m in found]
     lines = code.split("\n")
@@ -109,7 +109,7 @@ def mutation_sanity(samples: DataFrame, mutants: DataFrame, patterns: dict[str,
     held = mutants.groupBy("id").agg(F.collect_list("mutated_code").alias("_mutants"))  # a sample's mutants are bounded by generate()
     rows = samples.join(held, "id").join(F.broadcast(table), "cwe", "left")
     found = rows.withColumn("_s", sane_mutants("secure_code", "insecure_code", "_mutants", F.coalesce("_patterns", F.array().cast("array<string>"))))
-    return found.select("id", "cwe", F.size("_mutants").alias("mutants"), F.col("_s.match").alias("class_match"), F.round("_s.best", 3).alias("best_similarity"))
+    return found.select("id", "cwe", F.size("_mutants").alias("mutants"), F.col("_s.match").alias("class_match"), F.col("_s.best").alias("best_similarity"))
 
 
 def sanity_summary(checked: DataFrame) -> DataFrame:

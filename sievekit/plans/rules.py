@@ -157,9 +157,12 @@ MUTANTS = [(1, "CWE-95", _INSECURE), (1, "CWE-95", "a = 2\nx = safe(v)\n"), (2,
 
 
 def _sanity(s, d):
-    made = s.createDataFrame(MUTANTS, "id int, cwe string, mutated_code string")
-    samples = made.select("id", "cwe", F.lit(_SECURE).alias("secure_code"), F.lit(_INSECURE).alias("insecure_code")).distinct()
-    return si.mutation_sanity(samples, made.select("id", "mutated_code"), {"CWE-95": [r"EVAL\("]})
+    """Programs that quote a document's text, their insecure forms, and mutants that are like those or not."""
+    said = F.concat(F.lit("note = '"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", " "), F.lit("'\n"))
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 < 2, "CWE-95").otherwise("CWE-1").alias("cwe"), said.alias("said"))
+    samples = docs.select("id", "cwe", F.concat(F.lit("x = int(y)\n"), "said").alias("secure_code"), F.concat(F.lit("x = eval(y)\n"), "said").alias("insecure_code"))
+    first = F.when(F.col("id") % 3 == 0, "x = eval(y)\n").otherwise("x = str(y)\n")
+    return si.mutation_sanity(samples, docs.select("id", F.concat(first, "said").alias("mutated_code")), {"CWE-95": [r"EVAL\("]})
 
 
 _SEMGREP = [
@@ -212,7 +215,7 @@ QUERIES = {
     "x23_parameters": lambda s, d: cases(s, d, [x[:2] for x in PARAMETERS], "code string, name string").select("item_id", F.array_join(r.parameters(F.col("code"), F.col("name")), "|").alias("names")),
     "x22_preprocessed": lambda s, d: cases(s, d, [x[:1] for x in OLD_CODE], "code string").select("item_id", r.preprocessed(F.col("code")).alias("code")),
     "x14_restructured": _ways,
-    "a35_mutation_sanity": _sanity,
+    "a35_mutation_sanity": lambda s, d: _sanity(s, d).withColumn("best_similarity", F.round("best_similarity", 3)),
     "a35_sanity_summary": lambda s, d: si.sanity_summary(_sanity(s, d)),
     "n05_parse_semgrep": lambda s, d: fi.parse_semgrep(cases(s, d, [x[:1] for x in _SEMGREP], "json string"), keep=("item_id",)),
     "m10_assess": lambda s, d: a.assess(
@@ -221,6 +224,9 @@ QUERIES = {
     "s04_literal_field": lambda s, d: table(s, d, "benchmark").select("item_id", readers.parse_field(F.format_string("{'n': %d, 's': 'x'}", "item_id"), "n int, s string").alias("f")).select("item_id", "f.*"),
 }
 
+#: difflib's ratio of "+x = eval(y)" and "+x = str(y)": 8 of 12 and 11 characters match.
+_LIKE_EXACT = "16 / 23.0E0"
+_LIKE = f"round({_LIKE_EXACT}, 3)"
 ORACLE = {
     "x07_error_category": expected([x[1:] for x in ERRORS], "category"),
     "a16_test_validity": f"WITH e AS ({expected([x[1:] for x in ERRORS], 'category')}) SELECT file, category, count(*) AS n FROM (SELECT 'file' || (item_id % 4) AS file, category FROM e) GROUP BY ROLLUP (file, category)",
@@ -241,8 +247,8 @@ ORACLE = {
     "x23_parameters": expected([x[2:] for x in PARAMETERS], "names"),
     "x22_preprocessed": expected([x[1:] for x in OLD_CODE], "code"),
     "x14_restructured": expected([(x[1], x[3], f"structural_{x[1]}" if x[0] != "CWE-999" else "none") for x in WAYS], "way, code, name"),
-    "a35_mutation_sanity": "SELECT * FROM (VALUES (1, 'CWE-95', 2, true, 1.0::DOUBLE), (2, 'CWE-95', 1, false, 0.444::DOUBLE), (3, 'CWE-1', 1, false, 1.0::DOUBLE)) AS t(id, cwe, mutants, class_match, best_similarity)",
-    "a35_sanity_summary": "SELECT 3 AS checked, 1 AS matched, 0.815::DOUBLE AS similarity",
+    "a35_mutation_sanity": f"SELECT doc_id AS id, CASE WHEN doc_id % 3 < 2 THEN 'CWE-95' ELSE 'CWE-1' END AS cwe, 1 AS mutants, doc_id % 3 = 0 AS class_match, CASE WHEN doc_id % 3 = 0 THEN 1.0E0 ELSE {_LIKE} END AS best_similarity FROM documents",
+    "a35_sanity_summary": f"SELECT count(*) AS checked, count(*) FILTER (WHERE doc_id % 3 = 0) AS matched, round(avg(CASE WHEN doc_id % 3 = 0 THEN 1.0E0 ELSE {_LIKE_EXACT} END), 3) AS similarity FROM documents",
     "n05_parse_semgrep": expected([x[1:] for x in _SEMGREP], "rule, message, severity, line, cwe"),
     "m10_assess": expected([x[9:] for x in ASSESSED], "level, passed, notes, method"),
     "s04_literal_field": "SELECT item_id, CAST(item_id AS INT) AS n, 'x' AS s FROM benchmark",

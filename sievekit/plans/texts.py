@@ -48,12 +48,13 @@ def _final(s, d):
         "security_tests": F.when(n % 4 == 0, F.lit("pass")).otherwise(F.concat(F.lit("assert run_"), n.cast("string"), calls)),
         "operators_apply": n % 5 != 0, "n_mutants": n % 7, "secure_passes": n % 11 != 0, "insecure_passes": n % 13 == 0,
         "insecure_code": F.when(n % 17 == 3, " ").otherwise(F.col("insecure_code")),
+        "secure_code": F.when(n % 6 == 1, F.replace("secure_code", F.lit("(cursor, user, path):"), F.lit("():"))).otherwise(F.col("secure_code")),
     })
     return a.final_reason(rows, {"CWE-502": [r"json\.loads"]})
 
 
-_FINAL = """fin AS (SELECT item_id AS id, CASE WHEN item_id % 17 = 3 THEN 'empty_code' WHEN item_id % 5 = 0 THEN 'no_operators_fire' WHEN item_id % 7 = 0 THEN 'no_mutants_produced'
-  WHEN item_id % 3 < 2 THEN 'trivial_diff' WHEN item_id % 4 = 1 THEN 'signature_mismatch' WHEN item_id % 2 = 1 THEN 'insecure_secure_code' WHEN item_id % 4 = 0 THEN 'tautological_security_test'
+_FINAL = """fin AS (SELECT item_id AS id, CASE WHEN item_id % 17 = 3 THEN 'empty_code' WHEN item_id % 5 = 0 OR item_id % 7 = 0 THEN 'no_mutants_produced'
+  WHEN item_id % 3 = 0 THEN 'trivial_diff' WHEN item_id % 6 = 1 THEN 'signature_mismatch' WHEN item_id % 2 = 1 THEN 'insecure_secure_code' WHEN item_id % 4 = 0 THEN 'tautological_security_test'
   WHEN item_id % 11 <> 0 AND item_id % 13 = 0 THEN 'vd_both_pass' WHEN item_id % 11 = 0 AND item_id % 13 <> 0 THEN 'vd_both_fail' WHEN item_id % 11 = 0 AND item_id % 13 = 0 THEN 'vd_inverted' END AS drop_reason FROM benchmark)"""
 
 
@@ -207,7 +208,7 @@ ORACLE = {
         count(*) FILTER (WHERE ran AND low) * 1.0E0 / count(*) AS false_positive_rate, coalesce(any_value(rules), '') AS rules FROM (SELECT sample_id, u0.cwe, ran, low, high FROM u AS u0) AS u LEFT JOIN k ON k.cwe = u.cwe GROUP BY 1""",
     "a26_operator_diagnosis": f"""WITH {v.MUTANT}, g AS (SELECT sample_id, count(*) FILTER (WHERE killed) AS n FROM v_mutant GROUP BY 1)
       SELECT CASE WHEN sample_id % 6 > 0 THEN 'CWE-' || (sample_id % 6) ELSE 'unknown' END AS cwe, count(*) AS total_samples, 0 AS no_applies, count(*) FILTER (WHERE n = 0) AS no_mutants, CAST(sum(n) AS BIGINT) AS total_mutants FROM g GROUP BY 1""",
-    "a26_diagnose": "SELECT item_id AS id, CASE WHEN item_id % 2 = 0 THEN 'PSQLI' ELSE 'DESERIAL' END AS applying, CASE WHEN item_id % 2 = 0 THEN 'PSQLI' ELSE 'DESERIAL' END AS producing, 2 AS mutants FROM benchmark",
+    "a26_diagnose": "SELECT item_id AS id, CASE WHEN item_id % 2 = 0 THEN 'PSQLI' ELSE 'DESERIAL' END AS applying, CASE WHEN item_id % 2 = 0 THEN 'PSQLI' ELSE 'DESERIAL' END AS producing, CASE WHEN item_id % 2 = 0 THEN 4 ELSE 2 END AS mutants FROM benchmark",
     "a27_pattern_histogram": """SELECT * FROM (SELECT lang AS cwe, 'ending' AS pattern, count(*) AS n FROM documents WHERE lang = 'en' AND contains(text, 'tion') GROUP BY 1 UNION ALL SELECT lang, 'article', count(*) FROM documents WHERE lang = 'en' AND contains(text, 'the ') GROUP BY 1
       UNION ALL SELECT lang, 'water', count(*) FROM documents WHERE lang IN ('fr', 'de') AND contains(text, 'eau') GROUP BY 1 UNION ALL SELECT lang, 'sound', count(*) FROM documents WHERE lang IN ('fr', 'de') AND contains(text, 'sch') GROUP BY 1)""",
     "a36_attack_coverage": """WITH h AS (SELECT doc_id AS id, lang, contains(lower(text), 'the ') OR contains(lower(text), 'zzz') AS a, contains(lower(text), 'tion') AS b, contains(lower(text), 'qqqq') AS c, contains(lower(text), 'eau') AS d, contains(lower(text), 'le ') AS e FROM documents)
@@ -235,7 +236,7 @@ ORACLE = {
     "x27_explanation": f"WITH {v.MUTANT} SELECT DISTINCT kill_type, layer, operator, kill_type || ': ' || {_WHY} AS why FROM v_mutant",
     "d10_diff_similarity": "SELECT item_id AS id, 0.8::DOUBLE AS ratio FROM benchmark",
     "d05_test_duplicates": "SELECT item_id, CAST(2.0 * length(text) / (2 * length(text) + 1) > 0.85 AS INT) AS n FROM benchmark",
-    "w08_first_mutant_per_text": "SELECT 'PSQLI' AS operator, 2 * count(*) AS n FROM benchmark UNION ALL SELECT 'INPUTVAL', count(*) FROM benchmark",
+    "w08_first_mutant_per_text": "SELECT 'PSQLI' AS operator, 3 * count(*) AS n FROM benchmark",
     "s01_filtered": "SELECT doc_id AS id, source FROM documents WHERE n_chars < 1000 AND lang = 'en'",
     "s09_source_manager": "SELECT 'documents' AS origin, source, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY 2 UNION ALL SELECT 'benchmark', NULL, count(*) FROM benchmark",
     "s14_custom_id": "SELECT item_id, 'a__' || item_id AS sample_id, 'full' AS variant FROM benchmark",

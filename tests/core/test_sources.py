@@ -74,7 +74,7 @@ def test_mutation_rules(spark):
     assert mu.mutants("def broken(:", mu.default_rules()) == [] and len(mu.mutants(CODE, mu.default_rules(), 2)) <= 2
     df = spark.createDataFrame([("1", CODE, ["WEAKCRYPTO"]), ("2", None, None)], "id string, secure_code string, mutation_operators array<string>")
     rows = mu.generate(df).collect()
-    assert [r.operator for r in rows] == ["WEAKCRYPTO"] and "md5" in rows[0].mutated_code
+    assert [r.operator for r in rows] == ["WEAKCRYPTO"] * 2 and "md5" in rows[0].mutated_code and "sha1" in rows[1].mutated_code
 
 
 def test_every_operator_has_rules():
