@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("evaluation", "curation", "judging", "checks", "joins", "rules", "texts", "mutations")
+MODULES = ("evaluation", "curation", "judging", "checks", "joins", "rules", "texts", "mutations", "similar")
 
 
 def collect() -> tuple[dict, dict]:

@@ -13,7 +13,6 @@ from sievekit.operators import kills
 from sievekit.operators import metrics as m
 from sievekit.operators import mutation as mu
 from sievekit.operators import rules as r
-from sievekit.operators import pairs
 from sievekit.operators import similarity as si
 from sievekit.plans import checks
 from sievekit.plans import views as v
@@ -172,9 +171,6 @@ QUERIES = {
     "x27_explanation": lambda s, d: v.mutant(s, d).select("kill_type", "layer", "operator").distinct().select("kill_type", "layer", "operator", kills.explanation(F.col("kill_type"), F.col("layer"), F.col("operator")).alias("why")),
     "d10_diff_similarity": lambda s, d: checks._programs(s, d).select("id", si.diff_similarity("secure_code", _diff("x = 1"), _diff("x = 2")).alias("ratio")),
     "d05_test_duplicates": lambda s, d: table(s, d, "benchmark").select("item_id", si.test_duplicates(F.array("text", F.concat("text", F.lit("!")), F.lit("zzz"))).alias("n")),
-    "d04_near_duplicates": lambda s, d: pairs.near_duplicates(v.sample(s, d)),
-    "j13_near_duplicate_pairs": lambda s, d: pairs.near_duplicates(v.sample(s, d), 0.95, "cwe").select("id1", "id2"),
-    "d03_greedy_dedup": lambda s, d: pairs.greedy_dedup(v.sample(s, d)).select("id"),
     "w08_first_mutant_per_text": lambda s, d: mu.dedup(mu.generate(checks._programs(s, d), most=3)).groupBy("operator").agg(F.count("*").alias("n")),
     "s01_filtered": lambda s, d: readers.filtered(v.sample(s, d), "easy", "en").select("id", "source"),
     "s09_source_manager": lambda s, d: _sources(s, d).load_all("en").groupBy("origin", "source").agg(F.count("*").alias("n")),

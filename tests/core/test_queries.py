@@ -17,17 +17,31 @@ def plain(value):
     return str(value) if isinstance(value, list | dict) else value
 
 
-@pytest.fixture(scope="module")
-def duck():
+def connected(sf):
     con = duckdb.connect()
-    for name in os.listdir(SF):
-        con.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{SF}/{name}')")
+    for name in os.listdir(sf):
+        con.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{sf}/{name}')")
     return con
 
 
+@pytest.fixture(scope="module")
+def duck():
+    return connected(SF)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_equals_sql(spark, duck, name):
-    df = QUERIES[name](spark, SF)
+    compare(spark, duck, name, SF)
+
+
+@pytest.mark.parametrize("name", ["d03_greedy_dedup", "d04_near_duplicates", "j13_near_duplicate_pairs"])
+def test_similar_texts_of_a_larger_table(spark, name):
+    larger = SF.replace("0.001", "0.01")
+    compare(spark, connected(larger), name, larger)
+
+
+def compare(spark, duck, name, sf):
+    df = QUERIES[name](spark, sf)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     answer = duck.execute(ORACLE[name])
