@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievekit.functions.code import parsed
+
 SAMPLE = T.StructType(
     [
         *(T.StructField(n, T.StringType()) for n in (
@@ -209,12 +213,15 @@ def security_snippets(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def text_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """name (without folder and ending) and value of Python files; glob limits what is listed at all."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.py$", 1).alias("name"), "value")
+
+
 def text_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Task and test files paired by stem."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+)\.py$", 1).alias("name"), "value"
-    )
-    return pair_by_stem(files)
+    return pair_by_stem(text_files(spark, path))
 
 
 def pair_by_stem(files: DataFrame) -> DataFrame:
@@ -226,6 +233,71 @@ def pair_by_stem(files: DataFrame) -> DataFrame:
     )
 
 
+#: Weaknesses of pairs that no mutation operator aims at: fixed values.
+UNTARGETED = ("329", "377", "760", "943")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("source", T.StringType())])))
+def unsafe_functions(code: pd.Series) -> pd.Series:
+    """Functions of a file with unsafe in their name, tests left out; null if the file doesn't parse."""
+
+    def one(text: str) -> list[dict] | None:
+        tree = parsed(text)
+        if tree is None:
+            return None
+        lines = text.split("\n")
+        return [
+            {"name": n.name, "source": "\n".join(lines[n.lineno - 1 : n.end_lineno])}
+            for n in tree.body
+            if isinstance(n, ast.FunctionDef) and "unsafe" in n.name and not n.name.startswith("test_")
+        ]
+
+    return code.map(lambda text: one(text or ""))
+
+
+def split_task(task: Column) -> dict[str, Column]:
+    """function, imports, prompt, secure_code of a task file: what is before its first function, up to the marker, and the function."""
+    name = F.nullif(F.regexp_extract(task, r"(?m)^def\s+(\w+)\s*\(", 1), F.lit(""))
+    begin = F.regexp_extract(task, r"(?sm)\A(.*?)^def\s+\w+\s*\(", 1)
+    imports = F.regexp_replace(begin, r"^\s+|\s+$", "")
+    own = F.substring(task, F.length(begin) + 1, F.length(task))
+    body = F.regexp_replace(own, r"\n\s*\z", "")
+    # Lines up to the first that holds the marker; no prompt if that is before the function.
+    prompt = F.when(begin.contains(MARKER), F.lit("")).otherwise(F.regexp_replace(F.regexp_extract(own, rf"(?s)\A(.*?)[^\n]*{MARKER}", 1), r"\s+\z", ""))
+    return {"function": name, "imports": imports, "prompt": prompt, "secure_code": F.concat(F.when(imports != "", F.concat(imports, F.lit("\n\n\n"))).otherwise(""), body)}
+
+
+#: The line of a task that the solution follows: fixed value.
+MARKER = "# BEGIN SOLUTION"
+
+
+def pair_samples(files: DataFrame, prefix: str = "cweval", skip: tuple[str, ...] = UNTARGETED) -> DataFrame:
+    """One sample for each unsafe function of each pair of files (name, value).
+
+    Columns: id, cwe, original_id, function, unsafe, prompt, secure_code, insecure_code. Left out are tasks without a
+    function or the marker, tests that don't parse or name no weakness (in the name, else in the first ten lines), and those of skip.
+    """
+    pairs = pair_by_stem(files).where(F.col("task").contains(MARKER)).withColumns(split_task(F.col("task"))).where("function IS NOT NULL")
+    top = F.array_join(F.slice(F.split("test", "\n"), 1, 10), "\n")
+    number = F.coalesce(F.nullif(F.regexp_extract("stem", r"^cwe_(\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(top, r"CWE-(\d+)", 1), F.lit("")))
+    number = F.nullif(F.regexp_replace(number, "^0+(?=.)", ""), F.lit(""))
+    found = pairs.withColumn("number", number).where(F.col("number").isNotNull() & ~F.col("number").isin(*skip))
+    each = found.select("*", F.posexplode(unsafe_functions("test")).alias("pos", "f"))
+    renamed = F.regexp_replace("f.source", F.concat(F.lit(r"def\s+\Q"), F.col("f.name"), F.lit(r"\E\s*\(")), F.concat(F.lit("def "), F.col("function"), F.lit("(")))
+    suffix = F.regexp_replace(F.replace(F.col("f.name"), F.col("function"), F.lit("")), "^_+|_+$", "")
+    key = F.concat_ws("_", F.lit(prefix), "stem", F.when(suffix == "", "unsafe").otherwise(suffix), F.col("pos").cast("string"))
+    return each.select(
+        F.substring(F.md5(key.cast("binary")), 1, 12).alias("id"), F.concat(F.lit("CWE-"), "number").alias("cwe"), F.col("stem").alias("original_id"), "function",
+        F.col("f.name").alias("unsafe"), "prompt", "secure_code", F.concat(F.when(F.col("imports") != "", F.concat("imports", F.lit("\n\n\n"))).otherwise(""), renamed).alias("insecure_code"),
+    )
+
+
+def expert_pairs(spark: SparkSession, path: str, cwe: int | None = None, **options) -> DataFrame:
+    """pair_samples() of a folder; only files of one weakness are listed and read where one is asked for."""
+    glob = None if cwe is None else f"cwe_{{{cwe},0{cwe},00{cwe}}}_*.py"
+    return pair_samples(text_files(spark, path, glob), **options)
+
+
 def example_blocks(spark: SparkSession, path: str, begin: str, end: str) -> DataFrame:
     """Lines between markers in text files, comment prefixes stripped; one row a block."""
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
@@ -234,6 +306,36 @@ def example_blocks(spark: SparkSession, path: str, begin: str, end: str) -> Data
     return raw.select("file", F.posexplode(found).alias("pos", "block")).select("file", "pos", block.alias("block"))
 
 
+#: What begins and ends an example in a query's comments, whatever the case: fixed values.
+EXAMPLE_BEGINS, EXAMPLE_ENDS = ("```python", "// bad"), ("```", "// good")
+
+
+def query_examples(text: Column) -> Column:
+    """The examples in a query's comments: a fold over its lines, with comment signs taken off.
+
+    An example that is not ended is none, nor is one without lines; a line that begins an example within one is left out.
+    """
+    def holds(line: Column, signs: tuple[str, ...]) -> Column:
+        low = F.lower(line)
+        return reduce(lambda a, b: a | b, (low.contains(x) for x in signs))
+
+    def struct(inside: Column, lines: Column, found: Column) -> Column:
+        return F.struct(inside.alias("inside"), lines.alias("lines"), found.alias("found"))
+
+    def step(s: Column, line: Column) -> Column:
+        nothing = F.array().cast("array<string>")
+        clean = F.regexp_replace(F.regexp_replace(line, r"^//\s*", ""), r"^\*\s*", "")
+        ended = F.when(F.size(s["lines"]) > 0, F.concat(s["found"], F.array(F.array_join(s["lines"], "\n")))).otherwise(s["found"])
+        return (
+            F.when(holds(line, EXAMPLE_BEGINS), struct(F.lit(True), s["lines"], s["found"]))
+            .when(s["inside"] & holds(line, EXAMPLE_ENDS), struct(F.lit(False), nothing, ended))
+            .when(s["inside"], struct(s["inside"], F.concat(s["lines"], F.array(clean)), s["found"]))
+            .otherwise(s)
+        )
+
+    return F.aggregate(F.split(F.coalesce(text, F.lit("")), "\n"), struct(F.lit(False), F.array().cast("array<string>"), F.array().cast("array<string>")), step, lambda s: s["found"])
+
+
 def resume(todo: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """What an interrupted run has not done yet."""
     return todo.join(done.select(key).distinct(), key, "left_anti")
