@@ -108,7 +108,7 @@ def outcomes(events: DataFrame, wait: str = "24 hours", delay: str = "10 minutes
         end, outcome = (final, said) if final is not None and final <= deadline else (deadline, TIMED_OUT)
         if state.hasTimedOut:
             state.update((first, final, said, [], True))
-            yield pd.DataFrame({"job": [key[0]], "outcome": [outcome], "at": [pd.Timestamp(end, unit="us")], "events": [sum(u <= end for u in seen)]})
+            yield pd.DataFrame({"job": [key[0]], "outcome": [outcome], "at": [pd.Timestamp(end, unit="us", tz="UTC")], "events": [sum(u <= end for u in seen)]})
             return
         state.update((first, final, said, seen, False))
         state.setTimeoutTimestamp(max(end // 1000 + 1, state.getCurrentWatermarkMs() + 1))
