@@ -115,6 +115,10 @@ def _decisions(code: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         yield k, node, (byte >> np.uint64(7 - k) & np.uint64(1)).astype(np.int64)
 
 
+#: Tasks whose counts are summed at first, and groups that the mixer's weights are summed in.
+SUMMED = 64
+
+
 def _count(docs: DataFrame, aside: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """Log-odds and (in quarters of a doubling) count of each slot, from docs, and from docs and aside."""
 
@@ -140,12 +144,33 @@ def _count(docs: DataFrame, aside: DataFrame) -> tuple[tuple[np.ndarray, np.ndar
                         names=["block", "blob"],
                     )
 
+    def packed(key: tuple[int, bool], total: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(total)
+        blob = zlib.compress(at.astype(np.uint32).tobytes() + total[at].tobytes(), 1)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.bool_()), pa.array([blob], pa.binary())], names=["block", "late", "blob"]
+        )
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(BLOCK, dtype=np.uint64)
+        for batch in batches:
+            for *key, blob in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if now is not None and key != now:
+                    yield packed((now[0], now[1]), total)
+                    total[:] = 0
+                raw = np.frombuffer(zlib.decompress(blob), dtype=np.uint32)
+                total[raw[: len(raw) // 2]] += raw[len(raw) // 2 :]
+                now = key
+        if now is not None:
+            yield packed((now[0], now[1]), total)
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for block, late, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                raw = np.frombuffer(zlib.decompress(blob), dtype=np.uint32)
-                at, n = raw[: len(raw) // 2], raw[len(raw) // 2 :]
+                raw = zlib.decompress(blob)
+                at = np.frombuffer(raw[: len(raw) // 3], dtype=np.uint32)
+                n = np.frombuffer(raw[len(raw) // 3 :], dtype=np.uint64)
                 if block not in total:
                     total[block] = [np.zeros(BLOCK, dtype=np.uint64) for _ in range(2)]
                 total[block][int(late)][at] += n
@@ -166,10 +191,13 @@ def _count(docs: DataFrame, aside: DataFrame) -> tuple[tuple[np.ndarray, np.ndar
                 )
 
     parts = [
-        d.select("text").mapInArrow(run, "block int, blob binary").select("block", F.lit(late).alias("late"), "blob")
+        d.select("text").mapInArrow(run, "block int, blob binary").select("block", F.lit(late).alias("late"), F.floor(F.spark_partition_id() / F.lit(SUMMED)).alias("group"), "blob")
         for late, d in ((False, docs), (True, aside))
     ]
-    parts = parts[0].unionByName(parts[1]).repartition(64, "block")
+    # Two steps, so that no task reads what all tasks have counted in a block.
+    keys = ["block", "late", "group"]
+    parts = parts[0].unionByName(parts[1]).repartition(*keys).sortWithinPartitions(*keys)
+    parts = parts.mapInArrow(some, "block int, late boolean, blob binary").repartition(64, "block")
     tables = [(np.zeros(N_SLOTS, dtype=np.float16), np.zeros(N_SLOTS, dtype=np.uint8)) for _ in range(2)]
     half = BLOCK // 2
     for row in parts.mapInArrow(add, "block int, whole boolean, odds binary, seen binary").collect():
@@ -278,12 +306,24 @@ def _tune_shares(aside: DataFrame, odds: np.ndarray, seen: np.ndarray) -> np.nda
 
     size = aside.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     dealt = aside.repartition(-(-size // TUNE_BYTES) or 1, "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    rows = dealt.mapInArrow(run, "n bigint, weights binary").collect()
+    shares = dealt.mapInArrow(run, "n bigint, weights binary")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, total = 0, 0.0
+        for batch in batches:
+            for n, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                size, total = size + n, total + n * np.frombuffer(weights, dtype=np.float32).astype(np.float64)
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array([size]), pa.array([total.tobytes()], pa.binary())], names=["n", "weights"])
+
+    # Sums of SUMMED groups come here, however many shares there are; in an order of their own, so that reruns agree.
+    groups = shares.repartition(SUMMED, "weights").sortWithinPartitions("n", "weights").mapInArrow(add, "n bigint, weights binary")
+    rows = sorted((r["n"], bytes(r["weights"])) for r in groups.collect())
     sent.unpersist()
     if not rows:
         return tune(odds, seen, []).weights
-    found = [np.frombuffer(bytes(r["weights"]), dtype=np.float32).reshape(-1, len(ORDERS) + 1) for r in rows]
-    return np.average(found, axis=0, weights=[r["n"] for r in rows]).astype(np.float32)
+    total = sum(np.frombuffer(w, dtype=np.float64) for _, w in rows) / sum(n for n, _ in rows)
+    return total.reshape(-1, len(ORDERS) + 1).astype(np.float32)
 
 
 def _aside() -> Column:

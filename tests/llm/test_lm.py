@@ -171,3 +171,41 @@ def test_segments_that_are_not_frequent(spark, monkeypatch):
     monkeypatch.setattr(lm, "FREQUENT", 1)
     two = sorted((r.doc_id or -1, r.score) for r in lm.score(docs, model, train).collect())
     assert np.allclose(one, two, rtol=1e-9)
+
+
+def test_sums_in_groups_change_nothing(spark, monkeypatch):
+    """Counts and weights from many tasks, whether summed in one group or in many."""
+    rows = [(k, f"some words of text {k % 13} and {k % 7} more") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    monkeypatch.setattr(lm, "TUNE_BYTES", 60)
+    models = []
+    for summed in (64, 1):
+        monkeypatch.setattr(lm, "SUMMED", summed)
+        models.append(lm.fit(docs))
+    one, two = models
+    assert np.array_equal(one.odds, two.odds) and np.array_equal(one.seen, two.seen)
+    assert np.allclose(one.weights, two.weights, rtol=1e-6) and np.abs(one.weights).max() > 0
+
+
+def test_score_equals_a_plain_loop(spark):
+    """Decision by decision: the mixed predictors' cost of each bit, as costs() has it for whole arrays."""
+    docs = spark.createDataFrame([(k, f"the cat {k % 5} sat on the mat {k % 3}") for k in range(120)], "doc_id bigint, text string")
+    model = lm.fit(docs)
+    code = lm._codes([b"the cat 3 sat", b"dog"])[0]
+    got = model.costs(code)
+    contexts = lm._slots(code)
+    for place in range(len(code)):
+        byte, want = int(code[place]) & 0xFF, np.zeros(len(lm.FACTORS))
+        for k in range(8):
+            node, bit = (1 << k) | byte >> (8 - k), byte >> (7 - k) & 1
+            gate, logit, inputs = 0, 0.0, []
+            for row, order in enumerate(lm.ORDERS):
+                at = int(lm._place(contexts[order][place : place + 1], order, np.array([node], dtype=np.uint64))[0])
+                inputs.append(float(model.odds[at]))
+                gate = row + 1 if model.seen[at] >= 7 else gate
+            for row, x in enumerate([*inputs, 0.3]):
+                logit += float(model.weights[gate * 8 + k, row]) * x
+            signed = min(max(logit, -lm.MAX_LOGIT), lm.MAX_LOGIT) * (1 - 2 * bit)
+            want += [math.log1p(math.exp(signed * f)) for f in lm.FACTORS]
+        scale = got[:, place] / want
+        assert np.allclose(scale, scale[0], rtol=1e-4) and (np.isclose(scale[0], 1, rtol=1e-4) or np.isclose(scale[0], 1 / math.log(2), rtol=1e-4))
