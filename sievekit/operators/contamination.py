@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievekit.session import written
+
 WORD_OR_MARK = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 CVE = r"CVE-(\d{4})-\d+"
 
@@ -17,9 +19,9 @@ def once(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
-def _runs(size: Column, n: int, piece: Callable[[Column], Column]) -> Column:
+def _runs(size: Column, n: int, piece: Callable[[Column], Column], kind: str = "string") -> Column:
     found = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), piece)
-    return F.when(size >= n, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+    return F.when(size >= n, F.array_distinct(found)).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def windows(items: Column, n: int) -> Column:
@@ -35,7 +37,16 @@ def char_ngrams(text: Column, n: int = 5) -> Column:
 
 def token_ngrams(text: Column, n: int = 5) -> Column:
     """Distinct n-grams of lower-cased tokens: word runs or single marks, joined by a space."""
-    return windows(F.regexp_extract_all(F.lower(text), F.lit(WORD_OR_MARK), F.lit(0)), n)
+    return windows(_tokens(text), n)
+
+
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD_OR_MARK), F.lit(0))
+
+
+def gram_hashes(text: Column, n: int = 5) -> Column:
+    """The distinct n-grams of token_ngrams() as 64-bit hashes, without their strings."""
+    return once(_tokens(text), lambda w: _runs(F.size(w), n, lambda i: F.xxhash64(F.slice(w, i, n)), "bigint"))
 
 
 def jaccard(one: Column, two: Column) -> Column:
@@ -51,14 +62,27 @@ def ngram_rows(rows: DataFrame, id_col: str, text_col: str, n: int = 5) -> DataF
     return grams.select(id_col, F.size("grams").alias("n_grams"), F.explode_outer("grams").alias("gram")).where("gram IS NOT NULL")
 
 
+def hash_rows(rows: DataFrame, id_col: str, text_col: str, n: int = 5) -> DataFrame:
+    """A row for each distinct token n-gram of each text, as its hash h, with their number."""
+    grams = rows.select(id_col, gram_hashes(F.col(text_col), n).alias("grams"))
+    return grams.select(id_col, F.size("grams").alias("n_grams"), F.explode_outer("grams").alias("h")).where("h IS NOT NULL")
+
+
+#: Most n-grams of a corpus (a hash, an id and a number each) that are broadcast; beyond, both sides are dealt by hash.
+MAX_BROADCAST = 1_000_000
+
+
 def overlaps(samples: DataFrame, corpus: DataFrame, n: int = 5) -> DataFrame:
     """Jaccard similarity of each sample (id, code) and corpus text (item_id, text) that share an n-gram.
 
-    An equi-join on the n-gram; counts are combined before the shuffle by pair.
+    An equi-join on the n-grams' 64-bit hashes; counts are combined before the shuffle by pair, and a small
+    corpus goes to the samples, whose n-grams are then not dealt at all.
     """
-    a = ngram_rows(samples, "id", "code", n)
-    b = ngram_rows(corpus, "item_id", "text", n).withColumnRenamed("n_grams", "n_item")
-    pairs = a.join(b, "gram").groupBy("id", "item_id", "n_grams", "n_item").agg(F.count("*").alias("shared"))
+    a = hash_rows(samples, "id", "code", n)
+    b = hash_rows(corpus, "item_id", "text", n).withColumnRenamed("n_grams", "n_item")
+    if b.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        b = F.broadcast(b)
+    pairs = a.join(b, "h").groupBy("id", "item_id", "n_grams", "n_item").agg(F.count("*").alias("shared"))
     return pairs.select("id", "item_id", "shared", (F.col("shared") * 1.0 / (F.col("n_grams") + F.col("n_item") - F.col("shared"))).alias("overlap"))
 
 
@@ -78,10 +102,25 @@ def audit_summary(audited: DataFrame) -> DataFrame:
 
 
 def fingerprint(samples: DataFrame, n: int = 5, least: int = 3, most: int = 10_000) -> DataFrame:
-    """The n-grams of least samples and more, the most frequent first; the limit is the feature."""
-    grams = ngram_rows(samples, "id", "code", n)
-    counts = grams.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= least)
-    return counts.orderBy(F.desc("df"), "gram").limit(most)
+    """The n-grams of least samples and more, the most frequent first; the limit is the feature.
+
+    Hashes are counted, a sample that has one kept with it. Those as frequent as the last that fits are
+    looked up in their samples, as n-grams of one frequency are in the order of their text.
+    """
+    hashed = samples.select("id", F.explode(gram_hashes(F.col("code"), n)).alias("h"))
+    counts = hashed.groupBy("h").agg(F.count("*").alias("df"), F.min("id").alias("id")).where(F.col("df") >= least)
+    counts = written(counts, "fingerprint")
+    by_df = counts.groupBy("df").agg(F.count("*").alias("n")).orderBy(F.desc("df")).limit(most).collect()
+    total, cut = 0, least
+    for r in by_df:
+        total, cut = total + r["n"], r["df"]
+        if total >= most:
+            break
+    wanted = counts.where(F.col("df") >= cut)
+    grams = samples.join(wanted.select("id").distinct(), "id", "left_semi").select("id", token_ngrams(F.col("code"), n).alias("g"), gram_hashes(F.col("code"), n).alias("k"))
+    # Distinct strings and distinct hashes of a text are in one order.
+    found = grams.select("id", F.explode(F.arrays_zip("g", "k")).alias("x")).select("id", F.col("x.g").alias("gram"), F.col("x.k").alias("h"))
+    return found.join(wanted, ["id", "h"]).select("gram", "df").orderBy(F.desc("df"), "gram").limit(most)
 
 
 def cve_year(*texts: Column) -> Column:
