@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from sievekit.functions.code import UNREADABLE, compiles
 from sievekit.operators.curation import normalised, without_comments
 from sievekit.operators.judges import has_real_assertion
+from sievekit.operators.similarity import ratio
 
 #: Words in the name of a collection's own sources; further ones are a parameter.
 OWN_SOURCES = ("Template",)
@@ -128,6 +129,64 @@ def issues(samples: DataFrame) -> DataFrame:
     return samples.select("id", "cwe", "source", F.explode(found).alias("i")).select("id", "cwe", "source", "i.*")
 
 
+#: What insecure code of a weakness must have ("needs") or must not have ("lacks"), as patterns (case matters unless (?i)): fixed values.
+INSECURE_RULES = (
+    (("CWE-89",), "needs", r"""(?i)f["'].*(?:SELECT|INSERT|UPDATE|DELETE|WHERE).*\{|["'].*(?:SELECT|INSERT|UPDATE|DELETE|WHERE).*["']\s*\+|["'].*(?:SELECT|INSERT|UPDATE|DELETE|WHERE).*["']\.format\(|["'].*(?:SELECT|INSERT|UPDATE|DELETE|WHERE).*%s.*["'].*%\s""", "critical", "no SQL string formatting"),
+    (("CWE-78", "CWE-77"), "needs", r"(?s)os\.system\s*\(|os\.popen\s*\(|shell\s*=\s*True|eval\s*\(|exec\s*\(", "warning", "no command injection pattern"),
+    (("CWE-79",), "lacks", r"(?i)html\.escape|escape\(|bleach|markupsafe|cgi\.escape", "warning", "escapes HTML"),
+    (("CWE-22",), "lacks", r"(?s)os\.path\.commonpath|os\.path\.abspath.*startswith|os\.path\.realpath.*startswith|resolve\(\).*is_relative_to|normpath.*startswith", "warning", "validates paths"),
+    (("CWE-502",), "needs", r"pickle\.loads?\s*\(|yaml\.unsafe_load|yaml\.load\s*\([^)]*\)|jsonpickle\.decode|marshal\.loads?\s*\(|shelve\.open", "warning", "no unsafe deserialization"),
+    (("CWE-798",), "needs", r"""(?i)(?:password|secret|key|token|api_key)\s*=\s*["'][^"']+["']""", "info", "no hardcoded credential"),
+    (("CWE-611",), "lacks", r"defusedxml|resolve_entities\s*=\s*False", "warning", "protects against external entities"),
+    (("CWE-918",), "lacks", r"(?i)is_private|blocklist|blacklist|private|internal|validate_url|is_safe_url|hostname.*not.*in|scheme.*not.*in", "warning", "protects against request forgery"),
+    (("CWE-306", "CWE-862"), "lacks", r"(?i)authenticate|is_authenticated|check_auth|require_auth|login_required|verify_token|check_permission|@login|is_authorized", "info", "checks who asks"),
+    (("CWE-338",), "lacks", r"secrets\.|os\.urandom|SystemRandom", "critical", "uses secure random numbers"),
+)
+#: Over this similarity two codes are nearly identical.
+NEARLY = 0.99
+
+
+def insecure_issues(samples: DataFrame, rules: tuple = INSECURE_RULES) -> DataFrame:
+    """A row for each rule of its weakness that a sample's insecure code breaks, or one if that is blank."""
+    code = F.coalesce("insecure_code", F.lit(""))
+    blank = normalised(code) == ""
+    found = [issue(blank, "critical", "insecure_code", "empty")]
+    for cwes, kind, pattern, severity, message in rules:
+        found.append(issue(~blank & F.col("cwe").isin(*cwes) & (code.rlike(pattern) if kind == "lacks" else ~code.rlike(pattern)), severity, "insecure_code", message))
+    both = code.rlike(r"\beval\s*\(|\bexec\s*\(|compile\s*\(") & code.rlike(r"(?i)ast\.literal_eval|sanitize|whitelist|allowed|restrict")
+    found.append(issue(~blank & F.col("cwe").isin("CWE-94", "CWE-95") & both, "info", "insecure_code", "evaluates and sanitizes"))
+    return samples.select("id", "cwe", "source", F.explode(F.array_compact(F.array(*found))).alias("i")).select("id", "cwe", "source", "i.*")
+
+
+def diff_issues(samples: DataFrame) -> DataFrame:
+    """A row for each way in which a sample's codes, neither of them blank, differ too little."""
+    one, two = (_stripped(F.coalesce(c, F.lit(""))) for c in ("secure_code", "insecure_code"))
+    rows = samples.select("id", "cwe", "source", one.alias("one"), two.alias("two")).where("one <> '' AND two <> ''")
+    # Only texts of nearly one length can be so similar.
+    near = 2 * F.least(F.length("one"), F.length("two")) > NEARLY * (F.length("one") + F.length("two"))
+    alike = F.when(near & (F.col("one") != F.col("two")), ratio("one", "two")) > NEARLY
+    found = F.array(
+        issue(F.col("one") == F.col("two"), "critical", "diff_quality", "identical"),
+        issue(alike, "warning", "diff_quality", "nearly identical"),
+        issue((F.col("one") != F.col("two")) & (normalised(F.col("one")) == normalised(F.col("two"))), "critical", "diff_quality", "differ in white space only"),
+    )
+    return rows.select("id", "cwe", "source", F.explode(F.array_compact(found)).alias("i")).select("id", "cwe", "source", "i.*")
+
+
+def repeated_entry_points(samples: DataFrame) -> DataFrame:
+    """A row for each sample whose entry point an earlier one (by id) of its weakness has with the same secure code."""
+    key = F.sha2(normalised(F.coalesce("secure_code", F.lit(""))).cast("binary"), 256)
+    named = samples.where(F.coalesce("entry_point", F.lit("")) != "").select("id", "cwe", "source", "entry_point", key.alias("key"))
+    first = named.groupBy(F.col("cwe").alias("_cwe"), F.col("entry_point").alias("_name"), F.col("key").alias("_key")).agg(F.min("id").alias("_first"))
+    again = named.join(first, F.col("cwe").eqNullSafe(F.col("_cwe")) & (F.col("entry_point") == F.col("_name")) & (F.col("key") == F.col("_key")) & (F.col("id") != F.col("_first")))
+    return again.select("id", "cwe", "source", F.lit("warning").alias("severity"), F.lit("entry_point").alias("category"), F.lit("same as another sample").alias("message"))
+
+
+def every_issue(samples: DataFrame) -> DataFrame:
+    """One table of the issues of all rule sets."""
+    return issues(samples).unionByName(insecure_issues(samples)).unionByName(diff_issues(samples)).unionByName(repeated_entry_points(samples))
+
+
 def health(samples: DataFrame, found: DataFrame) -> DataFrame:
     """One row: samples, clean ones, criticals, warnings and health in percent."""
     by = found.agg(

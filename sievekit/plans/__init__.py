@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("evaluation", "curation", "judging", "checks", "joins", "rules", "texts", "mutations", "similar", "sources")
+MODULES = ("evaluation", "curation", "judging", "checks", "joins", "rules", "texts", "mutations", "similar", "sources", "programs")
 
 
 def collect() -> tuple[dict, dict]:
