@@ -331,7 +331,7 @@ def drop_counts(judged: DataFrame) -> DataFrame:
 
 
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\r\f\v"))
 
 
 def assess(samples: DataFrame, own_source: str = "own") -> DataFrame:

@@ -64,7 +64,7 @@ def typed_parameters(code: Column, name: Column) -> Column:
     inside = F.call_function("regexp_extract", code, F.concat(F.lit(r"def\s+\Q"), name, F.lit(r"\E\s*\(([^)]*)\)")), F.lit(1))
 
     def trimmed(text: Column) -> Column:
-        return F.regexp_replace(text, r"^\s+|\s+$", "")
+        return F.btrim(text, F.lit(" \t\n\r\f\v"))
 
     def one(text: Column) -> Column:
         before = F.split_part(text, F.lit("="), F.lit(1))

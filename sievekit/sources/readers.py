@@ -259,14 +259,16 @@ def split_task(task: Column) -> dict[str, Column]:
     """function, imports, prompt, secure_code of a task file: what is before its first function, up to the marker, and the function."""
     name = F.nullif(F.regexp_extract(task, r"(?m)^def\s+(\w+)\s*\(", 1), F.lit(""))
     begin = F.regexp_extract(task, r"(?sm)\A(.*?)^def\s+\w+\s*\(", 1)
-    imports = F.regexp_replace(begin, r"^\s+|\s+$", "")
+    imports = F.btrim(begin, F.lit(WHITE))
     own = F.substring(task, F.length(begin) + 1, F.length(task))
     body = F.regexp_replace(own, r"\n\s*\z", "")
     # Lines up to the first that holds the marker; no prompt if that is before the function.
-    prompt = F.when(begin.contains(MARKER), F.lit("")).otherwise(F.regexp_replace(F.regexp_extract(own, rf"(?s)\A(.*?)[^\n]*{MARKER}", 1), r"\s+\z", ""))
+    before = F.substring(own, F.lit(1), F.instr(own, F.lit(MARKER)) - 1)
+    prompt = F.when(begin.contains(MARKER), F.lit("")).otherwise(F.rtrim(F.regexp_replace(before, r"(?:\A|\n)[^\n]*+\z", ""), F.lit(WHITE)))
     return {"function": name, "imports": imports, "prompt": prompt, "secure_code": F.concat(F.when(imports != "", F.concat(imports, F.lit("\n\n\n"))).otherwise(""), body)}
 
 
+WHITE = " \t\n\r\f\v"
 #: The line of a task that the solution follows: fixed value.
 MARKER = "# BEGIN SOLUTION"
 
