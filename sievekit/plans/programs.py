@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievekit.operators import audit as a
 from sievekit.operators import coverage as co
+from sievekit.operators import variations as va
 from sievekit.plans.rules import literal
 from sievekit.session import table
 
@@ -51,7 +52,18 @@ def _programs(s, d):
     )
 
 
+def _varied(s, d):
+    """Programs with a function each, but for some that define nothing or don't parse."""
+    head = F.when(F.col("doc_id") % 11 == 0, "def broken(:\n").when(F.col("doc_id") % 7 == 0, "print(1)\n").otherwise(F.concat(F.lit("def run_"), F.col("doc_id").cast("string"), F.lit("(x):\n    y = x\n    return y\n")))
+    code = F.concat(head, F.lit("print('"), _said(), F.lit("')\n"))
+    rows = table(s, d, "documents").select(F.col("doc_id").alias("id"), code.alias("secure_code"), F.concat(code, F.lit("pass\n")).alias("insecure_code"), F.concat(F.lit("run_"), F.col("doc_id").cast("string")).alias("entry_point"))
+    found = va.variations(rows)
+    same = F.regexp_extract("secure_code", r"(?s)print\('(.*)'\)", 1)
+    return found.select("id", "strategy", "entry_point", F.array_join("steps", ",").alias("steps"), "skipped", F.md5(same.cast("binary")).alias("said"))
+
+
 QUERIES = {
+    "u13_variations": _varied,
     "a03_line_coverage": _lines,
     "x23_parameter_classes": _parameters,
     "x29_insecure_issues": lambda s, d: a.insecure_issues(_programs(s, d)),
@@ -70,7 +82,16 @@ _CWE = f"(['{"', '".join(_CWES)}'])[doc_id % 11 + 1]"
 #: Words of a text that by themselves are among what a rule looks for.
 _TEXT_RULES = "(c = 7 AND regexp_matches(said, '(?i)private|internal|blocklist|blacklist|hostname.*not.*in|scheme.*not.*in')) OR (c = 8 AND regexp_matches(said, '(?i)authenticate')) OR (c = 2 AND regexp_matches(said, '(?i)bleach|markupsafe')) OR (c = 10 AND h = 10) OR (c = 6 AND contains(said, 'defusedxml')) OR (c = 9 AND contains(said, 'SystemRandom'))"
 
+#: Each strategy's name for the function, and the steps that change such a program (hashed names are told by their start).
+_VARIED = (("orders", "'order'", "domain_orders"), ("clinic", "'patient'", "domain_clinic"), ("bare_stock", "'shelf'", "bare,domain_stock"), ("wrapped_mail", "'folder'", "wrapped,domain_mail"), ("hashed_bare", "'v_' || substring(md5(doc_id || 'run_' || doc_id), 1, 8)", "hashed"))
+
 ORACLE = {
+    "u13_variations": " UNION ALL ".join(
+        f"""SELECT doc_id AS id, '{name}' AS strategy, CASE WHEN ok THEN {entry} END AS entry_point, CASE WHEN ok THEN '{steps}' ELSE '' END AS steps,
+          CASE WHEN doc_id % 11 = 0 THEN 'secure code does not parse' WHEN doc_id % 7 = 0 THEN 'nothing to change' END AS skipped, CASE WHEN ok THEN md5(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', ' ', 'g')) END AS said
+        FROM (SELECT *, doc_id % 11 <> 0 AND doc_id % 7 <> 0 AS ok FROM documents)"""
+        for name, entry, steps in _VARIED
+    ),
     "a03_line_coverage": """WITH t AS (SELECT doc_id AS id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents),
       l AS (SELECT id, 1 AS line FROM t UNION ALL SELECT id, 1 + 2 * unnest(range(1, n + 1)) FROM t UNION ALL SELECT id, 3 + 2 * n FROM t WHERE id % 7 = 0)
       SELECT id, count(*) AS lines_total, count(*) FILTER (WHERE line % 3 = id % 3) AS lines_covered, count(*) FILTER (WHERE line % 3 = id % 3) * 1.0E0 / count(*) AS line_coverage FROM l GROUP BY 1""",
