@@ -54,7 +54,7 @@ def _programs(s, d):
 
 def _varied(s, d):
     """Programs with a function each, but for some that define nothing or don't parse."""
-    head = F.when(F.col("doc_id") % 11 == 0, "def broken(:\n").when(F.col("doc_id") % 7 == 0, "print(1)\n").otherwise(F.concat(F.lit("def run_"), F.col("doc_id").cast("string"), F.lit("(x):\n    y = x\n    return y\n")))
+    head = F.when(F.col("doc_id") % 11 == 0, "def broken(:\n").when(F.col("doc_id") % 7 == 0, "print(1)\n").otherwise(F.concat(F.lit("def run_"), F.col("doc_id").cast("string"), F.lit("(x):\n    # note\n    y = x\n    return y\n")))
     code = F.concat(head, F.lit("print('"), _said(), F.lit("')\n"))
     rows = table(s, d, "documents").select(F.col("doc_id").alias("id"), code.alias("secure_code"), F.concat(code, F.lit("pass\n")).alias("insecure_code"), F.concat(F.lit("run_"), F.col("doc_id").cast("string")).alias("entry_point"))
     found = va.variations(rows)
