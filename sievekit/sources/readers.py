@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievekit.functions.code import parsed
+from sievekit.functions.code import UNREADABLE, parsed
 
 SAMPLE = T.StructType(
     [
@@ -343,6 +344,42 @@ def resume(todo: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     return todo.join(done.select(key).distinct(), key, "left_anti")
 
 
+@F.pandas_udf(T.StringType())
+def literal_json(text: pd.Series) -> pd.Series:
+    """JSON of texts that are JSON or a Python literal, which is read and never run; null for others and for what JSON can't say."""
+
+    def plain(value: object) -> object:
+        if isinstance(value, dict):
+            return {k if isinstance(k, str) else json.dumps(plain(k)): plain(v) for k, v in value.items()}
+        if isinstance(value, list | tuple):
+            return [plain(v) for v in value]
+        if isinstance(value, set | frozenset):
+            return sorted((plain(v) for v in value), key=repr)
+        return value
+
+    def one(value: str | None) -> str | None:
+        for read in (json.loads, ast.literal_eval):
+            try:
+                return json.dumps(plain(read(value or "")), ensure_ascii=False)
+            except (*UNREADABLE, TypeError):
+                continue
+        return None
+
+    return text.map(one)
+
+
 def parse_field(text, schema: str):
-    """Text that is JSON, with single quotes allowed as in literals; never evaluated as code."""
-    return F.from_json(text, schema, {"allowSingleQuotes": "true"})
+    """A field that is JSON or a Python literal (True, None, tuples and sets as arrays), as the schema has it; null for others."""
+    return F.from_json(literal_json(text), schema, {"allowSingleQuotes": "true"})
+
+
+def unjudged(spark: SparkSession, results: str, judged: str) -> DataFrame:
+    """file and name of the files that fit the pattern results and have no namesake among those of the pattern judged."""
+
+    def listed(pattern: str) -> DataFrame:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+        found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+        rows = [(f.getPath().toString(), f.getPath().getName()) for f in found or []]
+        return spark.createDataFrame(rows, "file string, name string")
+
+    return listed(results).join(listed(judged).select("name"), "name", "left_anti").select("file", "name")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievekit.operators.curation import collection_stats
@@ -41,6 +41,12 @@ def append_checkpoint(results: DataFrame, path: str) -> None:
     results.write.mode("append").parquet(path)
 
 
+def clear_checkpoint(spark: SparkSession, path: str) -> bool:
+    """Delete the finished rows of a run that has ended; whether there were any."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
+
+
 def save_csv(rows: DataFrame, path: str, labels: tuple[str, ...] = ()) -> None:
     """A sheet with empty columns for labels."""
     rows.withColumns({c: F.lit("") for c in labels}).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')

@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from sievekit.sources import readers
+from sievekit.sources import readers, sinks
 
 TASK = """import os
 import re
@@ -65,3 +65,28 @@ def test_examples(spark):
     cases[0] = ("/**\n```python\n* x = 1\n*   y\n```\n*/", ["x = 1\ny"])
     rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, t string").select("k", readers.query_examples(F.col("t")).alias("e"))
     assert [r.e for r in rows.orderBy("k").collect()] == [e for _, e in cases]
+
+
+def test_literals(spark):
+    cases = [
+        ('{"n": 1, "s": "x"}', (1, "x", None)), ("{'n': 2, 's': \"it's\", 'l': (True, None)}", (2, "it's", [True, None])), ("{'l': {False}}", (None, None, [False])), ("{'n': None}", (None, None, None)),
+        ("__import__('os').getpid()", None), ("{'n': 1 + ", None), ("", None), (None, None), ("-" * 100_000 + "1", None), ("{'s': b'x'}", None), ("{'s': '\\\\u00e9'}", (None, "\\u00e9", None)),
+    ]
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, t string")
+    got = {r.k: r.f for r in rows.select("k", readers.parse_field(F.col("t"), "n int, s string, l array<boolean>").alias("f")).collect()}
+    assert {k: None if f is None else tuple(f) for k, f in got.items()} == {k: want for k, (_, want) in enumerate(cases)}
+
+
+def test_unjudged(spark, tmp_path):
+    for name in ("r/a.json", "r/b.json", "r/c.txt", "j/a.json"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("{}")
+    assert [r.name for r in readers.unjudged(spark, f"file://{tmp_path}/r/*.json", f"file://{tmp_path}/j/*.json").collect()] == ["b.json"]
+    assert readers.unjudged(spark, f"file://{tmp_path}/no/*.json", f"file://{tmp_path}/j/*").count() == 0
+
+
+def test_checkpoint_of_finished_rows(spark, tmp_path):
+    todo, path = spark.createDataFrame([(1,), (2,), (3,)], "id int"), f"file://{tmp_path}/done"
+    sinks.append_checkpoint(todo.where("id = 2"), path)
+    assert sorted(r.id for r in readers.resume(todo, spark.read.parquet(path)).collect()) == [1, 3]
+    assert sinks.clear_checkpoint(spark, path) and not sinks.clear_checkpoint(spark, path) and not (tmp_path / "done").exists()
