@@ -209,3 +209,21 @@ def test_score_equals_a_plain_loop(spark):
             want += [math.log1p(math.exp(signed * f)) for f in lm.FACTORS]
         scale = got[:, place] / want
         assert np.allclose(scale, scale[0], rtol=1e-4) and (np.isclose(scale[0], 1, rtol=1e-4) or np.isclose(scale[0], 1 / math.log(2), rtol=1e-4))
+
+
+def test_costs_in_parts_and_by_a_plain_sum(monkeypatch):
+    """The packed tables give the decisions' costs one by one, however many codes are worked on at once."""
+    model = small_model()
+    code = np.unique(lm._codes([b"the cat runs of the dog, zz"])[0])
+    whole = model.costs(code)
+    monkeypatch.setattr(lm, "AT_ONCE", 3)
+    assert np.array_equal(model.costs(code), whole)
+    contexts, want = lm._slots(code), np.zeros(len(code))
+    for k, node, bit in lm._decisions(code):
+        places = [lm._place(contexts[o], o, node) for o in lm.ORDERS]
+        for i in range(len(code)):
+            gate = max([row + 1 for row, at in enumerate(places) if model.seen[at[i]] >= 7], default=0)
+            x = [*(float(model.odds[at[i]]) for at in places), 0.3]
+            logit = np.clip(np.dot(model.weights[gate * 8 + k], x), -lm.MAX_LOGIT, lm.MAX_LOGIT)
+            want[i] += math.log2(1 + math.exp(logit * (1 - 2 * bit[i])))
+    assert np.allclose(whole[lm.FACTORS.index(1.0)], want, rtol=1e-5)
