@@ -1,15 +1,17 @@
 """LM scoring: word scores against brute force, and the byte model as a distribution."""
 
 import math
+import pickle
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 
-from sievekit.llm import lm
-from sievekit.llm.common import word_hash
+from sievekit.llm import common, lm
+from sievekit.llm.common import mix, powers, span_hash, word_hash
 
 
 def corpus():
@@ -227,3 +229,60 @@ def test_costs_in_parts_and_by_a_plain_sum(monkeypatch):
             logit = np.clip(np.dot(model.weights[gate * 8 + k], x), -lm.MAX_LOGIT, lm.MAX_LOGIT)
             want[i] += math.log2(1 + math.exp(logit * (1 - 2 * bit[i])))
     assert np.allclose(whole[lm.FACTORS.index(1.0)], want, rtol=1e-5)
+
+
+def traced(f):
+    """What f returns, and the bytes that it took at most and left."""
+    tracemalloc.start()
+    out = f()
+    left, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    return out, most, left
+
+
+def test_span_hash_by_plain_powers():
+    data = np.frombuffer(random.Random(3).randbytes(3 * 4096 + 5), dtype=np.uint8)
+    start = np.array([0, 0, 1, 4095, 4096, 8191, 100, len(data) - 1, len(data)])
+    end = np.array([0, 1, 4096, 4097, 8192, 12_289, len(data), len(data), len(data)])
+    base, whole = common._BASE, 1 << 64
+    want = [
+        (sum(int(common._BYTES[c]) * pow(base, k, whole) for k, c in enumerate(data[a:b].tolist())) + (b - a) * base) % whole
+        for a, b in zip(start.tolist(), end.tolist(), strict=True)
+    ]
+    assert span_hash(data, start, end).tolist() == mix(np.array(want, dtype=np.uint64)).tolist()
+    up, down = powers(9000)
+    assert len(up) >= 9000 and len(down) >= 9000
+    for k in (0, 1, 4095, 4096, 8999):
+        assert int(up[k]) == pow(base, k, whole) and int(up[k]) * int(down[k]) % whole == 1
+
+
+def test_memory_of_a_slice():
+    """Two workers share an executor with the heap: tables of a slice's length must not stay, nor arrays pile up."""
+    size = 4 << 20
+    data = np.zeros(size, dtype=np.uint8)
+    _, most, left = traced(lambda: span_hash(data, np.array([0, 5]), np.array([5, size])))
+    assert most < 10 * size and left < size // 8
+    texts = [b"a" * 1023] * (size // 1024)
+    (code, bounds), most, _ = traced(lambda: lm._codes(texts))
+    assert len(code) == bounds[-1] == size and most < 12 * size
+
+
+def test_codes_by_a_plain_loop(monkeypatch):
+    texts = [b"", b"a", b"abcdefgh" * 3, b"", "über".encode()]
+    want = []
+    for t in texts:
+        run = bytes([lm.END]) * lm.LONGEST + t + bytes([lm.END])
+        want += [int.from_bytes(run[k : k + lm.LONGEST + 1], "big") for k in range(len(t) + 1)]
+    for at_once in (1, 3, 1 << 15):
+        monkeypatch.setattr(lm, "AT_ONCE", at_once)
+        code, bounds = lm._codes(texts)
+        assert code.tolist() == want and np.diff(bounds).tolist() == [len(t) + 1 for t in texts]
+    assert len(lm._codes([])[0]) == 0
+
+
+def test_shed_model_costs_the_same():
+    model = small_model()
+    sent = pickle.loads(pickle.dumps(model))
+    want = model.bits([b"the cat", b"", b"dog of the runs"])
+    assert sent.shed().odds is None and sent.seen is None
+    assert sent.shed().bits([b"the cat", b"", b"dog of the runs"]).tolist() == want.tolist()
