@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import materialize, mix, output, slices, small_batches, Words
+from sievekit.llm.common import materialize, mix, output, slices, small_batches, stretches, Words
 
 SHINGLE, PERCENT = 4, 85
 #: Slots of the count sketch, and blocks that it is summed in.
@@ -381,18 +381,6 @@ def _blobs(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return found if small else found.join(wanted, "sig", "left_semi")
 
 
-def stretches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows whose sizes add up to no more than most, or of a single larger row."""
-    begin, total = 0, 0
-    for k, n in enumerate(sizes.tolist()):
-        if total and total + n > most:
-            yield begin, k
-            begin, total = k, 0
-        total += n
-    if begin < len(sizes):
-        yield begin, len(sizes)
-
-
 def _verified(pairs: DataFrame, blobs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs that are similar: texts of VERIFIED_BYTES are unpacked at once, or one pair of longer ones."""
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import slices, small_batches, span_hash
+from sievekit.llm.common import remembered, slices, small_batches, span_hash, stretches
 
 
 #: Tokens of the longest piece.
@@ -82,7 +82,9 @@ class Encoder:
     the memory is bounded.
     """
 
-    REMEMBER, RECENT = 2_000_000, 100_000
+    REMEMBER, RECENT = 1_000_000, 100_000
+    #: Characters of new chunks that are encoded at once: an encoding takes many times its text.
+    AT_ONCE = 1 << 18
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -149,7 +151,9 @@ class Encoder:
         ids = [np.asarray(e.ids, dtype=np.uint32) for e in fast(alone, add_special_tokens=False)] if alone else []
         sizes = [len(i) for i in ids]
         if after:
-            joined = np.asarray(fast(["".join(after)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            # Each chunk is a text of its own to the tokenizer, wherever the joined ones are divided.
+            groups = ("".join(after[a:b]) for a, b in stretches(np.array([len(c) for c in after]), self.AT_ONCE))
+            joined = np.concatenate([np.asarray(fast([g], add_special_tokens=False)[0].ids, dtype=np.uint32) for g in groups])
             ends = np.cumsum([len(c.encode()) for c in after])
             upto = np.searchsorted(np.cumsum(self.bytes[joined]), ends) + 1
             ids.append(joined)
@@ -185,14 +189,13 @@ class Encoder:
         return np.split(ids, upto[np.searchsorted(start, at[1:-1])])
 
 
-_encoders: dict[str, Encoder] = {}
+def encoder_of(path: str) -> Encoder:
+    """This process's encoder for a tokenizer; a reused worker keeps what it remembers until it does other work."""
+    return remembered(_kind(path), lambda: Encoder(path))
 
 
-def encoder_of(path: str) -> Encoder:
-    """This process's encoder for a tokenizer; a reused worker keeps what it remembers."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def _kind(path: str) -> str:
+    return f"encoder {path}"
 
 
 def pack(
@@ -220,7 +223,7 @@ def pack(
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = encoder_of(tokenizer_path)
-        for part, texts in slices(batches, "text", 2 << 20):
+        for part, texts in slices(batches, "text", 2 << 20, kind=_kind(tokenizer_path)):
             yield _rows(encoder, part.column(0), texts)
 
     def _rows(encoder: Encoder, keys: pa.Array, texts: list[bytes]) -> pa.RecordBatch:

@@ -3,11 +3,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sievekit.llm.packing import Encoder, default_tokenizer, op5_packing, pack, pieces_of
+from sievekit.llm import common
+from sievekit.llm.packing import Encoder, default_tokenizer, encoder_of, op5_packing, pack, pieces_of
 
 CASES = [
     None, "", " ", "\n", "a  b", "\n\nfoo bar \n baz", "x <|endoftext|> y", "it 's  fine", "don't  ", " lead",
@@ -63,3 +65,24 @@ def test_round_trip(spark, encoder):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert op5_packing(spark, str(tmp_path)).count() == 0
+
+
+def test_encoder_in_groups(encoder, monkeypatch):
+    texts = [" ".join(f"w{k * j % 977}" for k in range(300)) for j in range(1, 6)]
+    for at_once in (1, 50, 1 << 18):
+        monkeypatch.setattr(Encoder, "AT_ONCE", at_once)
+        fresh = Encoder(default_tokenizer())
+        for text, ids in zip(texts, fresh.encode([t.encode() for t in texts]), strict=True):
+            assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_workers_forget_the_encoder_on_other_work():
+    """What packing remembers (some 100 MB after 150 MB of text) must not stay beside the next stage's memory."""
+    from sievekit.llm.packing import _kind
+
+    path = default_tokenizer()
+    rows = pa.RecordBatch.from_pydict({"text": ["a b", None]})
+    mine = encoder_of(path)
+    assert len(list(common.slices(iter([rows]), "text", kind=_kind(path)))) == 1 and encoder_of(path) is mine
+    assert len(list(common.slices(iter([rows]), "text"))) == 1 and not common._remembered
+    assert encoder_of(path) is not mine
